@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -106,12 +106,19 @@ def tokens(text: Column) -> Column:
     )
 
 
-_cached_stem = lru_cache(maxsize=100_000)(stem)
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [_cached_stem(w) for w in ws])
+def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict[str, str] = {}  # words of one task; titles repeat a small vocabulary
+
+    def of(word: str) -> str:
+        if word not in known:
+            known[word] = stem(word)
+        return known[word]
+
+    for words in batches:
+        yield words.map(lambda ws: None if ws is None else [of(w) for w in ws])
+        if len(known) > 100_000:
+            known.clear()
 
 
 def query_terms(query: str, stemming: bool) -> list[str]:

@@ -69,9 +69,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit-length copy; an all-zero vector stays as it is."""
-    length = norm(v)
-    return F.transform(
-        v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)).cast("float")
+    # The length is repeated next to the components: inside a lambda on v alone it would be
+    # computed again for each of them.
+    lengths = F.array_repeat(norm(v), F.size(v))
+    return F.zip_with(
+        v, lengths, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float")
     )
 
 

@@ -34,23 +34,23 @@ def hashing_encoder(
 ) -> DataFrame:
     """Default encoder: signed hashed bag of words of unit length, computed in the JVM.
 
-    Words hash into 2 * dim buckets; a component is the difference of a pair of buckets, so it
-    can have either sign and the sign bits carry information.
+    Words hash into 2 * dim buckets; a component is bucket i less bucket dim + i, so it can have
+    either sign and the sign bits carry information.
     """
     words = RegexTokenizer(
         inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", minTokenLength=1
     )
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=2 * dim)
     counted = counts.transform(words.transform(df.withColumn("_text", F.coalesce(text, F.lit("")))))
-    pairs = vector_to_array("_counts", "float32")
-    signed = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.get("_pairs", 2 * i) - F.get("_pairs", 2 * i + 1),
+    halves = vector_to_array("_counts", "float32")
+    signed = F.zip_with(
+        F.slice("_halves", 1, dim), F.slice("_halves", dim + 1, dim), lambda a, b: a - b
     )
     return (
-        counted.withColumn("_pairs", pairs)
-        .withColumn(output, V.l2_normalize(signed))
-        .drop("_text", "_words", "_counts", "_pairs")
+        counted.withColumn("_halves", halves)
+        .withColumn("_signed", signed)
+        .withColumn(output, V.l2_normalize(F.col("_signed")))
+        .drop("_text", "_words", "_counts", "_halves", "_signed")
     )
 
 

@@ -93,7 +93,7 @@ def rerank(
     """
     if "embedding" not in candidates.columns:
         vectors = embeddings.select("parent_asin", "embedding")
-        # At most top_k * oversample rows (400 with the argument bounds) in both forms.
+        # At most top_k * oversample rows, 5,000 within the argument bounds, in both forms.
         if lookup == "keys":
             vectors = vectors.filter(F.col("parent_asin").isin([r[0] for r in candidates.collect()]))
         else:
@@ -130,7 +130,7 @@ def semantic_search(
     may return; ``"pre"`` searches only among products that pass them.
     """
     settings.bounded("top_k", top_k, 1, settings.MAX_TOP_K)
-    settings.bounded("oversample", oversample, 1, settings.OVERSAMPLE)
+    settings.bounded("oversample", oversample, 1, settings.MAX_OVERSAMPLE)
     if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode must be 'post' or 'pre'")
     if lookup not in ("join", "keys"):

@@ -7,6 +7,7 @@ PRODUCT_TEXT_CHARS = 512
 OVERSAMPLE = 8
 DEFAULT_TOP_K = 5
 MAX_TOP_K = 50
+MAX_OVERSAMPLE = 100
 IVF_LISTS = 50
 IVF_PROBES = 1
 ROLLING_WINDOW = 200

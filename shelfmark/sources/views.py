@@ -116,3 +116,65 @@ def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
         F.get_json_object("props", "$.k").cast("int").alias("tokens"),
     )
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations_of(table(spark, sf_dir, "events"))
+
+
+def observations_of(events: DataFrame) -> DataFrame:
+    """Metric observations as each request would have recorded them: several per event."""
+    e = events.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("kind"),
+        F.col("value").alias("v"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
+    kind, v, k = F.col("kind"), F.col("v"), F.col("k")
+    half = k < 50
+    model = F.when(half, "model-a").otherwise("model-b")
+    top_k = F.when(half, "5").otherwise("10")
+    http = {
+        "method": F.lit("GET"),
+        "endpoint": F.concat(F.lit("/"), kind),
+        "status_code": F.when(kind == "error", "500").otherwise("200"),
+    }
+    summarised = kind.isin("purchase", "signup")
+    failed = kind == "error"
+
+    def seen(metric: str, labels: dict[str, Column], value: Column, when: Column | None = None) -> Column:
+        pairs = [x for name, c in labels.items() for x in (F.lit(name), c)]
+        keyed = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+        row = F.struct(F.lit(metric).alias("metric"), keyed.alias("labels"), value.cast("double").alias("value"))
+        return row if when is None else F.when(when, row)
+
+    one = F.lit(1.0)
+    rows = [
+        seen(
+            "search_execution_seconds",
+            {
+                "has_vector": F.when(kind == "click", "False").otherwise("True"),
+                "category_filter": F.when(half, "False").otherwise("True"),
+            },
+            v / 25,
+        ),
+        seen("search_requests_total", {"search_type": kind}, one),
+        seen("hnsw_stage1_scan_seconds", {"top_k": top_k}, v / 200),
+        seen("hnsw_stage2_rerank_seconds", {"top_k": top_k}, v / 100),
+        seen("db_query_seconds", {"query_type": F.when(half, "vector_search").otherwise("reviews")}, v / 50),
+        seen("http_requests_total", http, one),
+        seen("http_request_duration_seconds", http, v / 100),
+        seen("llm_generation_seconds", {"model_name": model}, v / 2, summarised),
+        seen("llm_time_to_first_token_seconds", {"model_name": model}, v / 15, summarised),
+        seen("llm_tokens_total", {"model_name": model, "token_type": F.lit("input")}, k * 1000, summarised),
+        seen("llm_tokens_total", {"model_name": model, "token_type": F.lit("output")}, k * 10, summarised),
+        seen("llm_faithfulness_score", {"model_name": model}, k / 100.0, summarised),
+        seen("llm_answer_relevance_score", {"model_name": model}, (100 - k) / 100.0, summarised),
+        seen("llm_errors_total", {"model_name": model, "error_type": F.lit("Timeout")}, one, failed),
+        seen("search_errors_total", {"search_type": kind, "error_type": F.lit("Timeout")}, one, failed),
+        seen("hnsw_recall_rate", {"k": top_k}, (100 - k / 2.0) / 100.0, kind == "signup"),
+        seen("embedding_drift_score", {"category": top_k}, k / 400.0, kind == "purchase"),
+        seen("pg_buffer_hit_ratio", {}, (100 - k / 5.0) / 100.0, kind == "view"),
+    ]
+    each = F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull()))
+    return e.withColumn("o", each).select("ts", "o.*")
