@@ -727,5 +727,8 @@ WITH {_fired(_STREAM_RULES)}
 SELECT rule, labels, started, fired, round(value, 6) AS value FROM fired
 WHERE {_STAMP.format(c='fired')} <= {_WATERMARK}"""
     silence = [r for r in alerts.RULES if r.series.kind == "silence"]
-    q["stream_no_traffic"] = f"WITH {_fired(silence)} SELECT rule, started, fired FROM fired"
+    q["stream_no_traffic"] = (
+        f"WITH {_fired(silence)} SELECT rule, started, fired FROM fired"
+        f" WHERE {_STAMP.format(c='(fired + 15)')} <= {_WATERMARK}"
+    )
     return q

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def cumulative_counts(value: Column, bounds: Sequence[float]) -> Column:
@@ -12,23 +12,33 @@ def cumulative_counts(value: Column, bounds: Sequence[float]) -> Column:
     return F.array(*[F.count_if(value <= F.lit(float(b))) for b in bounds])
 
 
-def bucket_quantile(q: Column | float, bounds: Column, cumulative: Column, total: Column) -> Column:
-    """Quantile by linear interpolation inside the first bucket that reaches the rank.
+def with_bucket_quantile(
+    df: DataFrame, name: str, q: Column | float, bounds: Column, counts: Sequence[Column], total: Column
+) -> DataFrame:
+    """Add a quantile by linear interpolation inside the first bucket that reaches the rank.
 
-    The first bucket starts at 0, or is taken at its bound when that is not positive. A rank
-    beyond the last finite bound gives that bound. No observations give null.
+    ``counts`` are cumulative, one per bound. The first bucket starts at 0, or is taken at its
+    bound when that is not positive. A rank beyond the last bound gives that bound; ``bounds``
+    may be shorter than ``counts``, whose further entries then hold the total. No observations
+    give null. Filters on the result are best put on ``total``: pushed below, they would repeat
+    the whole computation.
     """
-    share = q if isinstance(q, Column) else F.lit(q)
-    rank = share * total
-    hit = F.array_position(F.transform(cumulative, lambda c: c >= rank), True).cast("int")
-    upper = F.get(bounds, hit - 1)
-    lower = F.when(hit > 1, F.get(bounds, hit - 2)).otherwise(0.0)
-    below = F.when(hit > 1, F.get(cumulative, hit - 2)).otherwise(0)
-    inside = F.get(cumulative, hit - 1) - below
-    value = lower + (upper - lower) * F.try_divide(rank - below, inside)
+    rank = (q if isinstance(q, Column) else F.lit(q)) * total
+    # Cumulative counts never fall, so the place of the bucket is how many of them are too small.
+    place = sum(((c < F.col("_rank")).cast("int") for c in counts), F.lit(0))
+    at, all_counts = F.col("_place"), F.array(*counts)
+    upper, count = F.get(bounds, at), F.get(all_counts, at)
+    lower = F.when(at > 0, F.get(bounds, at - 1)).otherwise(0.0)
+    below = F.when(at > 0, F.get(all_counts, at - 1)).otherwise(0)
+    inside = lower + (upper - lower) * (F.col("_rank") - below) / F.greatest(count - below, F.lit(1))
+    value = (
+        F.when(at >= F.size(bounds), F.element_at(bounds, -1))
+        .when((at == 0) & (upper <= 0), upper)
+        .otherwise(inside)
+    )
     return (
-        F.when(total <= 0, F.lit(None).cast("double"))
-        .when(hit == 0, F.element_at(bounds, -1))
-        .when((hit == 1) & (upper <= 0), upper)
-        .otherwise(F.coalesce(value, lower))
+        df.withColumn("_rank", F.when(total > 0, rank))
+        .withColumn("_place", place)
+        .withColumn(name, F.when(F.col("_rank").isNotNull(), value))
+        .drop("_rank", "_place")
     )

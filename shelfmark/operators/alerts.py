@@ -88,30 +88,15 @@ def holds(value: Column, compare: Column, threshold: Column) -> Column:
     )
 
 
-def _rule_structs(rules: Sequence[Rule]) -> Column:
-    """The rules of a row's series; a literal, since the rules are code and not data."""
-    return F.filter(
-        F.array(
-            *[
-                F.when(
-                    F.col("series") == r.series.name,
-                    F.struct(
-                        F.lit(r.name).alias("rule"), F.lit(r.compare).alias("compare"),
-                        F.lit(float(r.threshold)).alias("threshold"), F.lit(r.hold).alias("hold"),
-                    ),
-                )
-                for r in rules
-            ]
-        ),
-        lambda r: r.isNotNull(),
-    )
-
-
 def under_rules(ticks: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
     """Each tick once per rule on its series, with ``_true`` for the condition."""
-    return ticks.withColumn("r", F.explode(_rule_structs(rules))).select(
-        *keep, "r.rule", "labels", "interval", "tick", "value", "r.hold",
-        holds(F.col("value"), F.col("r.compare"), F.col("r.threshold")).alias("_true"),
+    table = ticks.sparkSession.createDataFrame(
+        [(r.series.name, r.name, r.compare, float(r.threshold), r.hold) for r in rules],
+        "series string, rule string, compare string, threshold double, hold int",
+    )
+    return ticks.join(F.broadcast(table), "series").select(
+        *keep, "rule", "labels", "interval", "tick", "value", "hold",
+        holds(F.col("value"), F.col("compare"), F.col("threshold")).alias("_true"),
     )
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.functions.histogram import bucket_quantile, cumulative_counts
+from shelfmark.functions.histogram import cumulative_counts, with_bucket_quantile
 
 
 @dataclass(frozen=True)
@@ -86,13 +86,10 @@ def histogram_quantiles(
     hist: DataFrame, labels: Sequence[str], bounds: Sequence[float], quantiles: dict[str, float]
 ) -> DataFrame:
     edges = F.array(*[F.lit(float(b)) for b in bounds])
-    return hist.select(
-        *labels,
-        *[
-            bucket_quantile(q, edges, F.col("cumulative"), F.col("total")).alias(name)
-            for name, q in quantiles.items()
-        ],
-    )
+    counts = [F.get("cumulative", F.lit(i)) for i in range(len(bounds))]
+    for name, q in quantiles.items():
+        hist = with_bucket_quantile(hist, name, q, edges, counts, F.col("total"))
+    return hist.select(*labels, *quantiles)
 
 
 def counter_totals(df: DataFrame, labels: Sequence[str], value: str) -> DataFrame:

@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, SparkSession
 
-from shelfmark.functions.histogram import bucket_quantile
+from shelfmark.functions.histogram import with_bucket_quantile
 from shelfmark.operators.metrics import METRICS
 
 
@@ -48,72 +48,90 @@ def label_text(by: Sequence[str]) -> Column:
     )
 
 
-def _matches(where: dict[str, str]) -> Column:
+def _matches(series: Sequence[Series]) -> Column:
+    """Whether an observation passes the label filters of the series it was joined to."""
     cond = F.lit(True)
-    for name, pattern in where.items():
-        cond = cond & F.coalesce(F.col("labels")[name].rlike(f"^(?:{pattern})$"), F.lit(False))
+    for s in series:
+        kept = F.lit(True)
+        for name, pattern in s.where.items():
+            kept = kept & F.coalesce(F.col("labels")[name].rlike(f"^(?:{pattern})$"), F.lit(False))
+        if s.where:
+            here = (F.col("series") == s.name) & (F.col("role") == "part")
+            cond = cond & (~here | kept)
     return cond
 
 
-def _entry(s: Series, role: str) -> Column:
-    return F.struct(
-        F.lit(s.name).alias("series"),
-        label_text(s.by).alias("labels"),
-        F.lit(s.interval).alias("interval"),
-        F.lit(s.lookback).alias("lookback"),
-        F.lit(role).alias("role"),
-    )
+def _labels(series: Sequence[Series]) -> Column:
+    text = F.lit("")
+    for by in {s.by for s in series if s.by}:
+        names = [s.name for s in series if s.by == by]
+        text = F.when(F.col("series").isin(names), label_text(by)).otherwise(text)
+    return text
 
 
-def _memberships(series: Sequence[Series]) -> Column:
-    """The series an observation feeds, with its role in each, as an array."""
-    entries = []
-    for s in series:
-        here = F.col("metric") == s.metric
-        if s.kind in ("ratio", "complement"):
-            entries.append(F.when(here & _matches(s.where), _entry(s, "part")))
-            entries.append(F.when(F.col("metric") == (s.total_metric or s.metric), _entry(s, "whole")))
-        else:
-            entries.append(F.when(here & _matches(s.where), _entry(s, "part")))
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+def _widest(series: Sequence[Series]) -> int:
+    return max((len(METRICS[s.metric].bounds) for s in series if s.kind == "quantile"), default=0)
+
+
+def _bound_values(metric: str, width: int) -> list[float]:
+    bounds = list(METRICS[metric].bounds)[:width]
+    return bounds + [float("inf")] * (width - len(bounds))
 
 
-def _literal_map(pairs: dict[str, Column]) -> Column:
-    return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)])
+def _bound_columns(width: int) -> str:
+    return "".join(f", b{i} double" for i in range(width))
 
 
-def _lookup(pairs: dict[str, Column], key: Column) -> Column:
-    return F.element_at(_literal_map(pairs), key)
+def _sources(spark: SparkSession, series: Sequence[Series]) -> DataFrame:
+    """Which metric feeds which series, with what role: one or two rows per series."""
+    width = _widest(series)
+    rows = []
+    for s in series:
+        sources = [(s.metric, "part")]
+        if s.kind in ("ratio", "complement"):
+            sources.append((s.total_metric or s.metric, "whole"))
+        for metric, role in sources:
+            counter = METRICS[metric].kind == "counter"
+            rows.append((metric, s.name, role, s.interval, s.lookback, counter, *_bound_values(metric, width)))
+    return spark.createDataFrame(
+        rows,
+        "metric string, series string, role string, interval int, lookback int, counter boolean"
+        + _bound_columns(width),
+    )
 
 
-def _amount() -> Column:
-    """A counter grows by its value, a histogram by one observation."""
-    counters = [name for name, m in METRICS.items() if m.kind == "counter"]
-    return F.when(F.col("metric").isin(counters), F.col("value")).otherwise(F.lit(1.0))
+def _settings(spark: SparkSession, series: Sequence[Series]) -> DataFrame:
+    rows = [
+        (s.name, s.kind, float(s.scale), float(s.epsilon), s.quantile, list(METRICS[s.metric].bounds))
+        for s in series
+    ]
+    return spark.createDataFrame(
+        rows, "series string, kind string, scale double, epsilon double, q double, bounds array<double>"
+    )
 
 
 def feed(observations: DataFrame, series: Sequence[Series], *keep: str) -> DataFrame:
-    """A row per observation and series it feeds, ready to be summed: one scan for all series."""
-    metrics = sorted({m for s in series for m in (s.metric, s.total_metric) if m})
-    bounds = {
-        m: F.array(*[F.lit(b) for b in METRICS[m].bounds]) for m in metrics if METRICS[m].bounds
-    }
-    edges = _lookup(bounds, F.col("metric")) if bounds else F.lit(None).cast("array<double>")
+    """A row per observation and series it feeds, ready to be summed: one scan for all series.
+
+    The table of series has a row or two per series, so it is broadcast.
+    """
+    sources = _sources(observations.sparkSession, series)
+    amount = F.when(F.col("counter"), F.col("value")).otherwise(F.lit(1.0))
+    bounds = [f"b{i}" for i in range(_widest(series))]
     return (
-        observations.filter(F.col("metric").isin(metrics))
+        observations.join(F.broadcast(sources), "metric")
+        .filter(_matches(series))
         .select(
-            *keep, "value", _amount().alias("_amount"), edges.alias("_edges"),
-            F.explode(_memberships(series)).alias("m"),
+            *keep, "value", amount.alias("_amount"), "series", _labels(series).alias("labels"),
+            "interval", "lookback", "role", *bounds,
         )
-        .select(*keep, "value", "_amount", "_edges", "m.*")
     )
 
 
 def sums(series: Sequence[Series]) -> dict[str, Column]:
     """Aggregates over fed rows that later add up: cumulative buckets, count, numerator, whole."""
-    widest = max((len(METRICS[s.metric].bounds) for s in series if s.kind == "quantile"), default=0)
     part, whole = F.col("role") == "part", F.col("role") == "whole"
-    out = {f"c{i}": F.count_if(F.col("value") <= F.get("_edges", F.lit(i))) for i in range(widest)}
+    out = {f"c{i}": F.count_if(F.col("value") <= F.col(f"b{i}")) for i in range(_widest(series))}
     out["n"] = F.count_if(part)
     out["part"] = F.sum(F.when(part, F.col("_amount")).otherwise(0.0))
     out["whole"] = F.sum(F.when(whole, F.col("_amount")).otherwise(0.0))
@@ -121,29 +139,22 @@ def sums(series: Sequence[Series]) -> dict[str, Column]:
 
 
 def with_value(ticks: DataFrame, series: Sequence[Series]) -> DataFrame:
-    """Turn the sums of a lookback into the value of its series; ticks without one are dropped."""
-    name = F.col("series")
-    kind = _lookup({s.name: F.lit(s.kind) for s in series}, name)
-    scale = _lookup({s.name: F.lit(float(s.scale)) for s in series}, name)
-    epsilon = _lookup({s.name: F.lit(float(s.epsilon)) for s in series}, name)
+    """Turn the sums of a lookback into the value of its series."""
+    settings = _settings(ticks.sparkSession, series)
     rate = F.col("part") / F.col("lookback")
-    ratio = F.try_divide(rate, F.col("whole") / F.col("lookback") + epsilon)
+    ratio = F.try_divide(rate, F.col("whole") / F.col("lookback") + F.col("epsilon"))
+    kind = F.col("kind")
     value = (
-        F.when(kind == "rate", rate * scale)
+        F.when(kind == "rate", rate * F.col("scale"))
         .when(kind == "ratio", ratio)
         .when(kind == "complement", 1 - ratio)
     )
-    quantiles = [s for s in series if s.kind == "quantile"]
-    if quantiles:
-        counts = [c for c in sums(series) if c[0] == "c"]
-        edges = {s.name: F.array(*[F.lit(b) for b in METRICS[s.metric].bounds]) for s in quantiles}
-        ticks = ticks.withColumn("_edges", _lookup(edges, name)).withColumn(
-            "_q", _lookup({s.name: F.lit(float(s.quantile)) for s in quantiles}, name)
-        )
-        cumulative = F.slice(F.array(*counts), F.lit(1), F.size("_edges"))
-        found = bucket_quantile(F.col("_q"), F.col("_edges"), cumulative, F.col("n"))
-        value = F.when(F.col("_q").isNotNull(), found).otherwise(value)
-    return ticks.withColumn("value", value).filter(F.col("value").isNotNull())
+    valued = ticks.join(F.broadcast(settings), "series").withColumn("value", value)
+    counts = [F.col(f"c{i}") for i in range(_widest(series))]
+    if counts:
+        valued = with_bucket_quantile(valued, "_q", F.col("q"), F.col("bounds"), counts, F.col("n"))
+        valued = valued.withColumn("value", F.when(kind == "quantile", F.col("_q")).otherwise(F.col("value")))
+    return valued
 
 
 def slot_counts(observations: DataFrame, series: Sequence[Series]) -> DataFrame:
