@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from shelfmark.functions.histogram import cumulative_counts, with_bucket_quantile
+from shelfmark.operators.ranking import in_order
 
 
 @dataclass(frozen=True)
@@ -129,31 +130,27 @@ def windowed_rate(
 def counter_increase(
     samples: DataFrame, labels: Sequence[str], order: Sequence[str], value: str, slot: str = "1 hour"
 ) -> DataFrame:
-    """Growth of a sampled counter with resets, per label set and slot.
+    """Growth of a sampled counter with resets, per label set and time slot.
 
-    A value below its predecessor means the counter restarted, so all of it is new. The walk is
-    split per slot: a slot's first sample is compared with the last sample of the slots before,
-    found among one row per slot, so no label set is walked in one task.
+    A value below its predecessor means the counter restarted, so all of it is new. ``order``
+    starts with the time and is unique within a label set. The samples are walked in pieces of
+    one range partition; the first sample of a piece is compared with the last one of the piece
+    before, found among one row per piece, so no label set is walked in one task.
     """
-    from pyspark.sql import Window
-
-    seq = F.struct(*order)
-    slotted = samples.withColumn("_slot", F.window(order[0], slot)["start"])
-    edges = slotted.groupBy(*labels, "_slot").agg(F.max_by(value, seq).alias("_last"))
-    by_slot = Window.partitionBy(*labels).orderBy("_slot")
-    edges = edges.select(*labels, "_slot", F.lag("_last").over(by_slot).alias("_before"))
-    inside = Window.partitionBy(*labels, "_slot").orderBy(*order)
-    previous = F.coalesce(F.lag(value).over(inside), F.col("_before"))
-    grown = F.when(previous.isNull(), 0.0).when(F.col(value) < previous, F.col(value)).otherwise(
-        F.col(value) - previous
+    rows = in_order(samples.select(*labels, *order, value), [*labels, *order])
+    lasts = rows.groupBy(*labels, "_pid").agg(F.max_by(value, "_row").alias("_last"))
+    earlier = F.lag("_last").over(Window.partitionBy(*labels).orderBy("_pid"))
+    lasts = lasts.select(*labels, "_pid", earlier.alias("_before"))
+    piece = Window.partitionBy(*labels, "_pid").orderBy("_row")
+    previous = F.coalesce(F.lag(value).over(piece), F.col("_before"))
+    grown = (
+        F.when(previous.isNull(), 0.0)
+        .when(F.col(value) < previous, F.col(value))
+        .otherwise(F.col(value) - previous)
     )
-    keyed = [*labels, "_slot"]
-    renamed = edges.select(*[F.col(c).alias(f"_e_{c}") for c in keyed], "_before")
-    same = [slotted[c].eqNullSafe(F.col(f"_e_{c}")) for c in keyed]
     return (
-        slotted.join(renamed, same, "left")
+        rows.join(lasts, [*labels, "_pid"])
         .withColumn("_grown", grown)
-        .groupBy(*keyed)
+        .groupBy(*labels, F.window(order[0], slot)["start"].alias("slot_start"))
         .agg(F.sum("_grown").alias("increase"))
-        .withColumnRenamed("_slot", "slot_start")
     )

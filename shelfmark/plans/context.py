@@ -18,12 +18,11 @@ def review_context(
 ) -> DataFrame:
     """The most helpful review texts over all hits of one search, in order.
 
-    ``hits`` is a search result, at most 50 rows, so it is broadcast to the reviews.
+    The hits of a search end in a limit, from which Spark sees that they can be broadcast.
     """
-    hits = hits.select("parent_asin").limit(settings.MAX_TOP_K)
     return (
         reviews.filter(F.col("review_text").isNotNull())
-        .join(F.broadcast(hits), "parent_asin", "left_semi")
+        .join(hits.select("parent_asin"), "parent_asin", "left_semi")
         .select("review_id", "parent_asin", "helpful_vote", "review_text")
         .orderBy(*_order())
         .limit(limit)

@@ -70,11 +70,10 @@ def parse_lines(lines: DataFrame, fields: Sequence[str], line: str = "line") ->
         F.col(line), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
     )
     rest = [c for c in lines.columns if c != line]
-    return (
-        lines.filter(F.trim(F.coalesce(F.col(line), F.lit(""))) != "")
-        .withColumn("_row", parsed)
-        .select(*rest, *[F.col(f"_row.{f}").alias(f) for f in [*fields, BAD]])
-    )
+    # As a generator the parser runs once per line: later filters on its fields stay above it,
+    # where a plain projection would be repeated inside each of them. Blank lines give no row.
+    filled = F.when(F.trim(F.col(line)) != "", F.array(parsed))
+    return lines.select(*rest, F.inline(filled))
 
 
 def readable(rows: DataFrame) -> DataFrame:
