@@ -160,7 +160,7 @@ def ingest(
     loaded = loaded.withColumn("ingested_at", F.current_timestamp()).withColumn("batch_ok", valid_rating())
     store.append("staged_reviews", loaded, batch)
     staged = spark.read.parquet(f"{store.root}/staged_reviews/batch={batch}")
-    earlier = store.read_appended("reviews", schemas.REVIEWS)
+    earlier = store.read_appended("reviews", schemas.REVIEWS, without=batch)
     ok = staged.filter("batch_ok").drop("batch_ok")
     store.append("reviews", tables.with_new_ids(ok, earlier, "review_id"), batch)
     return spark.range(1).select(

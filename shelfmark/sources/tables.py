@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from shelfmark.operators.ranking import last_by
 
@@ -133,18 +132,26 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _path(self, relative: str):
+        """A Hadoop path below the root with its file system."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}")
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def _parts(self, name: str, prefix: str) -> list[str]:
+        """Values of the ``prefix=<value>`` folders of a table."""
+        folder, fs = self._path(name)
         if not fs.exists(folder):
             return []
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(folder))
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(n[len(prefix) + 1 :] for n in names if n.startswith(f"{prefix}="))
+
+    def _versions(self, name: str) -> list[int]:
+        return sorted(int(v) for v in self._parts(name, "v"))
 
     def _complete(self, name: str, version: int) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v={version}/_SUCCESS")
-        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+        marker, fs = self._path(f"{name}/v={version}/_SUCCESS")
+        return fs.exists(marker)
 
     def version(self, name: str) -> int | None:
         return next((v for v in reversed(self._versions(name)) if self._complete(name, v)), None)
@@ -165,11 +172,12 @@ class TableStore:
         """Add rows under ``batch``; repeating a batch replaces it instead of doubling it."""
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
 
-    def read_appended(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/batch=*")
-        except AnalysisException:
+    def read_appended(self, name: str, schema: str, without: str | None = None) -> DataFrame:
+        """All batches of a table, or all but one: a batch being rewritten must not be read."""
+        paths = [f"{self.root}/{name}/batch={b}" for b in self._parts(name, "batch") if b != without]
+        if not paths:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, chunk: int = 500, **properties: str) -> None:
