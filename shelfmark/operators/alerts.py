@@ -161,7 +161,7 @@ def silent_runs(observations: DataFrame, s: Series) -> DataFrame:
 
     Works on distinct interval slots, so silence needs no generated time spine.
     """
-    slots = slot_counts(observations, [s]).select("labels", "slot")
+    slots = slot_counts(observations, [s]).select("labels", "slot")  # one bucket, so slots are distinct
     nxt = F.lead("slot").over(Window.partitionBy("labels").orderBy("slot"))
     return (
         slots.withColumn("_next", nxt)

@@ -10,9 +10,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, SparkSession
+from pyspark.sql import Column, DataFrame, functions as F, SparkSession, Window
 
-from shelfmark.functions.histogram import with_bucket_quantile
 from shelfmark.operators.metrics import METRICS
 
 
@@ -73,8 +72,8 @@ def _widest(series: Sequence[Series]) -> int:
     return max((len(METRICS[s.metric].bounds) for s in series if s.kind == "quantile"), default=0)
 
 
-def _bound_values(metric: str, width: int) -> list[float]:
-    bounds = list(METRICS[metric].bounds)[:width]
+def _bound_values(s: Series, width: int) -> list[float]:
+    bounds = list(METRICS[s.metric].bounds) if s.kind == "quantile" else []
     return bounds + [float("inf")] * (width - len(bounds))
 
 
@@ -92,7 +91,7 @@ def _sources(spark: SparkSession, series: Sequence[Series]) -> DataFrame:
             sources.append((s.total_metric or s.metric, "whole"))
         for metric, role in sources:
             counter = METRICS[metric].kind == "counter"
-            rows.append((metric, s.name, role, s.interval, s.lookback, counter, *_bound_values(metric, width)))
+            rows.append((metric, s.name, role, s.interval, s.lookback, counter, *_bound_values(s, width)))
     return spark.createDataFrame(
         rows,
         "metric string, series string, role string, interval int, lookback int, counter boolean"
@@ -128,56 +127,85 @@ def feed(observations: DataFrame, series: Sequence[Series], *keep: str) -> DataF
     )
 
 
-def sums(series: Sequence[Series]) -> dict[str, Column]:
-    """Aggregates over fed rows that later add up: cumulative buckets, count, numerator, whole."""
+def sums() -> dict[str, Column]:
+    """Aggregates over fed rows that later add up: count, numerator and whole."""
     part, whole = F.col("role") == "part", F.col("role") == "whole"
-    out = {f"c{i}": F.count_if(F.col("value") <= F.col(f"b{i}")) for i in range(_widest(series))}
-    out["n"] = F.count_if(part)
-    out["part"] = F.sum(F.when(part, F.col("_amount")).otherwise(0.0))
-    out["whole"] = F.sum(F.when(whole, F.col("_amount")).otherwise(0.0))
-    return out
+    return {
+        "n": F.count_if(part),
+        "part": F.sum(F.when(part, F.col("_amount")).otherwise(0.0)),
+        "whole": F.sum(F.when(whole, F.col("_amount")).otherwise(0.0)),
+    }
 
 
-def with_value(ticks: DataFrame, series: Sequence[Series]) -> DataFrame:
-    """Turn the sums of a lookback into the value of its series."""
-    settings = _settings(ticks.sparkSession, series)
+def cumulative_sums(series: Sequence[Series]) -> dict[str, Column]:
+    """Observations at or below each bucket bound, a column per bound."""
+    return {f"c{i}": F.count_if(F.col("value") <= F.col(f"b{i}")) for i in range(_widest(series))}
+
+
+def plain_value() -> Column:
+    """Value of a rate, ratio or complement from the sums of its lookback."""
     rate = F.col("part") / F.col("lookback")
     ratio = F.try_divide(rate, F.col("whole") / F.col("lookback") + F.col("epsilon"))
     kind = F.col("kind")
-    value = (
+    return (
         F.when(kind == "rate", rate * F.col("scale"))
         .when(kind == "ratio", ratio)
         .when(kind == "complement", 1 - ratio)
     )
-    valued = ticks.join(F.broadcast(settings), "series").withColumn("value", value)
-    counts = [F.col(f"c{i}") for i in range(_widest(series))]
-    if counts:
-        valued = with_bucket_quantile(valued, "_q", F.col("q"), F.col("bounds"), counts, F.col("n"))
-        valued = valued.withColumn("value", F.when(kind == "quantile", F.col("_q")).otherwise(F.col("value")))
-    return valued
+
+
+def with_settings(df: DataFrame, series: Sequence[Series]) -> DataFrame:
+    return df.join(F.broadcast(_settings(df.sparkSession, series)), "series")
 
 
 def slot_counts(observations: DataFrame, series: Sequence[Series]) -> DataFrame:
-    """Sums per series, label set and interval slot, in one scan and one combining shuffle. The
-    result follows the time span, not the number of observations."""
+    """Sums per series, label set, interval slot and bucket, in one scan and one combining
+    shuffle. The result follows the time span, not the number of observations.
+
+    ``bucket`` is the number of bounds below the value, so three sums serve every histogram:
+    a sum per bound would make a method too long for the JVM to compile.
+    """
     fed = feed(observations.withColumn("_sec", F.unix_seconds("ts")), series, "_sec")
     slot = F.col("interval") * (F.floor(F.col("_sec") / F.col("interval")) + 1)
-    return fed.groupBy("series", "labels", "interval", "lookback", slot.alias("slot")).agg(
-        *[c.alias(n) for n, c in sums(series).items()]
-    )
+    above = [(F.col("value") > F.col(f"b{i}")).cast("int") for i in range(_widest(series))]
+    bucket = sum(above, F.lit(0))
+    return fed.groupBy(
+        "series", "labels", "interval", "lookback", slot.alias("slot"), bucket.alias("bucket")
+    ).agg(*[c.alias(n) for n, c in sums().items()])
 
 
 def windowed_series(observations: DataFrame, series: Sequence[Series]) -> DataFrame:
-    """Values of the quantile, rate and ratio series: (series, labels, interval, tick, value)."""
+    """Values of the quantile, rate and ratio series: (series, labels, interval, tick, value).
+
+    A quantile is read off in the one bucket of a tick that the rank falls into; the other kinds
+    have a single bucket.
+    """
     last = F.col("slot") + F.col("lookback") - F.col("interval")
     reached = F.sequence(F.col("slot"), last, F.col("interval").cast("bigint"))
     ticks = (
         slot_counts(observations, series)
         .withColumn("tick", F.explode(reached))
-        .groupBy("series", "labels", "interval", "lookback", "tick")
-        .agg(*[F.sum(c).alias(c) for c in sums(series)])
+        .groupBy("series", "labels", "interval", "lookback", "tick", "bucket")
+        .agg(*[F.sum(c).alias(c) for c in sums()])
+    )
+    tick = Window.partitionBy("series", "labels", "tick")
+    upto = tick.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counted = ticks.withColumn("_upto", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(tick))
+    ranked = with_settings(counted, series).withColumn("_rank", F.col("q") * F.col("_all"))
+    below, bucket = F.col("_upto") - F.col("n"), F.col("bucket")
+    reaching = (F.col("_upto") >= F.col("_rank")) & (below < F.col("_rank"))
+    upper = F.get("bounds", bucket)
+    lower = F.when(bucket > 0, F.get("bounds", bucket - 1)).otherwise(0.0)
+    inside = lower + (upper - lower) * (F.col("_rank") - below) / F.col("n")
+    quantile = (
+        F.when(bucket >= F.size("bounds"), F.element_at("bounds", -1))
+        .when((bucket == 0) & (upper <= 0), upper)
+        .otherwise(inside)
+    )
+    value = F.when(F.col("kind") == "quantile", quantile).otherwise(plain_value())
+    return ranked.filter((F.col("kind") != "quantile") | reaching).select(
+        "series", "labels", "interval", "tick", value.alias("value")
     )
-    return with_value(ticks, series).select("series", "labels", "interval", "tick", "value")
 
 
 def gauge_series(observations: DataFrame, series: Sequence[Series]) -> DataFrame:

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from shelfmark.functions.histogram import with_bucket_quantile
 from shelfmark.operators.alerts import Rule, under_rules
-from shelfmark.operators.series import Series, feed, sums, with_value
+from shelfmark.operators.series import (
+    Series, cumulative_sums, feed, plain_value, sums, with_settings,
+)
 from shelfmark.streaming.windows import LATENESS, in_event_time
 
 FIRED = "rule string, labels string, started bigint, fired bigint, value double"
@@ -32,11 +35,21 @@ def stream_values(observations: DataFrame, series: Sequence[Series], lateness: s
     lookback, interval = spans.pop()
     fed = feed(in_event_time(observations, lateness=lateness), series, "ts")
     window = F.window("ts", f"{lookback} seconds", f"{interval} seconds")
+    # A stream cannot rank buckets in a window, so it sums each bound in a column of its own.
+    counts = cumulative_sums(series)
     summed = fed.groupBy(window.alias("w"), "series", "labels", "interval", "lookback").agg(
-        *[c.alias(n) for n, c in sums(series).items()]
+        *[c.alias(n) for n, c in {**counts, **sums()}.items()]
+    )
+    ticks = with_settings(summed, series).withColumn("value", plain_value())
+    if counts:
+        cumulative = [F.col(c) for c in counts]
+        ticks = with_bucket_quantile(ticks, "_q", F.col("q"), F.col("bounds"), cumulative, F.col("n"))
+        quantile = F.when(F.col("kind") == "quantile", F.col("_q"))
+        ticks = ticks.withColumn("value", F.coalesce(quantile, F.col("value")))
+    return ticks.select(
+        F.window_time("w").alias("ts"), "series", "labels", "interval",
+        F.unix_seconds("w.end").alias("tick"), "value",
     )
-    ticked = summed.withColumn("ts", F.window_time("w")).withColumn("tick", F.unix_seconds("w.end"))
-    return with_value(ticked, series).select("ts", "series", "labels", "interval", "tick", "value")
 
 
 class Hold(StatefulProcessor):
