@@ -588,6 +588,20 @@ def sentiment(spark, d):
     return models.score_sentiment(docs, model).select("doc_id", "sentiment_label", "sentiment_score")
 
 
+@query
+def text_search(spark, d):
+    """Every benchmark passage searched for among all documents, from text to ranked hits."""
+    docs = views.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("parent_asin"), "text"
+    )
+    asked = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    corpus = models.hashing_encoder(docs, "text", 256).select(
+        "parent_asin", "embedding", V.pack_bits("embedding", 256).alias("bits")
+    )
+    vectors = models.hashing_encoder(asked, "text", 256).select("query_id", F.col("embedding").alias("vector"))
+    return batch.semantic_search_batch(corpus, vectors, dim=256, top_k=3)
+
+
 # --- telemetry -----------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark import settings
 from shelfmark.functions import vectors as V
+from shelfmark.session import scratch_path
 
 
 def encode_with(
@@ -81,7 +82,12 @@ def train_sentiment(labelled: DataFrame, text: str = "text", label: str = "label
         IDF(inputCol="_tf", outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol=label, maxIter=20, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(labelled.filter(F.col(text).isNotNull()))
+    fitted = Pipeline(stages=stages).fit(labelled.filter(F.col(text).isNotNull()))
+    # Stored and loaded again, the model is free of its training summary, which holds the
+    # session and cannot be sent to executors once the session has observed a query.
+    path = scratch_path(labelled.sparkSession, "sentiment")
+    fitted.save(path)
+    return PipelineModel.load(path)
 
 
 def score_sentiment(df: DataFrame, model, text: str = "text") -> DataFrame:

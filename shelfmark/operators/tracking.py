@@ -57,6 +57,17 @@ def embedding_run_metrics(batches: DataFrame, by: tuple[str, ...] = ("run_id",))
     )
 
 
+def embedding_runs(timings: DataFrame) -> DataFrame:
+    """A run row per embedding run (run_id, started_at, items, elapsed_s, dim, model)."""
+    totals = embedding_run_metrics(timings, ("run_id", "started_at", "model"))
+    names = ("total_embed", "total_embeddings_time_ms", "avg_embedding_time_ms", "embedding_dim")
+    return totals.select(
+        F.col("run_id").cast("string").alias("run_id"), F.lit("embedding").alias("name"), "started_at",
+        _strings({"model_name": F.col("model")}).alias("params"),
+        _numbers({n: F.col(n) for n in names}).alias("metrics"),
+    )
+
+
 def prompt_variant_runs(variants: DataFrame) -> DataFrame:
     """A run row per logged prompt variant; absent quality scores are left out."""
     return variants.select(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Observation, SparkSession
 
 from shelfmark import schemas, settings
 from shelfmark.functions import parse
 from shelfmark.functions.text import clean_list, clean_text, product_text
-from shelfmark.operators import models
+from shelfmark.operators import models, tracking
 from shelfmark.sources import tables
-from shelfmark.sources.jsonl import check_inputs, json_list, read_jsonl, readable
+from shelfmark.sources.jsonl import BAD, check_inputs, json_list, read_jsonl, readable
 
 
 def has_product_key() -> Column:
@@ -99,6 +101,14 @@ def skipped_counts(raw: DataFrame, keep: Column) -> DataFrame:
     )
 
 
+def counted(raw: DataFrame, keep: Column, seen: Observation) -> DataFrame:
+    """Watch how many lines are unreadable and how many readable ones the filter will skip."""
+    bad = F.col(BAD).isNotNull()
+    return raw.observe(
+        seen, F.count_if(bad).alias("unreadable"), F.count_if(~bad & ~keep).alias("skipped")
+    )
+
+
 @dataclass
 class Encoder:
     """How product text becomes vectors: a function from (df, text column) to df + ``embedding``."""
@@ -128,18 +138,19 @@ def ingest(
     score: Callable[[DataFrame], DataFrame] | None = None,
     run_id: str | None = None,
 ) -> DataFrame:
-    """Run the whole job and return the counts of loaded and set-aside rows.
+    """Run the whole job and return the counts of loaded, skipped and set-aside rows.
 
     ``score`` adds sentiment columns to cleaned reviews. A batch may be repeated: products and
-    embeddings merge by key and the reviews of a batch replace themselves.
+    embeddings merge by key and the reviews of a batch replace themselves. The counts of skipped
+    rows are observed while the rows are written, not in a pass of their own.
     """
     encoder = encoder or default_encoder()
     check_inputs(spark, [product_path, review_path])
+    product_seen, review_seen = Observation(), Observation()
 
     # The glob takes the plain file and its compressed form alike.
-    cleaned = clean_products(
-        readable(read_jsonl(spark, f"{product_path}*", schemas.RAW_PRODUCT_FIELDS))
-    )
+    raw = read_jsonl(spark, f"{product_path}*", schemas.RAW_PRODUCT_FIELDS)
+    cleaned = clean_products(readable(counted(raw, has_product_key(), product_seen)))
     # Products and embeddings read the same cleaned rows; they are written once in between.
     store.append("clean_products", cleaned, batch)
     cleaned = spark.read.parquet(f"{store.root}/clean_products/batch={batch}")
@@ -148,12 +159,15 @@ def ingest(
     store.replace("products", tables.upsert_products(old, fresh, ["_source"]), ["parent_asin"])
     products = store.read("products", schemas.PRODUCTS)
 
+    started, clock = datetime.now(timezone.utc), time.perf_counter()
     one_per_key = tables.last_by(cleaned, ["parent_asin"], ["_source"])
     vectors = tables.known_keys(embed_products(one_per_key, encoder, run_id), products)
     old = store.read("embeddings", schemas.EMBEDDINGS)
     store.replace("embeddings", tables.upsert_embeddings(old, vectors), ["parent_asin"])
+    elapsed = time.perf_counter() - clock
 
-    reviews = clean_reviews(readable(read_jsonl(spark, f"{review_path}*", schemas.RAW_REVIEW_FIELDS)))
+    raw = read_jsonl(spark, f"{review_path}*", schemas.RAW_REVIEW_FIELDS)
+    reviews = clean_reviews(readable(counted(raw, has_review_fields(), review_seen)))
     if score is not None:
         reviews = score(reviews)
     loaded = tables.known_keys(review_rows(reviews).drop("_source"), products)
@@ -163,9 +177,18 @@ def ingest(
     earlier = store.read_appended("reviews", schemas.REVIEWS, without=batch)
     ok = staged.filter("batch_ok").drop("batch_ok")
     store.append("reviews", tables.with_new_ids(ok, earlier, "review_id"), batch)
+
+    embedded = cleaned.select("parent_asin").distinct().count()
+    timing = spark.createDataFrame(
+        [(run_id or batch, started, embedded, elapsed, encoder.dim, encoder.name)],
+        "run_id string, started_at timestamp, items long, elapsed_s double, dim int, model string",
+    )
+    store.append("runs", tracking.embedding_runs(timing), batch)
     return spark.range(1).select(
         products.agg(F.count("*")).scalar().alias("products"),
         store.read("embeddings", schemas.EMBEDDINGS).agg(F.count("*")).scalar().alias("embeddings"),
         staged.agg(F.count_if("batch_ok")).scalar().alias("reviews_loaded"),
         staged.agg(F.count_if(~F.col("batch_ok"))).scalar().alias("reviews_set_aside"),
+        *[F.lit(product_seen.get[c]).alias(f"product_{c}") for c in ("unreadable", "skipped")],
+        *[F.lit(review_seen.get[c]).alias(f"review_{c}") for c in ("unreadable", "skipped")],
     )

@@ -125,7 +125,9 @@ def test_whole_ingest_twice(spark, inputs, tmp_path):
         counts = ingest.ingest(
             spark, store, *inputs, batch="w1", encoder=ingest.default_encoder(64), score=score, run_id="r"
         ).first()
-        assert tuple(counts) == (2, 2, 2, 2)
+        assert tuple(counts) == (2, 2, 2, 2, 1, 2, 1, 2)
+    run = store.read_appended("runs", schemas.RUNS).collect()
+    assert len(run) == 1 and run[0].metrics["total_embed"] == 2 and run[0].metrics["embedding_dim"] == 64
     products = {r.parent_asin: r for r in store.read("products", schemas.PRODUCTS).collect()}
     one = products["P1"]
     assert (one.title, one.store, str(one.price), one.price_raw) == ("One again", "s1", "12.00", "12")
