@@ -637,8 +637,8 @@ FROM (SELECT event_type AS search_type, value / 100 AS v, unnest({_LE_LIST})::DO
 GROUP BY search_type, le"""
     q["latency_histogram"] = buckets
     quantiles = ", ".join(
-        f"""round(coalesce(min_by(CASE WHEN cum = below THEN low ELSE low + (le - low) * ({p} * total - below) / (cum - below) END, le)
-             FILTER (cum >= {p} * total), max(le)), 6) AS p{n}"""
+        f"""round(coalesce(min_by(CASE WHEN cum = below THEN low ELSE low + (le - low) * ({p}::DOUBLE * total - below) / (cum - below) END, le)
+             FILTER (cum >= {p}::DOUBLE * total), max(le)), 9) AS p{n}"""
         for n, p in ((10, 0.10), (50, 0.50), (95, 0.95), (99, 0.99))
     )
     q["histogram_quantiles"] = f"""
@@ -659,7 +659,7 @@ FROM (SELECT date_trunc('day', ts::TIMESTAMP)::TIMESTAMP AS window_start, event_
 WHERE window_start + INTERVAL 1 DAY <= {_WATERMARK}
 GROUP BY window_start, event_type, le"""
     hour = dashboards._tokens("input", "tokens_in_last_hour", 3600, 3600.0, ())
-    point = f"SELECT series, labels, {_STAMP.format(c='tick')} AS tick, round(value, 6) AS value"
+    point = f"SELECT series, labels, {_STAMP.format(c='tick')} AS tick, round(value, 9) AS value"
     q["tokens_last_hour"] = f"WITH {_series_values([hour])} {point} FROM points"
     q["dashboard_panels"] = f"""
 WITH {_series_values(dashboards.PANELS)} {point} FROM (SELECT * FROM points UNION ALL SELECT * FROM gauged)"""
@@ -680,7 +680,7 @@ FROM s GROUP BY event_type, slot"""
     q["alerts_fired"] = f"""
 WITH {_fired(alerts.RULES)}
 SELECT f.rule, f.labels, {_STAMP.format(c='started')} AS started_at, {_STAMP.format(c='fired')} AS fired_at,
-       {_STAMP.format(c='ended')} AS ended_at, round(value, 6) AS value, severity, team, channel
+       {_STAMP.format(c='ended')} AS ended_at, round(value, 9) AS value, severity, team, channel
 FROM fired f JOIN rules r ON r.rule = f.rule"""
     q["no_traffic"] = """
 WITH s AS (SELECT DISTINCT (floor(epoch(ts) / 15) * 15 + 15)::BIGINT AS slot FROM events),
@@ -724,7 +724,7 @@ SELECT role AS variant_name, count(*) AS runs, round(avg(length(text)), 6) AS in
 FROM conversations GROUP BY role"""
     q["stream_alerts"] = f"""
 WITH {_fired(_STREAM_RULES)}
-SELECT rule, labels, started, fired, round(value, 6) AS value FROM fired
+SELECT rule, labels, started, fired, round(value, 9) AS value FROM fired
 WHERE {_STAMP.format(c='fired')} <= {_WATERMARK}"""
     silence = [r for r in alerts.RULES if r.series.kind == "silence"]
     q["stream_no_traffic"] = (

@@ -13,7 +13,7 @@ from shelfmark.operators import (
 )
 from shelfmark.operators.search import semantic_search
 from shelfmark.plans import context, ingest
-from shelfmark.session import scratch_path
+from shelfmark.session import materialize, scratch_path
 from shelfmark.sources import jsonl, tables, views
 from shelfmark.streaming import alerts as stream_alerts_mod, ingest as stream_ingest, windows
 from shelfmark import schemas
@@ -74,7 +74,7 @@ def semantic_search_prefilter(spark, d):
 
 
 def _centers(spark, d) -> DataFrame:
-    return batch.category_centers(views.embeddings(spark, d))
+    return materialize(batch.category_centers(views.embeddings(spark, d)))
 
 
 @query
@@ -633,7 +633,7 @@ def latency_histogram(spark, d):
 def histogram_quantiles(spark, d):
     hist = metrics.histogram(views.search_events(spark, d), ["search_type"], "seconds", LATENCY_BOUNDS)
     wanted = {"p10": 0.10, "p50": 0.50, "p95": 0.95, "p99": 0.99}
-    return rounded(metrics.histogram_quantiles(hist, ["search_type"], LATENCY_BOUNDS, wanted), *wanted)
+    return rounded(metrics.histogram_quantiles(hist, ["search_type"], LATENCY_BOUNDS, wanted), *wanted, digits=9)
 
 
 @query
@@ -650,7 +650,7 @@ def tokens_last_hour(spark, d):
         views.observations(spark, d),
         [dashboards._tokens("input", "tokens_in_last_hour", 3600, 3600.0, ())],
     )
-    return rounded(o, "value")
+    return rounded(o, "value", digits=9)
 
 
 @query
@@ -671,7 +671,7 @@ def counter_increase(spark, d):
 
 @query
 def alerts_fired(spark, d):
-    return rounded(alerts.alerts_fired(views.observations(spark, d)).drop("message"), "value", digits=6)
+    return rounded(alerts.alerts_fired(views.observations(spark, d)).drop("message"), "value", digits=9)
 
 
 @query
@@ -682,7 +682,7 @@ def no_traffic(spark, d):
 
 @query
 def dashboard_panels(spark, d):
-    return rounded(dashboards.panel_series(views.observations(spark, d)), "value")
+    return rounded(dashboards.panel_series(views.observations(spark, d)), "value", digits=9)
 
 
 @query
@@ -782,7 +782,7 @@ STREAM_RULES = [r for r in alerts.RULES if (r.series.lookback, r.series.interval
 def stream_alerts(spark, d):
     stream_alerts_mod.use_rocksdb(spark)
     seen = views.observations_of(_event_stream(spark, d))
-    return rounded(_streamed(spark, stream_alerts_mod.alert_stream(seen, STREAM_RULES)), "value")
+    return rounded(_streamed(spark, stream_alerts_mod.alert_stream(seen, STREAM_RULES)), "value", digits=9)
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from shelfmark import settings
 from shelfmark.functions import vectors as V
 from shelfmark.operators.ranking import top_rows
+from shelfmark.session import materialize
 
 MAX_LOCAL_QUERIES = 4096  # queries sent to every task; 384-dim bits of these take 200 kB
 QUERY_BLOCK = 256  # queries compared with a batch of rows at a time
@@ -99,7 +100,8 @@ def nearest_per_query(
     words for ``hamming`` and components for ``cosine``. Up to ``max_local_queries`` queries go
     to every task and the corpus is not shuffled. A larger set is laid out as a grid: corpus
     rows are spread over its rows, queries over its columns, and each cell of bounded size
-    yields its own top n. Both forms emit n rows per query and task, never the pairs.
+    yields its own top n. Both forms emit n rows per query and task, never the pairs. Keys and
+    query ids are unique, which spreads them evenly over the grid.
     """
     dtype, score = MEASURES[measure]
     id_type = queries.schema["query_id"].dataType
@@ -176,6 +178,8 @@ def semantic_search_batch(
     most ``top_k * oversample`` per query, to the vectors on their key.
     """
     settings.bounded("top_k", top_k, 1, settings.MAX_TOP_K)
+    # Read three times below; a query table is often the result of a job of its own.
+    queries = materialize(queries.select("query_id", "vector"))
     bits = F.col("bits") if "bits" in embeddings.columns else V.pack_bits("embedding", dim)
     candidates = nearest_per_query(
         embeddings.select("parent_asin", bits.alias("point")),

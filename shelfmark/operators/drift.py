@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 BINS = 20  # equal bins on [-1, 1] per dimension
 
@@ -16,10 +16,8 @@ def bin_shares(df: DataFrame, groups: list[str], share: str, bins: int = BINS) -
         .groupBy(*groups, "_dim", F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)).alias("_bin"))
         .agg(F.count("*").alias("_n"))
     )
-    totals = counted.groupBy(*groups, "_dim").agg(F.sum("_n").alias("_all"))
-    return counted.join(totals, [*groups, "_dim"]).select(
-        *groups, "_dim", "_bin", (F.col("_n") / F.col("_all")).alias(share)
-    )
+    everything = F.sum("_n").over(Window.partitionBy(*groups, "_dim"))
+    return counted.select(*groups, "_dim", "_bin", (F.col("_n") / everything).alias(share))
 
 
 def embedding_drift(

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from shelfmark.functions.histogram import cumulative_counts, with_bucket_quantile
-from shelfmark.operators.ranking import in_order
+from shelfmark.operators.ranking import in_order, join_groups
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def counter_increase(
         .otherwise(F.col(value) - previous)
     )
     return (
-        rows.join(lasts, [*labels, "_pid"])
+        join_groups(rows, lasts, [*labels, "_pid"])
         .withColumn("_grown", grown)
         .groupBy(*labels, F.window(order[0], slot)["start"].alias("slot_start"))
         .agg(F.sum("_grown").alias("increase"))

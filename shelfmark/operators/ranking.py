@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,6 +28,15 @@ def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def join_groups(rows: DataFrame, info: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of ``info``, one row per ``keys``, to ``rows``; a null key is a key too."""
+    renamed = info.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in info.columns if c not in keys]
+    )
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return rows.join(renamed, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``_rank``: the 0-based position of a row within its group.
 
@@ -43,7 +53,7 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Da
         *group, "_pid", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     return (
-        rows.join(offsets, [*group, "_pid"])
+        join_groups(rows, offsets, [*group, "_pid"])
         .withColumn("_rank", F.col("_before") + F.col("_row") - F.col("_first"))
         .drop("_pid", "_row", "_first", "_before")
     )

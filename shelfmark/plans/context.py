@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark import settings
 from shelfmark.functions import text as T
 from shelfmark.operators.ranking import top_rows
+from shelfmark.session import materialize
 
 
 def _order() -> list[Column]:
@@ -33,12 +34,14 @@ def review_context_batch(
     hits: DataFrame, reviews: DataFrame, limit: int = settings.CONTEXT_REVIEWS
 ) -> DataFrame:
     """The same for many searches: (query_id, texts). Each product keeps only the reviews that
-    can still be chosen before it meets the queries that hit it."""
+    can still be chosen before it meets the queries that hit it. The hits are needed twice, so
+    the search that made them is run once and kept."""
+    hits = materialize(hits.select("query_id", "parent_asin").distinct())
     usable = reviews.filter(F.col("review_text").isNotNull()).join(
         hits.select("parent_asin").distinct(), "parent_asin", "left_semi"
     )
     per_product = top_rows(usable, ["parent_asin"], _order(), limit).drop("_pos")
-    joined = hits.select("query_id", "parent_asin").distinct().join(per_product, "parent_asin")
+    joined = hits.join(per_product, "parent_asin")
     ranked = top_rows(joined, ["query_id"], _order(), limit)
     entry = F.struct("_pos", "review_text")
     return ranked.groupBy("query_id").agg(

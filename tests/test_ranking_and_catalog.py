@@ -34,6 +34,12 @@ def test_rank_within(skewed):
     assert got == want
 
 
+def test_a_null_group_is_ranked_too(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "g string, t int")
+    got = {(r.g, r.t): r._rank for r in ranking.rank_within(df, ["g"], ["t"]).collect()}
+    assert got == {(None, 1): 0, (None, 2): 1, ("a", 5): 0}
+
+
 def test_rolling_equals_brute_force(skewed):
     rows, df = skewed
     got = {
