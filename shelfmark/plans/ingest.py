@@ -13,6 +13,7 @@ from shelfmark import schemas, settings
 from shelfmark.functions import parse
 from shelfmark.functions.text import clean_list, clean_text, product_text
 from shelfmark.operators import models, tracking
+from shelfmark.session import spread
 from shelfmark.sources import tables
 from shelfmark.sources.jsonl import BAD, check_inputs, json_list, read_jsonl, readable
 
@@ -150,7 +151,7 @@ def ingest(
 
     # The glob takes the plain file and its compressed form alike.
     raw = read_jsonl(spark, f"{product_path}*", schemas.RAW_PRODUCT_FIELDS)
-    cleaned = clean_products(readable(counted(raw, has_product_key(), product_seen)))
+    cleaned = clean_products(readable(counted(spread(raw), has_product_key(), product_seen)))
     # Products and embeddings read the same cleaned rows; they are written once in between.
     store.append("clean_products", cleaned, batch)
     cleaned = spark.read.parquet(f"{store.root}/clean_products/batch={batch}")
@@ -167,7 +168,7 @@ def ingest(
     elapsed = time.perf_counter() - clock
 
     raw = read_jsonl(spark, f"{review_path}*", schemas.RAW_REVIEW_FIELDS)
-    reviews = clean_reviews(readable(counted(raw, has_review_fields(), review_seen)))
+    reviews = clean_reviews(readable(counted(spread(raw), has_review_fields(), review_seen)))
     if score is not None:
         reviews = score(reviews)
     loaded = tables.known_keys(review_rows(reviews).drop("_source"), products)

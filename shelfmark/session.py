@@ -56,3 +56,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores, such as one compressed file, out to
+    all cores before costly work per row. A scan with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

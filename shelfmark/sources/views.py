@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shelfmark.session import spread
+
 TEST_DIM = 64
 
 
@@ -119,7 +121,7 @@ def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations_of(table(spark, sf_dir, "events"))
+    return observations_of(spread(table(spark, sf_dir, "events")))
 
 
 def observations_of(events: DataFrame) -> DataFrame:
