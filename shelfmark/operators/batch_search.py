@@ -106,8 +106,8 @@ def nearest_per_query(
     dtype, score = MEASURES[measure]
     id_type = queries.schema["query_id"].dataType
     schema = f"query_id {id_type.simpleString()}, parent_asin string, _score double"
-    queries = queries.select("query_id", "point")
-    corpus = corpus.select("parent_asin", "point")
+    queries = queries.select("query_id", "point").filter(F.col("point").isNotNull())
+    corpus = corpus.select("parent_asin", "point").filter(F.col("point").isNotNull())
 
     head = queries.limit(max_local_queries + 1).toPandas()  # bounded by the limit
     if len(head) <= max_local_queries:

@@ -77,7 +77,7 @@ def nearest_by_bits(
         columns += [F.col("embedding"), q["vector"].alias("_query")]
     return (
         embeddings.select(*columns, V.hamming(bits, q["bits"], words).alias("_hamming"))
-        .orderBy("_hamming", "parent_asin")
+        .orderBy(F.col("_hamming").asc_nulls_last(), "parent_asin")
         .limit(candidates)
     )
 
@@ -104,7 +104,7 @@ def rerank(
         candidates.select(
             "parent_asin", V.cosine_distance(F.col("embedding"), F.col("_query")).alias("_distance")
         )
-        .orderBy("_distance", "parent_asin")
+        .orderBy(F.col("_distance").asc_nulls_last(), "parent_asin")
         .limit(top_k)
     )
 
