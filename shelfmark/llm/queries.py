@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import quality_rules
+from shelfmark.llm import bpe, quality_rules, token_counts
+
+#: Tokens that a training sequence holds.
+SEQUENCE = 1024
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    counted = token_counts.token_counts(spark, F.col("text"), _tokenizer("byte_bpe_50k.json"), SEQUENCE)
+    return docs.select("doc_id", counted.alias("t")).select("doc_id", "t.*")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer("byte_bpe_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.measure(docs).select(
@@ -26,4 +52,4 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op3_quality_rules,)}
+REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules)}
