@@ -59,5 +59,25 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
 FROM m"""
 
 
+def _op9() -> str:
+    # 5 hexadecimal digits are 20 bits, that is 4 letters of base 32
+    letters = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+        f"((('0x' || substr(sha, {5 * g + 1}, 5))::INT >> {15 - 5 * k}) & 31) + 1, 1)"
+        for g in range(8)
+        for k in range(4)
+    )
+    return f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS sha
+  FROM pages
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha, n) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, {letters} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3()}
+    return {"op3_quality_rules": _op3(), "op9_warc": _op9()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, quality_rules, token_counts
+from shelfmark.llm import bpe, quality_rules, token_counts, warc
 
 #: Tokens that a training sequence holds.
 SEQUENCE = 1024
@@ -52,4 +52,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return read.filter("kind = 'record'").select(
+        F.col("fields")["warc-page-key"].cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("fields")["warc-refers-to-page-key"].cast("long").alias("refers_to"),
+    )
+
+
+REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op9_warc)}
