@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import quality_rules as rules
+from shelfmark.llm import mixing, quality_rules as rules
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -59,6 +59,59 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
 FROM m"""
 
 
+def _op5() -> str:
+    steps, half = mixing.STEPS, mixing.STEPS // 2
+    def measured(k: str) -> str:  # entropy and repetition of all sources at a step
+        return f"""(SELECT struct_pack(
+          h := ln(sum(p)) - sum(p * ln(p)) / sum(p), r := max(p / n_tokens) / min(p / n_tokens))
+        FROM (SELECT n_tokens, pow(n_tokens / (SELECT t FROM told), {k} / {steps}.0) AS p FROM sizes))"""
+
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, greatest(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')), 1) AS n_tokens,
+    md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents
+),
+sizes AS (SELECT source, count(*) AS n_docs, sum(n_tokens)::DOUBLE AS n_tokens FROM d GROUP BY source),
+told AS (SELECT sum(n_tokens) AS t, {mixing.TARGET_ENTROPY} * ln(count(*)) - 1e-12 AS enough FROM sizes),
+-- both bounds by halving: the largest step with enough entropy, the largest that repeats too often
+b AS (
+  SELECT 0 AS h, 0 AS r, {half} AS w, {measured("0")}.r > {mixing.REPEAT_LIMIT} AS often
+  UNION ALL
+  SELECT CASE WHEN {measured("(h + w)")}.h >= (SELECT enough FROM told) THEN h + w ELSE h END,
+    CASE WHEN {measured("(r + w)")}.r > {mixing.REPEAT_LIMIT} THEN r + w ELSE r END, w // 2, often
+  FROM b WHERE w > 0
+),
+k AS (SELECT greatest(CASE WHEN {measured(str(steps))}.h >= (SELECT enough FROM told) THEN {steps} ELSE h END, CASE WHEN often THEN r + 1 ELSE 0 END) AS k FROM b WHERE w = 0),
+weighted AS (
+  SELECT source, n_docs, n_tokens, pow(n_tokens / (SELECT t FROM told), (SELECT k FROM k) / {steps}.0) AS power
+  FROM sizes
+),
+plan AS (
+  SELECT source, ceil(n_docs / {mixing.BLOCK_ROWS}.0)::BIGINT AS n_blocks, n_tokens::BIGINT AS of_tokens,
+    floor(power * (SELECT max(n_tokens / power) FROM weighted) + 0.5)::BIGINT AS budget
+  FROM weighted
+),
+placed AS (
+  SELECT doc_id, d.source, n_tokens, key, ('0x' || substr(key, 1, 8))::BIGINT % n_blocks AS block,
+    budget // of_tokens AS epochs, budget % of_tokens AS rest
+  FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+),
+blocks AS (
+  SELECT source, block, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5('{mixing.SEED}:' || block), block
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, block, sum(n_tokens) AS n FROM placed GROUP BY source, block)
+),
+run AS (
+  SELECT placed.*, before + coalesce(sum(n_tokens) OVER (PARTITION BY placed.source, placed.block ORDER BY key
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
+  FROM placed JOIN blocks ON placed.source IS NOT DISTINCT FROM blocks.source AND placed.block = blocks.block
+)
+SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, block,
+  (epochs + CASE WHEN reached < rest THEN 1 ELSE 0 END)::BIGINT AS draws
+FROM run"""
+
+
 def _op9() -> str:
     # 5 hexadecimal digits are 20 bits, that is 4 letters of base 32
     letters = " || ".join(
@@ -80,4 +133,4 @@ FROM f"""
 
 
 def all_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3(), "op9_warc": _op9()}
+    return {"op3_quality_rules": _op3(), "op5_mixing": _op5(), "op9_warc": _op9()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, quality_rules, token_counts, warc
+from shelfmark.llm import bpe, mixing, quality_rules, token_counts, warc
 
 #: Tokens that a training sequence holds.
 SEQUENCE = 1024
@@ -52,6 +52,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.draws(docs).select(
+        "doc_id", "source", F.col("draws_tokens").alias("n_tokens"), F.col("draws_block").alias("block"), "draws"
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(_table(spark, sf_dir, "pages"))
     return read.filter("kind = 'record'").select(
@@ -63,4 +70,4 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op9_warc)}
+REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op5_mixing, op9_warc)}
