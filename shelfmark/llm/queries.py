@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, mixing, quality_rules, token_counts, warc
+from shelfmark.llm import bpe, mixing, quality_rules, secret_scans, token_counts, warc
 
 #: Tokens that a training sequence holds.
 SEQUENCE = 1024
@@ -59,6 +59,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = secret_scans.fit(docs)
+    found = docs.select("doc_id", secret_scans.find_secrets(F.col("text"), field).alias("found"))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *(count(k) for k in secret_scans.KINDS),
+        F.sha2(told(F.filter("found", lambda s: s["kind"] != "crf")).cast("binary"), 256).alias("base_sha256"),
+        told(F.col("found")).alias("spans"),
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(_table(spark, sf_dir, "pages"))
     return read.filter("kind = 'record'").select(
@@ -70,4 +89,4 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op5_mixing, op9_warc)}
+REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op5_mixing, op8_secret_scans, op9_warc)}
