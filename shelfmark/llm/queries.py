@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, mixing, quality_rules, secret_scans, token_counts, warc
+from shelfmark.llm import bpe, mixing, quality_classifier, quality_rules, secret_scans, token_counts, warc
 
 #: Tokens that a training sequence holds.
 SEQUENCE = 1024
@@ -89,4 +89,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op5_mixing, op8_secret_scans, op9_warc)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return quality_classifier.classify(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out
+    )
+
+
+REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op5_mixing, op8_secret_scans, op9_warc, op10_quality_classifier)}
