@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import mixing, quality_rules as rules
+from shelfmark.llm import license_scans, mixing, quality_rules as rules
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -59,6 +59,51 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
 FROM m"""
 
 
+def _op4() -> str:
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    places = " UNION ALL ".join(
+        f"SELECT row, i, '{label}' AS label FROM places WHERE words[i + 1:i + {len(p.split())}] = {p.split()}"
+        for p, label in license_scans.PHRASES
+    )
+    templates = ", ".join(
+        f"({i}, '{label}', {len(s)}, {license_scans.needed(len(s), license_scans.THRESHOLD)}, "
+        f"{sorted(w.decode() for w in s)})"
+        for i, (label, s) in enumerate(license_scans._templates(license_scans.TEMPLATES))
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {lower} AS low FROM documents),
+w AS (SELECT row, doc_id, low, regexp_extract_all(low, '{word}') AS words FROM d),
+places AS (SELECT row, words, unnest(range(0, len(words))) AS i FROM w WHERE contains(low, 'license')),
+base AS ({places}),
+b AS (
+  SELECT row, count(*) AS n, min(i) AS first, max(i) AS last, list_sort(list_distinct(list(label))) AS labels
+  FROM base GROUP BY row
+),
+t AS (SELECT * FROM (VALUES {templates}) AS v(template, label, size, need, tokens)),
+tokens AS (SELECT template, label, size, need, unnest(tokens) AS token FROM t),
+blocks AS (
+  SELECT row, block, unnest(list_distinct(regexp_extract_all(part, '{word}'))) AS token
+  FROM (
+    SELECT row, unnest(parts) AS part, unnest(range(0, len(parts))) AS block
+    FROM (SELECT row, string_split_regex(low, '\\n|[.!?][ \\t\\r\\n\\x0b\\x0c]+') AS parts FROM d)
+  )
+),
+hits AS (
+  SELECT row, label, count(*) / size AS containment
+  FROM blocks JOIN tokens USING (token) GROUP BY row, block, template, label, size, need HAVING count(*) >= need
+),
+h AS (
+  SELECT row, list_distinct(list(label)) AS labels, max(containment) AS containment FROM hits GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first::BIGINT AS first_word,
+  b.last::BIGINT AS last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(h.labels, []))), ','), '')
+    AS labels,
+  CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(h.containment, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN b USING (row) LEFT JOIN h USING (row)"""
+
+
 def _op5() -> str:
     steps, half = mixing.STEPS, mixing.STEPS // 2
     def measured(k: str) -> str:  # entropy and repetition of all sources at a step
@@ -133,4 +178,4 @@ FROM f"""
 
 
 def all_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3(), "op5_mixing": _op5(), "op9_warc": _op9()}
+    return {"op3_quality_rules": _op3(), "op4_license_scans": _op4(), "op5_mixing": _op5(), "op9_warc": _op9()}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, mixing, quality_classifier, quality_rules, secret_scans, token_counts, warc
+from shelfmark.llm import (
+    bpe, license_scans, mixing, quality_classifier, quality_rules, secret_scans, token_counts, warc,
+)
 
 #: Tokens that a training sequence holds.
 SEQUENCE = 1024
@@ -52,6 +54,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.draws(docs).select(
@@ -96,4 +102,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op5_mixing, op8_secret_scans, op9_warc, op10_quality_classifier)}
+REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op4_license_scans, op5_mixing, op8_secret_scans, op9_warc, op10_quality_classifier)}
