@@ -157,6 +157,21 @@ SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, block,
 FROM run"""
 
 
+def _op6() -> str:
+    return """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v::DOUBLE[], x.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id AND len(q.v) = len(x.v)
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
 def _op9() -> str:
     # 5 hexadecimal digits are 20 bits, that is 4 letters of base 32
     letters = " || ".join(
@@ -178,4 +193,4 @@ FROM f"""
 
 
 def all_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3(), "op4_license_scans": _op4(), "op5_mixing": _op5(), "op9_warc": _op9()}
+    return {"op3_quality_rules": _op3(), "op4_license_scans": _op4(), "op5_mixing": _op5(), "op6_exact_topk": _op6(), "op9_warc": _op9()}

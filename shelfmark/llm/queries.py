@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    bpe, license_scans, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts, warc,
+    bpe, license_scans, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts,
+    topk_join, warc,
 )
 
 #: Tokens that a training sequence holds.
@@ -65,6 +66,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_join.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -106,4 +111,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_rules, op4_license_scans, op5_mixing, op7_ngram_jaccard_join, op8_secret_scans, op9_warc, op10_quality_classifier)}
+REGISTRY = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_byte_bpe, op3_quality_rules, op4_license_scans, op5_mixing, op6_exact_topk,
+        op7_ngram_jaccard_join, op8_secret_scans, op9_warc, op10_quality_classifier,
+    )
+}
