@@ -194,8 +194,10 @@ def measure(docs: DataFrame, into: str = "quality", text: str = "text") -> DataF
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with ``text`` cut to its passing lines and ``n_chars`` to match."""
     columns = docs.columns
-    kept = measure(docs, "__rules").filter(F.col("__rules.kept"))
-    kept = kept.withColumn("text", F.col("__rules.clean_text"))
+    # exploded, so that the filter stays above: pushed down, it would repeat all that it is made of
+    judged = measure(docs, "__rules").select(*columns, F.explode(F.array("__rules")).alias("__kept"))
+    kept = judged.filter(F.col("__kept.kept"))
+    kept = kept.withColumn("text", F.col("__kept.clean_text"))
     if "n_chars" in columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*columns)
