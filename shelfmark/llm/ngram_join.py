@@ -15,7 +15,8 @@ The distance 1 - similarity is a metric, and the join is by pivots and windows,
    the pivot, all others are measured against it, and sets within the radius of it are one component. Then the
    region is joined again: only sets outside its largest component are still compared, with sets of other
    components that are within the windows of size and of shingle counts in 64 classes.
-4. Pairs left are verified on whole sets, which are read again from the texts for the documents concerned.
+4. Pairs left are verified on whole sets, which are read again from the texts for the documents concerned:
+   first one pair for each document, then those that would join different components.
 
 Equal sets are one node, so copies never meet each other in a region. Shingles and sets are known by 64-bit
 hashes. Components come from links by repeated contraction in tables; nothing per document is ever collected.
@@ -27,6 +28,7 @@ an id. An empty table gives no rows. Columns other than doc_id and text are not
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,37 +62,42 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random value per byte, and powers of a number and of its inverse modulo 2^64."""
     letters = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
-    base, inverse = _ODD, pow(_ODD, -1, 2**64)
-    powers = [np.full(_CHUNK, x, np.uint64) for x in (base, inverse)]
+    powers = [np.full(size, x, np.uint64) for x in (_ODD, pow(_ODD, -1, 2**64))]
     for p in powers:
-        p[0] = 1
+        p[:1] = 1
     return letters, np.cumprod(powers[0]), np.cumprod(powers[1])
 
 
+def _cut(data: bytes, at: int) -> int:
+    """Where the chunk that starts at ``at`` ends: behind white space, or where a longer word ends."""
+    stop = at + _CHUNK
+    if stop >= len(data):
+        return len(data)
+    white = np.flatnonzero(_WHITE[np.frombuffer(data, np.uint8, _CHUNK, at)])
+    if len(white):
+        return at + int(white[-1]) + 1
+    found = re.compile(rb"[\x20\x09-\x0D]").search(data, stop)
+    return found.end() if found else len(data)
+
+
 def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of all words, by sums over the bytes of each word; one pass without a loop
-    over words. A word longer than a chunk is hashed by its parts."""
-    letters, powers, inverses = _powers()
-    hashes, starts, at = [], [], 0
+    over words."""
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(data):
-        part = np.frombuffer(data, np.uint8, min(_CHUNK, len(data) - at), at)
-        white = _WHITE[part]
-        if at + len(part) < len(data):  # cut behind the last white space
-            last = np.flatnonzero(white)
-            if len(last) and last[-1] + 1 < len(part):
-                part, white = part[: last[-1] + 1], white[: last[-1] + 1]
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]])))
+        stop = _cut(data, at)
+        part = np.frombuffer(data, np.uint8, stop - at, at)
+        letters, powers, inverses = _powers(max(_CHUNK, len(part)))
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _WHITE[part], [True]])))
         first, end = edges[::2], edges[1::2]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[part] * powers[: len(part)])])
         length = (end - first).astype(np.uint64)
-        hashes.append(_mixed((sums[end] - sums[first]) * inverses[np.minimum(first, _CHUNK - 1)] + length))
+        hashes.append(_mixed((sums[end] - sums[first]) * inverses[first] + length))
         starts.append(first + at)
-        at += len(part)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = stop
     return np.concatenate(hashes), np.concatenate(starts)
 
 
@@ -177,46 +184,58 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(_mixed(total).view(np.int64)[0])
 
 
-_SET_SCHEMA = "doc_id long, n long, node long, classes binary, visits array<long>"
-
-
-def _sets(docs: DataFrame, common: bytes, path: str) -> DataFrame:
-    """Per row: set size, node (its set's hash), shingle counts by class, and the regions it visits."""
-    bits = docs.sparkSession.sparkContext.broadcast(common)
+def _sets(docs: DataFrame, path: str) -> DataFrame:
+    """Per row: set size, node (its set's hash) and shingle counts by class."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = _table(bits.value)
         for ids, sets in _in_chunks(batches):
-            seen: set[int] = set()
-            nodes, classes, chosen = [], [], []
-            for s in sets:
-                node = _fingerprint(s)
-                nodes.append(node)
-                count = np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-                classes.append(np.minimum(count, 255).astype(np.uint8).tobytes())
-                if not len(s) or node in seen:  # of copies that stand together, one visits
-                    chosen.append(s[:0])
-                    continue
-                seen.add(node)
-                late = last[_slot(s)]
-                k = visits(len(s))
-                early = s[~late][:k]
-                chosen.append(early if len(early) == k else np.concatenate([early, s[late][: k - len(early)]]))
-            offsets = np.cumsum([0, *map(len, chosen)]).astype(np.int32)
-            flat = np.concatenate(chosen).view(np.int64)
+            classes = [
+                np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255)
+                for s in sets
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(nodes, pa.int64()), pa.array(classes, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array([_fingerprint(s) for s in sets], pa.int64()),
+                    pa.array([c.astype(np.uint8).tobytes() for c in classes], pa.binary()),
                 ],
-                names=["doc_id", "n", "node", "classes", "visits"],
+                names=["doc_id", "n", "node", "classes"],
             )
 
-    docs.mapInArrow(read, _SET_SCHEMA).write.parquet(path)
+    docs.mapInArrow(read, "doc_id long, n long, node long, classes binary").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def _visiting(docs: DataFrame, common: bytes) -> DataFrame:
+    """``s, node, n`` for each region that a set visits. Written nowhere: it is as large as a fifth of
+    all shingles, and the texts are sooner read once more."""
+    bits = docs.sparkSession.sparkContext.broadcast(common)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = _table(bits.value)
+        for _, sets in _in_chunks(batches):
+            chosen: dict[int, tuple[np.ndarray, int]] = {}  # of copies that stand together, one visits
+            for s in sets:
+                if len(s) and (node := _fingerprint(s)) not in chosen:
+                    late = last[_slot(s)]
+                    k = visits(len(s))
+                    early = s[~late][:k]
+                    more = s[late][: k - len(early)]
+                    chosen[node] = (np.concatenate([early, more]), len(s))
+            if chosen:
+                k = [len(v) for v, _ in chosen.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([v for v, _ in chosen.values()]).view(np.int64)),
+                        pa.array(np.repeat(np.fromiter(chosen, np.int64, len(chosen)), k)),
+                        pa.array(np.repeat(np.array([n for _, n in chosen.values()], np.int64), k)),
+                    ],
+                    names=["s", "node", "n"],
+                )
+
+    return docs.mapInArrow(read, "s long, node long, n long")
+
+
 def _close_sizes(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT
 
@@ -224,7 +243,7 @@ def _close_sizes(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 _MEETING = "large boolean, s long, a long, b long, n long"
 
 
-def _meetings(sets: DataFrame, path: str) -> DataFrame:
+def _meetings(visiting: DataFrame, path: str) -> DataFrame:
     """From each region: pairs of sets to compare, and the members of large regions (b null).
 
     A small region gives all pairs of close sizes, a large one those of its pivot, the smallest node.
@@ -282,9 +301,8 @@ def _meetings(sets: DataFrame, path: str) -> DataFrame:
         if rest.shape[1] and (out := regions(rest)) is not None:
             yield out
 
-    spark = sets.sparkSession
+    spark = visiting.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    visiting = sets.select(F.explode("visits").alias("s"), "node", "n")
     met = visiting.repartition(parts, "s").sortWithinPartitions("s", "node").mapInArrow(meet, _MEETING)
     met.write.parquet(path)
     return spark.read.parquet(path)
@@ -395,6 +413,18 @@ def components(links: DataFrame) -> DataFrame:
         before = told
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    x = roots.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    y = roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    told = pairs.join(x, "a", "left").join(y, "b", "left")
+    return told.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs left in large regions: sets outside the largest component of their region with all others of
     other components, within the windows."""
@@ -445,23 +475,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     at = scratch_path(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = _sets(docs, _common(docs), f"{at}/sets")
-    rows = sets.select("doc_id", "n", "node", "classes")
-    rows.filter("n > 0").groupBy("node").agg(
+    sets = _sets(docs, f"{at}/sets")
+    sets.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("classes").alias("classes")
     ).write.parquet(f"{at}/nodes")
     nodes = spark.read.parquet(f"{at}/nodes")
-    met = _meetings(sets, f"{at}/meetings")
+    met = _meetings(_visiting(docs, _common(docs)), f"{at}/meetings")
     members = met.filter("large").select("s", F.col("a").alias("node"), "n").distinct()
-    pairs = met.filter("not large").select("a", "b").distinct()
-    _within_windows(pairs, nodes).write.parquet(f"{at}/pairs")
+    _within_windows(met.filter("not large").select("a", "b").distinct(), nodes).write.parquet(f"{at}/pairs")
     pairs = spark.read.parquet(f"{at}/pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
-    whole = _whole_sets(docs, nodes, wanted, f"{at}/whole")
-    links = materialize(_verified(pairs, whole))
-    across = materialize(_across(members, components(links), nodes)) if members.take(1) else None
-    if across is not None and across.take(1):
-        links = links.union(_verified(across, whole))
+    # whole sets are heavy: first one pair for each node, the smallest partner; that joins most groups
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(_verified(first, _whole_sets(docs, nodes, _ends(first), f"{at}/first")))
+    # then only pairs that would join different components, and those left in large regions
+    rest = _between(pairs, components(links))
+    if members.take(1):
+        rest = rest.union(_across(members, components(links), nodes)).distinct()
+    rest = materialize(rest)
+    if rest.take(1):
+        links = links.union(_verified(rest, _whole_sets(docs, nodes, _ends(rest), f"{at}/rest")))
     roots = components(links)
     # the smallest document of a component, then of each node
     named = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
