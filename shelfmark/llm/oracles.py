@@ -13,23 +13,23 @@ def _op3() -> str:
 
     phrases = " OR ".join(f"contains(lower(line), '{x}')" for x in rules.BOILERPLATE)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
-w AS (SELECT doc_id, body, regexp_extract_all(body, '{_WORD}') AS words FROM d),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body FROM documents),
+w AS (SELECT row, doc_id, body, regexp_extract_all(body, '{_WORD}') AS words FROM d),
 win AS (
-  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS key
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+  SELECT row, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS key
+  FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM w)
 ),
-again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, key) > 1),
+again AS (SELECT row, i FROM win QUALIFY count(*) OVER (PARTITION BY row, key) > 1),
 cover AS (
-  SELECT doc_id, count(DISTINCT i + k) AS n
-  FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+  SELECT row, count(DISTINCT i + k) AS n
+  FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY row
 ),
 l AS (
-  SELECT doc_id, line, len(regexp_extract_all(line, '{_WORD}')) AS n
-  FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM d)
+  SELECT row, line, len(regexp_extract_all(line, '{_WORD}')) AS n
+  FROM (SELECT row, unnest(string_split(body, chr(10))) AS line FROM d)
 ),
 judged AS (
-  SELECT doc_id, line, n,
+  SELECT row, line, n,
     (n >= {rules.PARAGRAPH_WORDS} OR regexp_matches(right(line, {rules.TAIL}), '{codes(rules.CLOSED)}'))
     AND len(regexp_extract_all(line, '{rules.SEPARATOR}')) * 4 < n
     AND len(regexp_extract_all(line, '{rules.MARKS}')) * 5 < n
@@ -37,16 +37,16 @@ judged AS (
   FROM l WHERE n > 0
 ),
 lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) AS n_lines,
+  SELECT row, count(*) - count(DISTINCT line) AS dup, count(*) AS n_lines,
     count(*) FILTER (ok) AS n_kept, coalesce(sum(n) FILTER (ok), 0) AS words_kept
-  FROM judged GROUP BY doc_id
+  FROM judged GROUP BY row
 ),
 m AS (
   SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     len(regexp_extract_all(body, '{rules.SYMBOLS}')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
     coalesce(cover.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
     coalesce(n_kept, 0) AS n_lines_kept, coalesce(words_kept, 0) AS kept_words
-  FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN lines USING (doc_id)
+  FROM w LEFT JOIN cover USING (row) LEFT JOIN lines USING (row)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
   n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
