@@ -156,15 +156,19 @@ def _runs_of_gauges(ticks: DataFrame, rules: Sequence[Rule], end: Column) -> Dat
     return _fired(judged, F.col("_until"))
 
 
-def silent_runs(observations: DataFrame, s: Series) -> DataFrame:
-    """Stretches of ticks whose lookback holds no observation, between two observations.
+def silent_runs(observations: DataFrame, s: Series, until: Column | None = None) -> DataFrame:
+    """Stretches of ticks whose lookback holds no observation of the series.
 
-    Works on distinct interval slots, so silence needs no generated time spine.
+    A silence that still lasts ends at the tick after ``until`` (in seconds; by default the newest
+    observation of any metric). Works on distinct interval slots, so silence needs no time spine.
     """
+    if until is None:
+        until = observations.agg(F.max(F.unix_seconds("ts"))).scalar()
+    after = F.lit(s.interval) * (F.floor(until / F.lit(s.interval)) + 2)
     slots = slot_counts(observations, [s]).select("labels", "slot")  # one bucket, so slots are distinct
     nxt = F.lead("slot").over(Window.partitionBy("labels").orderBy("slot"))
     return (
-        slots.withColumn("_next", nxt)
+        slots.withColumn("_next", F.coalesce(nxt, after))
         .filter(F.col("_next") - F.col("slot") > s.lookback)
         .select(
             "labels",

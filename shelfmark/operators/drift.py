@@ -27,7 +27,8 @@ def embedding_drift(
 
     ``baseline`` is matched by category when it has that column, else it serves every category.
     Bins without current values add half of their baseline share, which is what the matched
-    bins leave of it, so a left join is enough.
+    bins leave of it, so a left join is enough. A category that only the baseline has diverges
+    by 1, as does one that only ``current`` has.
     """
     matched = [category] if category in baseline.columns else []
     p = bin_shares(current, [category], "_p", bins)
@@ -41,4 +42,8 @@ def embedding_drift(
     per_dim = joined.groupBy(category, "_dim").agg(
         (F.sum(half_kl("_p") + half_kl("_q")) + (1 - F.sum("_q")) / 2).alias("_js")
     )
-    return per_dim.groupBy(category).agg(F.avg("_js").alias("js_divergence"))
+    drift = per_dim.groupBy(category).agg(F.avg("_js").alias("js_divergence"))
+    if not matched:
+        return drift
+    gone = q.select(category).distinct().join(p.select(category).distinct(), category, "left_anti")
+    return drift.unionByName(gone.withColumn("js_divergence", F.lit(1.0)))

@@ -22,7 +22,9 @@ def fit_centroids(
 ) -> DataFrame:
     """Cosine k-means over the vectors: (list_id, centroid)."""
     settings.bounded("lists", lists, 2, MAX_LISTS)
-    points = embeddings.select(array_to_vector(F.col("embedding")).alias("features"))
+    # Rows without a direction have no cosine and shape no list.
+    directed = F.exists(F.coalesce("embedding", F.array()), lambda x: x != 0)
+    points = embeddings.filter(directed).select(array_to_vector(F.col("embedding")).alias("features"))
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=max_iter).fit(points)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return embeddings.sparkSession.createDataFrame(rows, "list_id int, centroid array<double>")
@@ -40,24 +42,31 @@ def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def assign_lists(embeddings: DataFrame, centroids: DataFrame) -> DataFrame:
     """Add ``list_id``, the centroid at the smallest cosine distance, lowest id on ties.
 
-    One matrix product per Arrow batch; no vector meets a centroid as a joined row.
+    One matrix product per Arrow batch; no vector meets a centroid as a joined row. A row without
+    a vector gets no list.
     """
     ids, matrix = _centroid_matrix(centroids)
 
     @F.pandas_udf(T.IntegerType())
     def nearest(vectors: pd.Series) -> pd.Series:
-        points = np.stack([np.asarray(v, np.float64) for v in vectors])
-        return pd.Series(ids[np.argmax(points @ matrix.T, axis=1)])
+        lists = pd.Series([None] * len(vectors), index=vectors.index, dtype="Int32")
+        known = vectors[vectors.notna()]
+        if len(known):
+            points = np.stack([np.asarray(v, np.float64) for v in known])
+            lists[known.index] = ids[np.argmax(points @ matrix.T, axis=1)]
+        return lists
 
     return embeddings.withColumn("list_id", nearest("embedding"))
 
 
 def write_lists(assigned: DataFrame, path: str, files_per_list: int = FILES_PER_LIST) -> None:
     """Store the vectors by list. Each list is written by several tasks, so a list that holds
-    much of the data is no straggler; rows are sorted by key for row-group skipping."""
+    much of the data is no straggler; rows are sorted by key for row-group skipping. Rows without
+    a list are left out."""
     salt = F.pmod(F.xxhash64("parent_asin"), F.lit(files_per_list))
     (
-        assigned.repartition("list_id", salt)
+        assigned.filter("list_id IS NOT NULL")
+        .repartition("list_id", salt)
         .sortWithinPartitions("list_id", "parent_asin")
         .write.mode("errorifexists")
         .partitionBy("list_id")

@@ -138,19 +138,20 @@ def ingest(
     encoder: Encoder | None = None,
     score: Callable[[DataFrame], DataFrame] | None = None,
     run_id: str | None = None,
+    drop_repeats: bool = False,
 ) -> DataFrame:
     """Run the whole job and return the counts of loaded, skipped and set-aside rows.
 
     ``score`` adds sentiment columns to cleaned reviews. A batch may be repeated: products and
-    embeddings merge by key and the reviews of a batch replace themselves. The counts of skipped
+    embeddings merge by key and the reviews of a batch replace themselves. With ``drop_repeats``,
+    reviews that an earlier batch holds are left out too; the counts are those before that. The counts of skipped
     rows are observed while the rows are written, not in a pass of their own.
     """
     encoder = encoder or default_encoder()
-    check_inputs(spark, [product_path, review_path])
+    found = {r["path"]: r["found"] for r in check_inputs(spark, [product_path, review_path]).collect()}
     product_seen, review_seen = Observation(), Observation()
 
-    # The glob takes the plain file and its compressed form alike.
-    raw = read_jsonl(spark, f"{product_path}*", schemas.RAW_PRODUCT_FIELDS)
+    raw = read_jsonl(spark, found[product_path], schemas.RAW_PRODUCT_FIELDS)
     cleaned = clean_products(readable(counted(spread(raw), has_product_key(), product_seen)))
     # Products and embeddings read the same cleaned rows; they are written once in between.
     store.append("clean_products", cleaned, batch)
@@ -167,7 +168,7 @@ def ingest(
     store.replace("embeddings", tables.upsert_embeddings(old, vectors), ["parent_asin"])
     elapsed = time.perf_counter() - clock
 
-    raw = read_jsonl(spark, f"{review_path}*", schemas.RAW_REVIEW_FIELDS)
+    raw = read_jsonl(spark, found[review_path], schemas.RAW_REVIEW_FIELDS)
     reviews = clean_reviews(readable(counted(spread(raw), has_review_fields(), review_seen)))
     if score is not None:
         reviews = score(reviews)
@@ -177,6 +178,10 @@ def ingest(
     staged = spark.read.parquet(f"{store.root}/staged_reviews/batch={batch}")
     earlier = store.read_appended("reviews", schemas.REVIEWS, without=batch)
     ok = staged.filter("batch_ok").drop("batch_ok")
+    if drop_repeats:
+        # Loaded under another batch name before, or twice in this file.
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in tables.REVIEW_KEY]
+        ok = tables.drop_repeats(ok).alias("n").join(earlier.alias("o"), same, "left_anti")
     store.append("reviews", tables.with_new_ids(ok, earlier, "review_id"), batch)
 
     embedded = cleaned.select("parent_asin").distinct().count()

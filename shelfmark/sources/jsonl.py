@@ -12,24 +12,23 @@ BAD = "_corrupt_record"
 
 
 def input_sizes(spark: SparkSession, expected: Sequence[str]) -> DataFrame:
-    """Size in bytes of every expected file, null when neither it nor its ``.gz`` form exists.
+    """Per expected file the one to read and its size in bytes: the plain file, else its ``.gz``
+    form, else null. Other files beside it, such as backups, don't count.
 
-    Only file names and lengths are listed; no content is read.
+    Only the names asked for are looked up; no folder is listed and no content is read.
     """
-    folders = sorted({p.rsplit("/", 1)[0] for p in expected})
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.jsonl*")
-        .load(folders)
-        .select(F.regexp_replace("path", "^file:/+", "/").alias("found"), "length")
-    )
-    wanted = spark.createDataFrame([(p,) for p in expected], "path string")
-    plain = F.regexp_replace("found", r"\.gz$", "")
-    return (
-        wanted.join(found, F.regexp_replace("path", "^file:/+", "/") == plain, "left")
-        .groupBy("path")
-        .agg(F.max("length").alias("length"))
-    )
+    context = spark.sparkContext
+
+    def size(path: str) -> int | None:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(context._jsc.hadoopConfiguration())
+        return fs.getFileStatus(at).getLen() if fs.exists(at) and not fs.getFileStatus(at).isDirectory() else None
+
+    rows = []
+    for path in expected:
+        sizes = ((p, size(p)) for p in (path, f"{path}.gz"))
+        rows.append((path, *next(((p, n) for p, n in sizes if n is not None), (None, None))))
+    return spark.createDataFrame(rows, "path string, found string, length long")
 
 
 def check_inputs(spark: SparkSession, expected: Sequence[str]) -> DataFrame:
@@ -38,7 +37,7 @@ def check_inputs(spark: SparkSession, expected: Sequence[str]) -> DataFrame:
     missing = [r["path"] for r in sizes.filter("length IS NULL").orderBy("path").collect()]
     if missing:
         raise FileNotFoundError(
-            "Missing input file(s): " + ", ".join(f"{p} (also tried {p}.gz)" for p in missing)
+            "No input at " + ", ".join(f"{p}[.gz]" for p in missing)
         )
     return sizes
 

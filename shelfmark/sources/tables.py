@@ -117,9 +117,13 @@ def with_new_ids(rows: DataFrame, existing: DataFrame | None, id_column: str) ->
     return rows.withColumn(id_column, offset + 1 + F.monotonically_increasing_id())
 
 
+#: A review is the same if product, variant, user and time are.
+REVIEW_KEY = ["parent_asin", "asin", "user_id", "timestamp_raw"]
+
+
 def drop_repeats(reviews: DataFrame) -> DataFrame:
     """One review per (product, variant, user, time), for reloads of the same file."""
-    return reviews.dropDuplicates(["parent_asin", "asin", "user_id", "timestamp_raw"])
+    return reviews.dropDuplicates(REVIEW_KEY)
 
 
 class TableStore:

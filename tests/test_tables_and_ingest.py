@@ -102,6 +102,23 @@ def test_reader(spark, inputs):
         jsonl.check_inputs(spark, [f"{folder}/a.jsonl", f"{folder}/b.jsonl", inputs[0]])
 
 
+def test_one_form_of_a_file_is_read(spark, inputs, tmp_path):
+    meta, reviews = inputs
+    for path, text in ((f"{meta}.bak", PRODUCT_LINES), (f"{reviews}.bak", REVIEW_LINES)):
+        with open(path, "w") as fh:
+            fh.write("\n".join(text))
+    with gzip.open(f"{meta}.gz", "wt") as fh:
+        fh.write("\n".join(PRODUCT_LINES))
+    found = {r.path: r.found for r in jsonl.check_inputs(spark, inputs).collect()}
+    assert found == {meta: meta, reviews: f"{reviews}.gz"}
+    store = tables.TableStore(spark, str(tmp_path / "store"))
+    for batch in ("w1", "w2"):  # the same files again, under another name
+        ingest.ingest(spark, store, *inputs, batch=batch, encoder=ingest.default_encoder(64), drop_repeats=True)
+    assert store.read_appended("reviews", schemas.REVIEWS).count() == 2
+    with pytest.raises(FileNotFoundError, match="no_folder/a.jsonl.*no_folder/b.jsonl"):
+        jsonl.check_inputs(spark, [str(tmp_path / "no_folder/a.jsonl"), str(tmp_path / "no_folder/b.jsonl")])
+
+
 def test_lines_and_files_agree(spark, inputs):
     from_file = jsonl.readable(jsonl.read_jsonl(spark, inputs[0], schemas.RAW_PRODUCT_FIELDS)).drop("_source")
     lines = spark.createDataFrame([(x,) for x in PRODUCT_LINES], "line string")

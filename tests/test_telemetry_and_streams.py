@@ -98,6 +98,12 @@ def test_zero_hold_and_silence(spark):
     assert got[("APINoTraffic", "", 315, 615, 1200)] == 0.0 and len(got) == 2
 
 
+def test_silence_that_still_lasts(spark):
+    rows = [(2, "http_requests_total", {}, 1), (3000, "embedding_drift_score", {"category": "c"}, 0.01)]
+    got = fired(spark, rows, ["APINoTraffic"])
+    assert set(got) == {("APINoTraffic", "", 315, 615, 3015)}
+
+
 def test_routing(spark):
     rows = [(s, "llm_generation_seconds", {"model_name": "m"}, 50.0) for s in range(0, 900, 60)]
     row = alerts.alerts_fired(observed(spark, rows)).filter("rule = 'LLMGenerationLatencyHigh'").first()

@@ -148,6 +148,25 @@ def test_drift(spark, embeddings):
     assert all(r.js_divergence > 0.99 for r in moved)
 
 
+def test_vanished_category_diverges_fully(spark, embeddings):
+    whole = embeddings.withColumn("category", (F.length("parent_asin") * 0 + F.substring("parent_asin", 4, 1).cast("int")))
+    got = {r.category: r.js_divergence for r in drift.embedding_drift(whole.filter("category <> 3"), whole).collect()}
+    assert len(got) == 10 and got[3] == 1.0 and got[4] < 1e-12
+
+
+def test_ivf_without_vectors(spark, embeddings, tmp_path):
+    odd = embeddings.limit(2).withColumns({
+        "parent_asin": F.concat(F.lit("odd"), "parent_asin"),
+        "embedding": F.when(F.col("parent_asin") == "K000", F.transform("embedding", lambda x: x * 0)),
+    })
+    both = embeddings.unionByName(odd)
+    lists = ivf.fit_centroids(both, lists=4, max_iter=5)
+    path = str(tmp_path / "lists")
+    ivf.write_lists(ivf.assign_lists(both, lists), path, files_per_list=2)
+    want = both.filter("embedding is not null").count()
+    assert spark.read.parquet(path).count() == want
+
+
 def test_half_and_text(spark):
     df = spark.createDataFrame([([0.1, -2.5, 70000.0],), (None,)], "v array<float>")
     half = [r[0] for r in df.select(V.to_half("v")).collect()]
