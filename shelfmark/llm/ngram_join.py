@@ -16,7 +16,8 @@ The distance 1 - similarity is a metric, and the join is by pivots and windows,
    region is joined again: only sets outside its largest component are still compared, with sets of other
    components that are within the windows of size and of shingle counts in 64 classes.
 4. Pairs left are verified on whole sets, which are read again from the texts for the documents concerned:
-   first one pair for each document, then those that would join different components.
+   first one pair for each document, then those that would join different components. Before that, parities
+   of shingle counts, two bits a shingle, leave few pairs that aren't links.
 
 Equal sets are one node, so copies never meet each other in a region. Shingles and sets are known by 64-bit
 hashes. Components come from links by repeated contraction in tables; nothing per document is ever collected.
@@ -184,8 +185,23 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(_mixed(total).view(np.int64)[0])
 
 
+def _parities(s: np.ndarray) -> bytes:
+    """Bits that say whether an odd number of shingles falls to them: about two bits for a shingle.
+
+    Two sets differ in at least as many shingles as bits, and hardly more if they are alike.
+    """
+    size = 1 << max(6, (2 * len(s) - 1).bit_length())
+    counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The parities for fewer bits: a shingle's place is the low bits of its hash."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
 def _sets(docs: DataFrame, path: str) -> DataFrame:
-    """Per row: set size, node (its set's hash) and shingle counts by class."""
+    """Per row: set size, node (its set's hash), shingle counts by class and parities."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _in_chunks(batches):
@@ -198,11 +214,13 @@ def _sets(docs: DataFrame, path: str) -> DataFrame:
                     pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_fingerprint(s) for s in sets], pa.int64()),
                     pa.array([c.astype(np.uint8).tobytes() for c in classes], pa.binary()),
+                    pa.array([_parities(s) for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "node", "classes"],
+                names=["doc_id", "n", "node", "classes", "parities"],
             )
 
-    docs.mapInArrow(read, "doc_id long, n long, node long, classes binary").write.parquet(path)
+    kind = "doc_id long, n long, node long, classes binary, parities binary"
+    docs.mapInArrow(read, kind).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -333,10 +351,35 @@ def _within_windows(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return told.mapInArrow(keep, "a long, b long")
 
 
-def _whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose parities are close enough; few others than those within the radius are left."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (100 - PERCENT)
+            near = np.zeros(batch.num_rows, np.bool_)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(p), len(q))
+                apart = int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum())
+                near[i] = apart * (100 + PERCENT) <= most[i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch.column(i).to_numpy()[near]) for i in (0, 1)], names=["a", "b"]
+            )
+
+    wanted = sets.select("node", "n", "parities").join(_ends(pairs), "node", "left_semi").dropDuplicates(["node"])
+    x = wanted.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("parities").alias("x"))
+    y = wanted.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parities").alias("y"))
+    told = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y")
+    return told.mapInArrow(keep, "a long, b long")
+
+
+def _whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, shingles`` of the wanted nodes, from the text of one document of each.
 
-    A table of bits says which documents to look at in the scan, so texts don't travel.
+    A table of bits says which documents to look at in the scan, so texts don't travel. Documents that share
+    a bit with a wanted one come along; the joins leave them out. Of each hash 48 bits are enough to compare
+    two sets, whose sizes are known.
     """
     spark = docs.sparkSession
     first = nodes.join(wanted, "node").select("node", F.col("doc").alias("doc_id"))
@@ -354,17 +397,18 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, path: str)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([_fingerprint(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in sets], pa.binary()),
                 ],
                 names=["node", "shingles"],
             )
 
     with_slot = docs.select("doc_id", "text", _slots_of(F.xxhash64("doc_id")).alias("slot"))
-    found = with_slot.filter("doc_id is not null").mapInArrow(read, "node long, shingles binary")
-    found.join(first.select("node"), "node", "left_semi").dropDuplicates(["node"]).write.option(
-        "compression", "none"
-    ).parquet(path)
-    return spark.read.parquet(path)
+    return with_slot.filter("doc_id is not null").mapInArrow(read, "node long, shingles binary")
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    six = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 6)
+    return np.pad(six, ((0, 0), (2, 0))).view(np.uint64).ravel()
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -374,7 +418,7 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
         for batch in batches:
             near = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                p, q = _unpacked(x), _unpacked(y)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 near.append(100 * both >= PERCENT * (len(p) + len(q) - both))
             mask = np.array(near, np.bool_)
@@ -482,18 +526,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = spark.read.parquet(f"{at}/nodes")
     met = _meetings(_visiting(docs, _common(docs)), f"{at}/meetings")
     members = met.filter("large").select("s", F.col("a").alias("node"), "n").distinct()
-    _within_windows(met.filter("not large").select("a", "b").distinct(), nodes).write.parquet(f"{at}/pairs")
+    close = materialize(_within_windows(met.filter("not large").select("a", "b").distinct(), nodes))
+    _alike(close, sets).write.parquet(f"{at}/pairs")
     pairs = spark.read.parquet(f"{at}/pairs")
     # whole sets are heavy: first one pair for each node, the smallest partner; that joins most groups
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(_verified(first, _whole_sets(docs, nodes, _ends(first), f"{at}/first")))
+    links = materialize(_verified(first, _whole_sets(docs, nodes, _ends(first))))
     # then only pairs that would join different components, and those left in large regions
-    rest = _between(pairs, components(links))
+    roots = materialize(components(links))
+    rest = _between(pairs, roots)
     if members.take(1):
-        rest = rest.union(_across(members, components(links), nodes)).distinct()
+        across = materialize(_across(members, roots, nodes))
+        rest = rest.union(_alike(across, sets)).distinct()
     rest = materialize(rest)
     if rest.take(1):
-        links = links.union(_verified(rest, _whole_sets(docs, nodes, _ends(rest), f"{at}/rest")))
+        links = links.union(_verified(rest, _whole_sets(docs, nodes, _ends(rest))))
     roots = components(links)
     # the smallest document of a component, then of each node
     named = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
