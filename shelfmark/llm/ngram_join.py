@@ -200,6 +200,13 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
+def _apart(x: bytes | np.ndarray, y: bytes | np.ndarray) -> int:
+    """Shingles that two sets differ in, at least, by their parities."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    return int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum())
+
+
 def _sets(docs: DataFrame, path: str) -> DataFrame:
     """Per row: set size, node (its set's hash), shingle counts by class and parities."""
 
@@ -359,10 +366,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (100 - PERCENT)
             near = np.zeros(batch.num_rows, np.bool_)
             for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-                size = min(len(p), len(q))
-                apart = int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum())
-                near[i] = apart * (100 + PERCENT) <= most[i]
+                near[i] = _apart(x.as_buffer(), y.as_buffer()) * (100 + PERCENT) <= most[i]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch.column(i).to_numpy()[near]) for i in (0, 1)], names=["a", "b"]
             )
@@ -469,9 +473,9 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return told.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
-def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs left in large regions: sets outside the largest component of their region with all others of
-    other components, within the windows."""
+def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, closest: bool) -> DataFrame:
+    """Pairs left in large regions: sets outside the largest component of their region with the closest by
+    counts, or with all, of those of other components that are within the windows and alike in parities."""
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -482,10 +486,16 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame
             if len(kinds) < 2:
                 return
             classes = _class_matrix(table.column("classes"))
+            parities = table.column("parities").to_pylist()
             for i in np.flatnonzero(which != counts.argmax()):
                 others = np.flatnonzero((which != which[i]) & _close_sizes(n, n[i]))
-                far = _far(classes[others], classes[i : i + 1], n[others], n[i])
-                near = node[others[~far]]
+                others = others[~_far(classes[others], classes[i : i + 1], n[others], n[i])]
+                if closest and len(others):
+                    apart = np.abs(classes[others].astype(np.int16) - classes[i]).sum(axis=1)
+                    others = others[[apart.argmin()]]
+                most = (n[others] + n[i]) * (100 - PERCENT)
+                alike = [_apart(parities[i], parities[j]) * (100 + PERCENT) <= k for j, k in zip(others, most)]
+                near = node[others[np.array(alike, np.bool_)]]
                 if len(near):
                     low, high = np.minimum(near, node[i]), np.maximum(near, node[i])
                     yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
@@ -506,8 +516,10 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame
             yield from pairs(pa.Table.from_batches(held))
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = members.join(nodes.select("node", "classes"), "node").join(roots, "node", "left")
-    rows = told.select("s", "node", "n", F.coalesce("root", "node").alias("root"), "classes")
+    known = sets.select("node", "classes", "parities")
+    known = known.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    told = members.join(known, "node").join(roots, "node", "left")
+    rows = told.select("s", "node", "n", F.coalesce("root", "node").alias("root"), "classes", "parities")
     return rows.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(rest, "a long, b long").distinct()
 
 
@@ -534,10 +546,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_verified(first, _whole_sets(docs, nodes, _ends(first))))
     # then only pairs that would join different components, and those left in large regions
     roots = materialize(components(links))
+    large = bool(members.take(1))
+    if large:  # most of what is left in large regions joins by its closest neighbour
+        closest = materialize(_across(members, roots, sets, True))
+        links = materialize(links.union(_verified(closest, _whole_sets(docs, nodes, _ends(closest)))))
+        roots = materialize(components(links))
     rest = _between(pairs, roots)
-    if members.take(1):
-        across = materialize(_across(members, roots, nodes))
-        rest = rest.union(_alike(across, sets)).distinct()
+    if large:
+        rest = rest.union(_across(members, roots, sets, False)).distinct()
     rest = materialize(rest)
     if rest.take(1):
         links = links.union(_verified(rest, _whole_sets(docs, nodes, _ends(rest))))
