@@ -216,8 +216,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 block = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
                 doc_ids, missing, values, ends = _document_ids(block)
                 step = 0
-                while step < len(doc_ids):  # batches of some million ids
-                    stop = int(np.searchsorted(ends, ends[step] + 2_000_000, "right")) - 1
+                while step < len(doc_ids):  # batches of some hundred thousand ids
+                    stop = int(np.searchsorted(ends, ends[step] + 250_000, "right")) - 1
                     stop = min(max(stop, step + 1), len(doc_ids))
                     part = values[ends[step] : ends[stop]]
                     offsets = (ends[step : stop + 1] - ends[step]).astype(np.int32)

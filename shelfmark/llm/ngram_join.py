@@ -48,7 +48,7 @@ LARGE_REGION = 32
 #: Bits of the tables of common shingles and of documents to read again: 2 MB each, whatever the input.
 TABLE_BITS = 24
 CLASSES = 64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15
 _WHITE = np.zeros(256, np.bool_)
@@ -155,7 +155,7 @@ def _bits(slots: np.ndarray) -> bytes:
     return np.packbits(table).tobytes()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _table(bits: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(np.bool_)
 
