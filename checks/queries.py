@@ -13,7 +13,7 @@ from shelfmark.operators import (
 )
 from shelfmark.operators.search import semantic_search
 from shelfmark.plans import context, ingest
-from shelfmark.session import materialize, scratch_path, spread
+from shelfmark.session import materialize, scratch_path
 from shelfmark.sources import jsonl, tables, views
 from shelfmark.streaming import alerts as stream_alerts_mod, ingest as stream_ingest, windows
 from shelfmark import schemas
@@ -338,7 +338,7 @@ def summary_after_marker(spark, d):
 
 @query
 def clean_pages(spark, d):
-    return spread(views.table(spark, d, "pages")).select("page_id", T.clean_text("html").alias("text"))
+    return views.dealt(spark, d, "pages").select("page_id", T.clean_text("html").alias("text"))
 
 
 @query
@@ -377,7 +377,7 @@ def item_id() -> Column:
 
 @query
 def parse_price(spark, d):
-    items = spread(views.table(spark, d, "lineitem"))
+    items = views.dealt(spark, d, "lineitem")
     return items.select(
         item_id().alias("item"), raw_price().alias("raw"),
         parse.parse_price(raw_price()).cast("double").alias("price"),
@@ -398,7 +398,7 @@ def raw_time() -> Column:
 
 @query
 def parse_time(spark, d):
-    items = spread(views.table(spark, d, "lineitem"))
+    items = views.dealt(spark, d, "lineitem")
     return items.select(
         item_id().alias("item"),
         parse.parse_time(raw_time()).alias("reviewed_at"),
@@ -460,7 +460,7 @@ def jsonl_scan(spark, d):
 @query
 def ingest_reviews(spark, d):
     """Raw review lines made from line items, parsed, cleaned, typed and checked."""
-    items = spread(views.table(spark, d, "lineitem"))
+    items = views.dealt(spark, d, "lineitem")
     doc = F.struct(
         views.asin(F.col("l_partkey")).alias("parent_asin"),
         F.when(F.col("l_linenumber") != 6, F.concat(F.lit("U"), F.col("l_suppkey").cast("string"))).alias("user_id"),

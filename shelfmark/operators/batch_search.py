@@ -26,10 +26,7 @@ def _best(keys: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
         kept = np.flatnonzero(scores <= edge)
     else:
         kept = np.arange(len(scores))
-    order = sorted(kept, key=lambda i: (scores[i], keys[i])) if len(kept) <= 4 * n else kept[
-        np.lexsort((keys[kept].astype(str), scores[kept]))
-    ]
-    return np.asarray(order[:n], dtype=np.int64)
+    return kept[np.lexsort((keys[kept].astype(str), scores[kept]))][:n]
 
 
 class _TopK:

@@ -139,20 +139,22 @@ def ingest(
     score: Callable[[DataFrame], DataFrame] | None = None,
     run_id: str | None = None,
     drop_repeats: bool = False,
+    spread_to: int | None = None,
 ) -> DataFrame:
     """Run the whole job and return the counts of loaded, skipped and set-aside rows.
 
     ``score`` adds sentiment columns to cleaned reviews. A batch may be repeated: products and
     embeddings merge by key and the reviews of a batch replace themselves. With ``drop_repeats``,
     reviews that an earlier batch holds are left out too; the counts are those before that. The counts of skipped
-    rows are observed while the rows are written, not in a pass of their own.
+    rows are observed while the rows are written, not in a pass of their own. ``spread_to`` deals raw rows out to
+    so many tasks, for gzip files, which one task has to read each.
     """
     encoder = encoder or default_encoder()
     found = {r["path"]: r["found"] for r in check_inputs(spark, [product_path, review_path]).collect()}
     product_seen, review_seen = Observation(), Observation()
 
     raw = read_jsonl(spark, found[product_path], schemas.RAW_PRODUCT_FIELDS)
-    cleaned = clean_products(readable(counted(spread(raw), has_product_key(), product_seen)))
+    cleaned = clean_products(readable(counted(spread(raw, spread_to), has_product_key(), product_seen)))
     # Products and embeddings read the same cleaned rows; they are written once in between.
     store.append("clean_products", cleaned, batch)
     cleaned = spark.read.parquet(f"{store.root}/clean_products/batch={batch}")
@@ -169,7 +171,7 @@ def ingest(
     elapsed = time.perf_counter() - clock
 
     raw = read_jsonl(spark, found[review_path], schemas.RAW_REVIEW_FIELDS)
-    reviews = clean_reviews(readable(counted(spread(raw), has_review_fields(), review_seen)))
+    reviews = clean_reviews(readable(counted(spread(raw, spread_to), has_review_fields(), review_seen)))
     if score is not None:
         reviews = score(reviews)
     loaded = tables.known_keys(review_rows(reviews).drop("_source"), products)

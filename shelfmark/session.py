@@ -58,10 +58,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer splits than cores, such as one compressed file, out to
-    all cores before costly work per row. A scan with enough splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """Deal the rows out to ``parts`` partitions before costly work per row; None leaves them as read.
+
+    For inputs that a scan can't split, such as one compressed file; the caller knows which they are.
+    """
+    return df if parts is None else df.repartition(parts)

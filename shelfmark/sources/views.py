@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of one narrow file with few row groups, dealt out to all cores for costly row work."""
+    return spread(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
+
+
 def asin(number: Column) -> Column:
     return F.concat(F.lit("P"), number.cast("string"))
 
@@ -121,7 +126,7 @@ def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations_of(spread(table(spark, sf_dir, "events")))
+    return observations_of(dealt(spark, sf_dir, "events"))
 
 
 def observations_of(events: DataFrame) -> DataFrame:

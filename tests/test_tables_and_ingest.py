@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import schemas
 from shelfmark.operators import models, tracking
 from shelfmark.plans import ingest
+from shelfmark.session import spread
 from shelfmark.sources import jsonl, seed, tables
 from shelfmark.streaming import ingest as stream_ingest
 
@@ -224,3 +225,9 @@ def test_runs(spark):
                                     "run_id string, items int, elapsed_s double, dim int")
     got = {r.run_id: tuple(r)[1:] for r in tracking.embedding_run_metrics(batches).collect()}
     assert got == {"r": (600, 3000.0, 5.0, 384), "z": (0, 0.0, 0.0, 384)}
+
+
+def test_spread_deals_rows_out_only_if_asked(spark):
+    one = spark.range(100).coalesce(1)
+    assert spread(one, None) is one
+    assert spread(one, 4).rdd.getNumPartitions() == 4 and spread(one, 4).count() == 100

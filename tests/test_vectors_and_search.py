@@ -117,7 +117,7 @@ def test_batch_search_both_ways(spark, embeddings, points, limits):
 def test_recall_is_one_when_the_window_covers_the_corpus(spark, embeddings):
     asked = B.category_centers(embeddings)
     exact = B.exact_search_batch(embeddings, asked, top_k=5)
-    found = B.semantic_search_batch(embeddings, asked, dim=DIM, top_k=5, oversample=N)
+    found = B.semantic_search_batch(embeddings, asked, dim=DIM, top_k=5, oversample=-(-N // 5))
     assert {r.recall for r in B.recall_at_k(exact, found).collect()} == {1.0}
 
 
@@ -174,3 +174,11 @@ def test_half_and_text(spark):
     text = df.select(V.vector_text(F.col("v"))).first()[0]
     assert text == "[0.100000,-2.500000,70000.000000]"
     assert spark.range(1).select(V.parse_vector(F.lit(text))).first()[0] == pytest.approx([0.1, -2.5, 70000.0])
+
+
+def test_best_rows_are_the_smallest_and_ties_go_by_key():
+    keys = np.array(["b", "a", "d", "c"], object)
+    assert B._best(keys, np.array([1.0, 1.0, 0.5, 2.0]), 2).tolist() == [2, 1]
+    assert B._best(keys, np.array([1.0, 1.0, 1.0, 1.0]), 3).tolist() == [1, 0, 3]
+    assert B._best(keys[:1], np.array([3.0]), 5).tolist() == [0]
+    assert B._best(keys[:0], np.array([]), 5).tolist() == []
