@@ -6,9 +6,11 @@ the file (share of digits, length). Weights are fitted on a bounded sample of te
 sure patterns as labels and the rest of the sample as counter-examples; they find secrets that no pattern
 names, such as a pass phrase after a word that stands before known secrets elsewhere.
 
-Tokens without a digit or a mark inside, and short ones, can only be outside. They cut a text into runs
-that don't influence each other, so Viterbi decodes each run by itself and gives the best path of the
-whole text, however long it is. Texts are independent: no shuffle, no hot group.
+Every token of eight or more characters may be a secret, whatever it is made of; shorter ones can only be
+outside. They cut a text into runs that don't influence each other (a run starts and ends beside an outside
+tag), so Viterbi decodes each run by itself and gives the best path of the whole text, however long it is.
+Runs in which no context could make up for the tokens are passed over. Texts are independent: no shuffle, no
+hot group.
 
 A null text counts as an empty one without spans. Rows that repeat get equal spans. Extra columns are left
 alone; a column named like the result is replaced. Where the sample has no secrets, only the patterns speak.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -43,9 +45,10 @@ _ASSIGN = re.compile(
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=@-]+")
-_CANDIDATE = re.compile(r"[0-9]+")
-_BODY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=@-")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=@-]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@-]{%d,}" % MIN_TOKEN)
+_HEX_LETTERS = frozenset("abcdef")
+_WORD = re.compile(r"[^\s=:\"'(]+")
 
 Span = tuple[str, int, int]
 
@@ -66,32 +69,30 @@ def _ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens that may be secrets: long enough, with a digit or an inner mark."""
-    found: list[tuple[int, int]] = []
+def _runs(text: str) -> list[tuple[list[tuple[int, int]], bool]]:
+    """Runs of neighbouring tokens that may be secrets, and whether a shorter token, which is outside,
+    stands behind each."""
+    runs: list[tuple[list[tuple[int, int]], bool]] = []
+    run: list[tuple[int, int]] = []
     end = 0
     for m in _CANDIDATE.finditer(text):
-        if m.start() < end:
-            continue
-        a, end = m.start(), m.end()
-        while a > 0 and text[a - 1] in _BODY:
-            a -= 1
-        while end < len(text) and text[end] in _BODY:
-            end += 1
-        token = text[a:end]
+        a, b = m.span()
+        if run and a - end > 1 and _TOKEN.search(text, end, a):
+            runs.append((run, True))
+            run = []
+        end = b
+        token = m[0]
         # a name stuck to its value, as in key=value, is a token of its own
-        cut = max(token.rstrip("=").rfind("="), 0)
-        if cut:
-            a += cut + 1
-        b = a + len(text[a:end].rstrip(".="))
-        if b - a >= MIN_TOKEN:
-            found.append((a, b))
-    runs: list[list[tuple[int, int]]] = []
-    for span in found:
-        if runs and len(text[runs[-1][-1][1] : span[0]]) <= 1:
-            runs[-1].append(span)
-        else:
-            runs.append([span])
+        cut = max(token.rstrip("=").rfind("="), 0) if "=" in token else 0
+        for a, b in ((a, a + cut), (a + cut + 1, b)) if cut else ((a, b),):
+            b = a + len(text[a:b].rstrip(".="))
+            if b - a >= MIN_TOKEN:
+                run.append((a, b))
+            elif run and b > a:
+                runs.append((run, True))
+                run = []
+    if run:
+        runs.append((run, _TOKEN.search(text, end) is not None))
     return runs
 
 
@@ -99,33 +100,45 @@ def _log2_step(n: int) -> int:
     return min(int(math.log2(n + 1)), 8)
 
 
-def _features(text: str, a: int, b: int, facts: tuple[str, ...]) -> list[str]:
-    token = text[a:b]
-    before = text[max(0, a - 40) : a]
-    words = re.findall(r"[^\s=:\"'(]+", before)
-    gap = before[len(before.rstrip(" =:\"'(")) :]
+def _token_features(token: str) -> list[str]:
+    n = len(token)
     digits, uppers = sum(c.isdigit() for c in token), sum(c.isupper() for c in token)
     lowers = sum(c.islower() for c in token)
     changes = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:]))
     kinds = ("d" if digits else "") + ("u" if uppers else "") + ("l" if lowers else "")
-    other = len(token) - digits - uppers - lowers
+    other = n - digits - uppers - lowers
     return [
         "bias",
-        f"length={_log2_step(b - a)}",
+        f"length={_log2_step(n)}",
         f"kinds={kinds}{'o' if other else ''}",
-        f"digits={digits * 4 // (b - a)}",
-        f"changes={min(changes * 8 // (b - a), 4)}",
-        f"variety={len(set(token)) * 4 // (b - a)}",
+        f"digits={digits * 4 // n}",
+        f"changes={min(changes * 8 // n, 4)}",
+        f"variety={len(set(token)) * 4 // n}",
         f"hex={all(c in '0123456789abcdef' for c in token)}",
         f"start={token[:4] if token[:4].isupper() else '-'}",
         f"marks={'@' in token}{'.' in token}{'-' in token}",
+    ]
+
+
+#: Kinds of features that depend on where a token stands.
+_PLACED = ("gap=", "word=", "word2=", "file_length=", "file_mark=")
+
+
+def _place_features(text: str, a: int) -> list[str]:
+    before = text[max(0, a - 40) : a]
+    words = _WORD.findall(before)
+    gap = before[len(before.rstrip(" =:\"'(")) :]
+    return [
         f"gap={'=' in gap}{':' in gap}{len(gap) > 1}",
         f"word={words[-1].lower() if words else '-'}",
         f"word2={words[-2].lower() if len(words) > 1 else '-'}",
-        *facts,
     ]
 
 
+def _features(text: str, a: int, b: int, facts: tuple[str, ...]) -> list[str]:
+    return [*_token_features(text[a:b]), *_place_features(text, a), *facts]
+
+
 def _facts(text: str) -> tuple[str, ...]:
     return (f"file_length={_log2_step(len(text) // 64)}", f"file_mark={'{' in text or ';' in text}")
 
@@ -136,6 +149,8 @@ class Field:
 
     weights: dict[str, np.ndarray]
     steps: np.ndarray
+    _seen: dict[str | tuple[int, int, bool], tuple[np.ndarray, bool]] = field(default_factory=dict, repr=False, compare=False)
+    _most: float | None = field(default=None, repr=False, compare=False)
 
     def emissions(self, rows: list[list[str]]) -> np.ndarray:
         none = np.zeros(3)
@@ -143,12 +158,17 @@ class Field:
 
     def tags(self, rows: list[list[str]]) -> list[int]:
         """The best path (Viterbi); a run starts after an outside tag."""
-        score = self.emissions(rows)
+        return self._path(self.emissions(rows), False)
+
+    def _path(self, score: np.ndarray, closed: bool) -> list[int]:
+        """The best path; of a closed run, one that an outside tag follows."""
         best, back = score[0] + self.steps[0], []
         for e in score[1:]:
             paths = best[:, None] + self.steps
             back.append(paths.argmax(axis=0))
             best = paths.max(axis=0) + e
+        if closed:
+            best = best + self.steps[:, 0]
         tag = int(best.argmax())
         out = [tag]
         for b in reversed(back):
@@ -156,14 +176,45 @@ class Field:
             out.append(tag)
         return out[::-1]
 
+    def _gain(self) -> float:
+        """What a token's place and the steps beside it can add to a secret's tag over outside, at most."""
+        most = dict.fromkeys(_PLACED, 0.0)
+        for f, w in self.weights.items():
+            kind = f[: f.find("=") + 1]
+            if kind in most:
+                most[kind] = max(most[kind], float(w[1:].max() - w[0]))
+        return sum(most.values()) + 2 * max(float((self.steps - self.steps[0, 0]).max()), 0.0)
+
+    def _of_token(self, token: str) -> tuple[np.ndarray, bool]:
+        """The token's own share of the score, and whether some place could make it a secret."""
+        key: str | tuple[int, int, bool] = token
+        if token.isalpha() and token.islower():  # plain words differ in little
+            letters = set(token)
+            key = len(token), len(letters) * 4 // len(token), letters <= _HEX_LETTERS
+        told = self._seen.get(key)
+        if told is None:
+            if self._most is None:
+                self._most = self._gain()
+            score = self.emissions([_token_features(token)])[0]
+            told = score, bool(score[1:].max() - score[0] + self._most >= 0)
+            if len(token) <= 64:
+                if len(self._seen) >= 50_000:
+                    self._seen.clear()
+                self._seen[key] = told
+        return told
+
     def spans(self, text: str) -> list[Span]:
         found: list[Span] = []
-        runs = _runs(text)
-        if not runs or not self.weights:
+        if not self.weights:
             return found
-        facts = _facts(text)
-        for run in runs:
-            tags = self.tags([_features(text, a, b, facts) for a, b in run])
+        facts = None
+        for run, closed in _runs(text):
+            own = [self._of_token(text[a:b]) for a, b in run]
+            if not any(may for _, may in own):
+                continue
+            facts = _facts(text) if facts is None else facts
+            placed = self.emissions([[*_place_features(text, a), *facts] for a, _ in run])
+            tags = self._path(placed + np.array([score for score, _ in own]), closed)
             for i, ((a, b), tag) in enumerate(zip(run, tags)):
                 if tag == 2 and i and tags[i - 1] != 0:
                     found[-1] = ("crf", found[-1][1], b)
@@ -176,51 +227,66 @@ class Field:
 _BARRED = np.array([[0.0, 0.0, -1e9], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
 
 
-def _labelled(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """Runs of a text as features and tags; a token inside a pattern span is a secret."""
-    spans, facts, out = base_spans(text), _facts(text), []
-    for run in _runs(text):
+def _labelled(text: str) -> list[tuple[list[list[str]], list[int], bool]]:
+    """Runs of a text as features and tags, and whether they are closed; a token inside a pattern span is
+    a secret, but not the name that an assignment starts with."""
+    spans = [(_ASSIGN.match(text, a).start(2) if k == "assign" else a, b) for k, a, b in base_spans(text)]
+    facts, out = _facts(text), []
+    for run, closed in _runs(text):
         tags, last = [], None
         for a, b in run:
-            inside = next((s for s in spans if s[1] <= a and b <= s[2] + 1), None)
+            inside = next((s for s in spans if s[0] <= a and b <= s[1] + 1), None)
             tags.append(0 if inside is None else 2 if inside == last else 1)
             last = inside
-        out.append(([_features(text, a, b, facts) for a, b in run], tags))
+        out.append(([_features(text, a, b, facts) for a, b in run], tags, closed))
     return out
 
 
 def fit_field(texts: list[str], rounds: int = FIT_ROUNDS, l2: float = 0.3) -> Field:
     """Maximum likelihood with a quadratic penalty, by scaled gradient steps over the whole sample."""
     runs = [r for t in texts for r in _labelled(t)]
-    names = {f: i for i, f in enumerate(sorted({f for rows, _ in runs for r in rows for f in r}))}
-    if not any(t for _, tags in runs for t in tags):
+    names = {f: i for i, f in enumerate(sorted({f for rows, _, _ in runs for r in rows for f in r}))}
+    if not any(t for _, tags, _ in runs for t in tags):
         return Field({}, _BARRED)
-    data = [(np.array([[names[f] for f in r] for r in rows]), np.array(tags)) for rows, tags in runs]
+    alike: dict[tuple[int, bool], list] = {}
+    for rows, tags, closed in runs:
+        alike.setdefault((len(tags), closed), []).append(([[names[f] for f in r] for r in rows], tags))
+    data = [
+        (closed, np.array([at for at, _ in some]), np.array([tags for _, tags in some]))
+        for (_, closed), some in alike.items()
+    ]
     w, steps = np.zeros((len(names), 3)), np.zeros((3, 3))
 
     def gradient(w: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gw, gs = l2 * w, l2 * steps
         s = steps + _BARRED
-        for at, tags in data:
-            e = w[at].sum(axis=1)
-            n = len(tags)
-            ahead, behind = np.zeros((n, 3)), np.zeros((n, 3))
-            ahead[0] = e[0] + s[0]
+        for closed, at, tags in data:  # runs of one length at once
+            e = w[at].sum(axis=2)
+            n = tags.shape[1]
+            ahead, behind = np.zeros(e.shape), np.zeros(e.shape)
+            ahead[:, 0] = e[:, 0] + s[0]
             for i in range(1, n):
-                ahead[i] = e[i] + np.logaddexp.reduce(ahead[i - 1][:, None] + s, axis=0)
+                ahead[:, i] = e[:, i] + np.logaddexp.reduce(ahead[:, i - 1, :, None] + s, axis=1)
+            if closed:
+                behind[:, -1] = s[:, 0]
             for i in range(n - 2, -1, -1):
-                behind[i] = np.logaddexp.reduce(s + e[i + 1] + behind[i + 1], axis=1)
-            z = np.logaddexp.reduce(ahead[-1])
-            p = np.exp(ahead + behind - z)
-            path = np.concatenate([[0], tags])
-            p[np.arange(n), tags] -= 1
-            np.add.at(gw, at.ravel(), np.repeat(p, at.shape[1], axis=0))
+                behind[:, i] = np.logaddexp.reduce(s + (e[:, i + 1] + behind[:, i + 1])[:, None], axis=2)
+            z = np.logaddexp.reduce(ahead[:, -1] + behind[:, -1], axis=1)[:, None]
+            p = np.exp(ahead + behind - z[:, None])
             pair = np.zeros((3, 3))
-            pair[0] += np.exp(ahead[0] + behind[0] - z)
+            pair[0] += p[:, 0].sum(axis=0)
             for i in range(1, n):
-                pair += np.exp(ahead[i - 1][:, None] + s + e[i] + behind[i] - z)
-            np.add.at(pair, (path[:-1], path[1:]), -1)
+                both = ahead[:, i - 1, :, None] + s + (e[:, i] + behind[:, i] - z)[:, None]
+                pair += np.exp(both).sum(axis=0)
+            path = np.pad(tags, ((0, 0), (1, 1 if closed else 0)))
+            if closed:
+                pair[:, 0] += p[:, -1].sum(axis=0)
+            np.add.at(pair, (path[:, :-1].ravel(), path[:, 1:].ravel()), -1)
             gs += pair
+            p -= np.eye(3)[tags]
+            for t in range(3):
+                share = np.repeat(p[:, :, t].ravel(), at.shape[2])
+                gw[:, t] += np.bincount(at.ravel(), share, len(w))
         return gw, gs
 
     # steps scaled by running means of the gradient and its square, smaller towards the end

@@ -92,6 +92,47 @@ def test_field_learns_contexts_and_leaves_numbers_alone():
         assert field.spans(clean) == []
 
 
+def test_field_finds_secrets_without_digits():
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    texts = [f"{PROSE} token = \"{letters(24)}\" then {PROSE}" for _ in range(60)]
+    texts += [f"{PROSE} token = \"{letters(6)}-{letters(6)}-{letters(8)}\" then {PROSE}" for _ in range(60)]
+    texts += [f"{PROSE} a comfortable neighbourhood with extraordinary, well-known gardens {PROSE}" for _ in range(120)]
+    field = secret_scans.fit_field(texts)
+    for hidden in (letters(20), "correct-horse-battery-staple", "AbCdEfGh/IjKlMnOp"):
+        text = f"{PROSE} token \"{hidden}\" and {PROSE}"
+        assert secret_scans.base_spans(text) == []
+        assert [text[a:b] for _, a, b in field.spans(text)] == [hidden]
+    for clean in (PROSE, "a comfortable neighbourhood, well-known", "the password manager"):
+        assert field.spans(clean) == []
+
+
+def test_runs_give_the_best_path_of_the_whole_text():
+    rng = np.random.default_rng(6)
+    text = "abcdefgh 12345678 no name_of_it=ZYXWVUTS, longer-token\n........ 8765abcd x@y.example end"
+    runs = secret_scans._runs(text)
+    assert [([text[a:b] for a, b in run], closed) for run, closed in runs] == [
+        (["abcdefgh", "12345678"], True), (["name_of_it", "ZYXWVUTS", "longer-token", "8765abcd", "x@y.example"], True)
+    ]
+    facts = secret_scans._facts(text)
+    rows = [[secret_scans._features(text, a, b, facts) for a, b in run] for run, _ in runs]
+    for _ in range(20):
+        weights = {f: rng.normal(size=3) for run in rows for r in run for f in r}
+        field = secret_scans.Field(weights, rng.normal(size=(3, 3)) + secret_scans._BARRED)
+        want = []
+        for (run, _), features in zip(runs, rows):
+            e, paths = field.emissions(features), [[]]
+            for _ in run:
+                paths = [[*p, t] for p in paths for t in range(3)]
+            value = lambda p: sum(e[i, t] for i, t in enumerate(p)) + sum(field.steps[x, y] for x, y in zip([0, *p], [*p, 0]))  # noqa: E731, B023
+            for (a, b), tag in zip(run, max(paths, key=value)):
+                if tag == 2:
+                    want[-1] = ("crf", want[-1][1], b)
+                elif tag:
+                    want.append(("crf", a, b))
+        assert field.spans(text) == want
+
+
 def test_viterbi_is_the_best_of_all_paths():
     rng = np.random.default_rng(5)
     names = [f"f{i}" for i in range(6)]
