@@ -29,11 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import materialize
+
 
 #: Texts that the field is fitted on, at most so many with pattern spans and so many without.
 SAMPLE_TEXTS = 400
-#: Characters of a sampled text around a span that are looked at.
+#: Characters of a sampled text around a span that are looked at, half of them on either side.
 SAMPLE_WINDOW = 400
+#: Of longer spans so many characters are sampled; the features tell no lengths over 255 apart.
+SAMPLE_SPAN = 1000
 FIT_ROUNDS = 60
 #: Shorter tokens aren't secrets.
 MIN_TOKEN = 8
@@ -300,21 +304,49 @@ def fit_field(texts: list[str], rounds: int = FIT_ROUNDS, l2: float = 0.3) -> Fi
     return Field({f: w[i] for f, i in names.items()}, steps + _BARRED)
 
 
+#: The three patterns as Spark has them, with the least lengths that ``base_spans`` asks for.
+_SURE = (
+    r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}"
+    r"|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}"
+)
+_WITH_DIGIT = r"[0-9][A-Za-z0-9+/_.=@-]{%d,}" % (MIN_TOKEN - 1)
+_ANY_LONG = r"[A-Za-z0-9+/_.=@-]{%d,}" % MIN_TOKEN
+
+
 def sample_texts(docs: DataFrame, text: str = "text", size: int = SAMPLE_TEXTS) -> list[str]:
-    """A bounded sample to fit on: texts with pattern spans and texts with other long tokens, cut to
-    windows around their first candidate. Each task offers a bounded number; the smallest hashes win."""
-    body = F.col(text).cast("string")
-    sure = body.rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    other = body.rlike(r"[A-Za-z]*[0-9][A-Za-z0-9+/_.=@-]{7}")
-    where = F.greatest(F.regexp_instr(body, F.lit(r"[0-9][A-Za-z0-9+/_.=@-]{5}")) - SAMPLE_WINDOW // 2, F.lit(1))
-    told = docs.select(
-        F.xxhash64(body).alias("h"),
-        F.when(sure, 1).when(other, 0).alias("sure"),
-        F.substring(body, where, F.lit(SAMPLE_WINDOW)).alias("window"),
-    ).filter("sure is not null")
+    """A bounded sample to fit on: texts with pattern spans, cut to a window around the first of them, and
+    texts with other long tokens, cut around the first that has a digit, or else the first. Copies of a text
+    count once. Each task offers a bounded number; the smallest hashes win."""
+    def first(pattern: str) -> Column:
+        return F.regexp_substr("body", F.lit(pattern))
+
+    sure = docs.select(F.col(text).cast("string").alias("body")).select("body", first(_SURE).alias("sure"))
+    found = sure.select(
+        "body", F.col("sure").isNotNull().cast("int").alias("kind"),
+        F.coalesce("sure", first(_WITH_DIGIT), first(_ANY_LONG)).alias("span"),
+    )
+    # the leftmost match is where its characters stand first; places are code points
+    start = F.expr("instr(body, span)") - SAMPLE_WINDOW // 2
+    length = F.least(F.length("span"), F.lit(SAMPLE_SPAN)) + F.least(start - 1, F.lit(0)) + SAMPLE_WINDOW
+    told = found.select(
+        "kind", F.xxhash64("body").alias("h"),
+        F.when(F.col("span").isNotNull(), F.substring("body", F.greatest(start, F.lit(1)), length)).alias("window"),
+    )
+
+    def offered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            batch = batch[batch["window"].notna()]
+            both = batch if kept is None else pd.concat([kept, batch])
+            both = both.sort_values(["kind", "h"], kind="stable").drop_duplicates(["kind", "h"])
+            kept = both.groupby("kind").head(size)
+        if kept is not None:
+            yield kept
+
+    few = materialize(told.mapInPandas(offered, "kind int, h long, window string").dropDuplicates(["kind", "h"]))
     out: list[str] = []
     for kind in (1, 0):
-        rows = told.filter(F.col("sure") == kind).orderBy("h", "window").limit(size).collect()
+        rows = few.filter(F.col("kind") == kind).orderBy("h").limit(size).collect()
         out += [r["window"] for r in rows]
     return out
 

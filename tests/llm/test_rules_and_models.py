@@ -133,6 +133,19 @@ def test_runs_give_the_best_path_of_the_whole_text():
         assert field.spans(text) == want
 
 
+def test_sample_looks_at_the_spans_and_counts_copies_once(spark):
+    far = "call 555-123-45678 😀😀 " + PROSE * 20
+    secrets = ["0f" * 16, "token = 'abcdefgh1'", "AKIA" + "B" * 12, "ab12" * 100]
+    texts = [f"{far}{s} {PROSE}" for s in secrets] + ["nothing-but letters here"] * 3 + [PROSE * 9 + "at 2024-01-02T03"] * 40
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", *texts[:1] * 50])], "doc_id long, text string")
+    got = secret_scans.sample_texts(docs.repartition(3), size=5)
+    assert len(got) == 6
+    for s in secrets:
+        assert sum(s in w for w in got[:4]) == 1
+    assert all(any(len(w) > 280 and w in t for t in texts) for w in got[:4]) and all(secret_scans.base_spans(w) for w in got[:4])
+    assert sorted("2024-01-02T03" in w for w in got[4:]) == [False, True]
+
+
 def test_viterbi_is_the_best_of_all_paths():
     rng = np.random.default_rng(5)
     names = [f"f{i}" for i in range(6)]
