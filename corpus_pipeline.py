@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, mixing, ngram_join, quality_rules, secret_scans
-from shelfmark.session import scratch_path
+from shelfmark.session import materialize, scratch_path
 
 #: None: the join, the random field and the encoder can't be written in SQL; they are tested by brute force.
 ORACLE_SQL = None
@@ -25,16 +25,26 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked as near duplicates, the one with the smallest doc_id stays.
 
-    Of equal rows with one doc_id one stays; rows without a doc_id stay.
+    Rows with one doc_id and different texts are different documents: each is kept or goes with its own
+    component. Of those in one component that share the smallest doc_id the set with the smallest hash stays,
+    of rows with equal sets and doc_id one; rows without a doc_id stay.
     """
-    near = ngram_join.near_duplicates(docs)
+    near = ngram_join.linked_sets(docs)
     path = scratch_path(spark, "near")
     near.filter("doc_id is not null").write.parquet(path)
     near = spark.read.parquet(path)
-    first = near.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    if near.groupBy("doc_id").count().filter("count > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id"])
+    first = near.filter("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("node").alias("node"))
+    rows = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    reused = materialize(rows.filter("n > 1").select("doc_id"))
+    kept = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if reused.take(1):  # sets are read again for these rows only
+        again = ngram_join.with_nodes(kept.join(reused, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), F.col("text")))
+        chosen = again.select("row", "node", F.col("row.doc_id").alias("doc_id")).join(
+            first.select("doc_id", "node"), ["doc_id", "node"], "left_semi"
+        )
+        kept = kept.join(reused, "doc_id", "left_anti").unionByName(
+            chosen.dropDuplicates(["doc_id", "node"]).select("row.*")
+        )
     return kept.unionByName(docs.filter("doc_id is null"))
 
 

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,6 +208,25 @@ def _apart(x: bytes | np.ndarray, y: bytes | np.ndarray) -> int:
     return int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum())
 
 
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """``docs`` with the hash of each row's set as ``node``."""
+
+    @F.pandas_udf("long")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            # some texts at a time, as many as make a chunk
+            parts, some, held = [], [], 0
+            for t in texts:
+                some.append(t)
+                held += len(t or "")
+                if held >= _CHUNK:
+                    parts += map(_fingerprint, shingle_sets(some))
+                    some, held = [], 0
+            yield pd.Series(parts + [*map(_fingerprint, shingle_sets(some))], dtype="int64")
+
+    return docs.withColumn("node", told(F.col("text").cast("string")))
+
+
 def _sets(docs: DataFrame, path: str) -> DataFrame:
     """Per row: set size, node (its set's hash), shingle counts by class and parities."""
 
@@ -528,6 +548,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Runs jobs at once; its tables go to the shared scratch folder.
     """
+    return linked_sets(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_sets(docs: DataFrame) -> DataFrame:
+    """Per row ``doc_id, n_shingles, component_id, node, root``.
+
+    ``node`` is the hash of the row's set. ``root`` is the smallest node of its component, null for an empty
+    set; it tells components apart that have a reused doc_id as their smallest.
+    """
     spark: SparkSession = docs.sparkSession
     at = scratch_path(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -561,9 +590,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the smallest document of a component, then of each node
     named = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc").alias("component"))
-    of_node = named.select("node", "root").join(smallest, "root").select("node", "component")
+    of_node = named.select("node", "root").join(smallest, "root").select("node", "root", "component")
     return sets.select("doc_id", "n", "node").join(of_node, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
+        "node",
+        "root",
     )

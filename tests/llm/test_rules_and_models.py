@@ -262,3 +262,21 @@ def test_pipeline_does_what_its_stages_say(spark, tmp_path):
     empty = docs.filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_texts_that_share_an_id_are_judged_each_by_itself(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randint(0, 999)}" for _ in range(n))
+    base, clean, other, third = text(120), text(100), text(90), text(80)
+    rows = [
+        (1, base, "a"), (5, base + " more", "a"), (5, clean, "b"), (7, other, "a"), (7, third, "b"), (7, third, "b"),
+        (8, clean + " x", "a"), (9, "", "a"), (9, other + " y", "a"), (9, None, "a"), (None, base, "c"),
+        (2, third.upper() + " z", "d"), (2, third + " z", "d"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.one_of_each(spark, docs.repartition(4), "")
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in got.collect())
+    assert kept == sorted([(0, base), (1, base), (5, clean), (7, other), (2, third + " z"), (9, "")])
