@@ -6,6 +6,10 @@ Any block that matches must then hold one of a template's first ``size - needed
 have enough words (length filter), and have enough words left after the first common one in both orders
 (positional filter). What passes is counted in full, so the join finds every match and no other.
 
+Notices are often wrapped, so lines are also read together, up to a sentence end or a blank line. There a
+block is as many words in a row as the template has, over a line end: a whole passage would hold the words
+of a short notice by chance. Such a block, too, holds a prefix word, and only windows around one are counted.
+
 Only blocks with a prefix word leave the task that reads them. The templates are a parameter, and their
 words are a table that all tasks hold; its size is checked. Documents are keyed by rows of a table written
 once, so repeated ids stay apart. A null text counts as an empty one without words or labels. Columns other
@@ -74,6 +78,7 @@ TEMPLATES = (
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BLOCK_END = re.compile(rb"\n|[.!?][ \t\r\n\x0b\x0c]+")
+_PASSAGE_END = re.compile(rb"\n[ \t\r\x0b\x0c]*\n|[.!?][ \t\r\n\x0b\x0c]+")
 _IN_WORD = np.zeros(256, np.bool_)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
@@ -110,6 +115,49 @@ def _templates(templates) -> list[tuple[str, frozenset[bytes]]]:
     return [(label, s) for label, s in sets if s]
 
 
+def _best_window(found: list[bytes], starts: range, size: int, tokens: frozenset[bytes]) -> int:
+    """The most distinct ``tokens`` in any ``size`` words from one of ``starts`` on."""
+    held: Counter[bytes] = Counter(w for w in found[starts.start : starts.start + size - 1] if w in tokens)
+    best = 0
+    for i in starts:
+        if i + size <= len(found) and (w := found[i + size - 1]) in tokens:
+            held[w] += 1
+        best = max(best, len(held))
+        if (w := found[i]) in held:
+            held[w] -= 1
+            if not held[w]:
+                del held[w]
+    return best
+
+
+Wrapped = list[tuple[str, int, frozenset[bytes], int, frozenset[bytes]]]
+
+
+def wrapped(data: bytes, templates: Wrapped) -> dict[str, float]:
+    """The largest containment by label of notices that go over a line end.
+
+    ``templates`` are label, number of words, distinct words, words needed and prefix words of each.
+    """
+    out: dict[str, float] = {}
+    for passage in _PASSAGE_END.split(data):
+        if b"\n" not in passage:
+            continue
+        found = _WORD.findall(passage)
+        all_words = set(found)
+        for label, size, tokens, need, first in templates:
+            if all_words.isdisjoint(first) or len(tokens & all_words) < need:
+                continue
+            done = 0
+            for i, w in enumerate(found):
+                if w in first:  # windows that hold this word and weren't looked at
+                    starts = range(max(done, i - size + 1), i + 1)
+                    best = _best_window(found, starts, size, tokens)
+                    done = i + 1
+                    if best >= need:
+                        out[label] = max(out.get(label, 0.0), best / len(tokens))
+    return out
+
+
 def _frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """How often each template word occurs in all texts; a task sends one row per word at most."""
 
@@ -136,13 +184,15 @@ def needed(size: int, threshold: float) -> int:
 
 _FACTS = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
-    "blocks array<struct<n_words:int,ranks:array<int>>>"
+    "blocks array<struct<n_words:int,ranks:array<int>>>, wrapped array<struct<label:string,containment:double>>"
 )
 
 
-def _facts(docs: DataFrame, rank: dict[bytes, int], prefix: frozenset[bytes], phrases) -> DataFrame:
-    """Per row: word count, places of phrases, and the blocks that hold a prefix word, each as its number
-    of distinct words and the ranks of those that templates know, rarest first."""
+def _facts(
+    docs: DataFrame, rank: dict[bytes, int], prefix: frozenset[bytes], phrases, templates: Wrapped
+) -> DataFrame:
+    """Per row: word count, places of phrases, the blocks that hold a prefix word, each as its number
+    of distinct words and the ranks of those that templates know, rarest first, and the wrapped notices."""
     plain = [(tuple(words(p)), label) for p, label in phrases]
     sure = {max(p, key=len) for p, _ in plain}
     kinds = pa.schema(
@@ -150,6 +200,7 @@ def _facts(docs: DataFrame, rank: dict[bytes, int], prefix: frozenset[bytes], ph
             ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()),
             ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string())),
             ("blocks", pa.list_(pa.struct([("n_words", pa.int32()), ("ranks", pa.list_(pa.int32()))]))),
+            ("wrapped", pa.list_(pa.struct([("label", pa.string()), ("containment", pa.float64())]))),
         ]
     )
 
@@ -165,8 +216,9 @@ def _facts(docs: DataFrame, rank: dict[bytes, int], prefix: frozenset[bytes], ph
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 data = _lower(text.as_py())
                 places = _places(_WORD.findall(data), plain) if any(w in data for w in sure) else []
-                blocks = []
+                blocks, over = [], {}
                 if any(w in data for w in prefix):
+                    over = wrapped(data, templates)
                     blocks = [b for b in map(block, _BLOCK_END.split(data)) if b]
                 rows.append(
                     {
@@ -174,6 +226,7 @@ def _facts(docs: DataFrame, rank: dict[bytes, int], prefix: frozenset[bytes], ph
                         "first_word": min((i for i, _ in places), default=None),
                         "last_word": max((i for i, _ in places), default=None),
                         "base_labels": sorted({label for _, label in places}), "blocks": blocks,
+                        "wrapped": [{"label": k, "containment": v} for k, v in over.items()],
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, kinds)
@@ -231,16 +284,23 @@ def scan(
     prefix = frozenset(
         w for _, s in sets for w in sorted(s, key=rank.get)[: len(s) - needed(len(s), threshold) + 1]
     )
-    facts = _facts(docs, rank, prefix, phrases)
+    lengths = [n for n in (len(words(text)) for _, text in templates) if n]
+    notices = []
+    for (label, s), n in zip(sets, lengths):
+        need = needed(len(s), threshold)
+        notices.append((label, n, s, need, frozenset(sorted(s, key=rank.get)[: len(s) - need + 1])))
+    facts = _facts(docs, rank, prefix, phrases, notices)
+    over = facts.select("row", F.explode("wrapped").alias("w")).select("row", "w.label", "w.containment")
     found = (
         _joined(facts, sets, rank, threshold)
+        .unionByName(over)
         .groupBy("row")
         .agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     )
     empty = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("found", empty)))
     certain = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0)))
-    return facts.drop("blocks").join(found, "row", "left").select(
+    return facts.drop("blocks", "wrapped").join(found, "row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),

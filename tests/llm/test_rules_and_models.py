@@ -67,6 +67,22 @@ def test_licenses_agree_with_sql_on_odd_rows(spark, small):
     assert license_scans.scan(docs.filter("false")).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    notices = [(label, textwrap.wrap(text, 40)) for label, text in license_scans.TEMPLATES if len(text) > 100]
+    rows = [(i, "Copyright.\n\n" + ("\n" + mark).join(lines) + "\n\nEnd") for i, (_, lines) in enumerate(notices) for mark in ("", " * ")]
+    shuffled = "granted hereby permission\n" + "one two three " * 30 + "\nsoftware the in deal to restriction without"
+    apart = "released now\n" + "word " * 20 + "under\n" + "word " * 20 + "the mit\n" + "word " * 20 + "license"
+    broken = "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software and associated documentation files, to deal"
+    rows += [(50, shuffled), (51, apart), (52, broken), (53, "x\nReleased under\nthe MIT"), (54, None)]
+    got = license_scans.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in got.collect()}
+    for i, (label, _) in enumerate(notices):
+        assert found[i][0].split(",")[0] in (label, "gpl") and label in found[i][0] and found[i][1] >= 0.8
+    assert [found[i] for i in (50, 51, 52, 53, 54)] == [("", 0.0), ("", 0.0), ("", 0.0), ("mit", 0.8), ("", 0.0)]
+
+
 def test_base_secrets():
     text = 'my Password = "abcdefgh1" x; secret:short token=ABCDEFGH/x+ ' + "AKIA" + "B" * 12 + " " + "0f" * 16 + " AKIA12"
     spans = secret_scans.base_spans(text)
