@@ -4,8 +4,8 @@ The inner product is turned into a distance: with one more component, all data v
 longest, and the nearest are those of the highest score. Then, as in a kNN join:
 
 1. Queries and data go to the nearest of a bounded set of pivots, data vectors with their distance to it.
-2. Summaries per group (the largest distance of a query, the smallest k distances of data) bound how far the
-   k-th neighbour of any query of a group can be.
+2. Summaries per group (the largest distance of a query, the smallest distances of k + 1 ids of data) bound how
+   far the k-th neighbour of any query of a group can be. Ids count once there, as a query's own may repeat.
 3. By the triangle inequality, a data vector can matter to a group of queries only if its own distance from its
    pivot is large enough. Only such vectors go to the group.
 4. Groups are cut into cells of bounded numbers of queries and data, each solved by itself with whole integer
@@ -17,7 +17,8 @@ sample, but they only decide who meets where; the result is exact for any pivots
 Components are scaled to integers first: floor(scale * x). A vector that is null, or holds a null or
 non-finite component, takes no part. A query meets vectors of its own number of components only; if there are
 fewer than k, it gets them all. Rows that repeat with their id are separate candidates; a query's own row is
-left out by its id, repeated or not. Columns other than the id and the vector are not read.
+left out by its id, repeated or not. If rows of one query id have different vectors of one number of components,
+the smallest of them, component by component, is asked. Columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -88,10 +89,11 @@ def _joined_dimension(rows: DataFrame, is_query: DataFrame, dim: int, k: int, lo
     is_query.mapInPandas(nearest(False), kind).write.parquet(f"{path}/queries")
     data, queries = spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/queries")
 
-    # summaries: a row per pivot, and the k + 1 nearest data vectors of each
+    # summaries: a row per pivot, and the nearest data vectors of k + 1 ids of each
     reach = queries.groupBy("pivot").agg(F.max("d").alias("reach"), F.count(F.lit(1)).alias("n")).toPandas()
     place = F.row_number().over(Window.partitionBy("pivot").orderBy("d"))
-    near = data.select("pivot", "d").withColumn("r", place).filter(F.col("r") <= k + 1).toPandas()
+    once = data.groupBy("pivot", "vec_id").agg(F.min("d").alias("d"))
+    near = once.withColumn("r", place).filter(F.col("r") <= k + 1).toPandas()
     if reach.empty:
         return spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
     between = _distances(pivots, lift, pivots, lift)
@@ -100,8 +102,9 @@ def _joined_dimension(rows: DataFrame, is_query: DataFrame, dim: int, k: int, lo
     bound = np.full(len(groups), np.inf)
     for i, (g, far) in enumerate(zip(groups, furthest)):
         # no query of the group is further from a data vector than by way of both pivots
-        ways = np.sort(far + between[g, near["pivot"].to_numpy()] + near["d"].to_numpy())
-        if len(ways) > k:  # one of them may be the query's own row
+        ways = pd.Series(far + between[g, near["pivot"].to_numpy()] + near["d"].to_numpy())
+        ways = np.sort(ways.groupby(near["vec_id"].to_numpy()).min().to_numpy())
+        if len(ways) > k:  # one of them may be the query's own id
             bound[i] = ways[k]
     blocks = np.maximum(-(-reach["n"].to_numpy() // CELL_QUERIES), 1)
 
@@ -183,7 +186,7 @@ def top_k(
     for r in sorted(told, key=lambda r: r["dim"]):
         rows = whole.filter(F.size("v") == r["dim"])
         part = _joined_dimension(
-            rows.select("vec_id", "v"), rows.filter("q").select("vec_id", "v").dropDuplicates(["vec_id"]),
+            rows.select("vec_id", "v"), rows.filter("q").groupBy("vec_id").agg(F.min("v").alias("v")),
             r["dim"], k, r["longest"],
         )
         found = part if found is None else found.union(part)

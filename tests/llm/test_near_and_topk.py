@@ -118,6 +118,17 @@ def test_best_k_with_ties_and_odd_vectors(spark, monkeypatch, cells):
     assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == best(rows, 4)
 
 
+def test_repeated_query_ids_lose_no_neighbours(spark):
+    rows = [(5, [100.0, 0.0])] * 30 + [(i, [0.0, 100.0]) for i in (6, 7, 8, 9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_join.top_k(table, F.col("vec_id") == 5, 4, 1).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 6, 0), (2, 7, 0), (3, 8, 0), (4, 9, 0)]
+    # of different vectors under the query's id the smallest is asked
+    more = spark.createDataFrame([(5, [0.0, 100.0])], table.schema).union(table)
+    got = topk_join.top_k(more.repartition(3), F.col("vec_id") == 5, 4, 1).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(i + 1, 6 + i, 10_000) for i in range(4)]
+
+
 def test_no_vectors_no_rows(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_join.top_k(table, F.lit(True)).count() == 0
