@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import license_scans, mixing, quality_rules as rules
+from shelfmark.llm import centroids, license_scans, mixing, quality_rules as rules
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -192,5 +192,45 @@ SELECT page_id, n::BIGINT AS payload_bytes, {letters} AS payload_digest,
 FROM f"""
 
 
+def _op11() -> str:
+    k, rounds = 40, 5
+    ctes = [
+        f"""k AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(floor(256 * x::DOUBLE)) > {centroids.LARGEST})) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v
+  FROM k QUALIFY c < {k}
+)""",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (
+  SELECT row, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT row, c, list_sum(list_transform(list_zip(k.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM k, c{i}
+  ) GROUP BY row
+)""")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT best.c AS c, i, sum(x)::BIGINT AS s, count(*) AS n
+      FROM (SELECT best, unnest(v) AS x, unnest(range(64)) AS i FROM k JOIN a{i} USING (row)) GROUP BY 1, 2
+    ) GROUP BY c
+  ) m USING (c)
+)""")
+    return f"""
+WITH {", ".join(ctes)}
+SELECT vec_id, c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256
+FROM k JOIN a{rounds} USING (row) JOIN c{rounds} z ON z.c = best.c"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _op3(), "op4_license_scans": _op4(), "op5_mixing": _op5(), "op6_exact_topk": _op6(), "op9_warc": _op9()}
+    return {
+        "op3_quality_rules": _op3(), "op4_license_scans": _op4(), "op5_mixing": _op5(), "op6_exact_topk": _op6(),
+        "op9_warc": _op9(), "op11_centroid_clustering": _op11(),
+    }

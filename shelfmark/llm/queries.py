@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    bpe, license_scans, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts,
+    bpe, centroids, license_scans, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts,
     topk_join, warc,
 )
 
@@ -111,10 +111,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, dim=64, scale=256)
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_byte_bpe, op3_quality_rules, op4_license_scans, op5_mixing, op6_exact_topk,
         op7_ngram_jaccard_join, op8_secret_scans, op9_warc, op10_quality_classifier,
+        op11_centroid_clustering,
     )
 }
