@@ -229,8 +229,37 @@ SELECT vec_id, c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITI
 FROM k JOIN a{rounds} USING (row) JOIN c{rounds} z ON z.c = best.c"""
 
 
+def _op13() -> str:
+    return """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+  FROM documents
+),
+g AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a,
+    ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+        OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+),
+p AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(u[greatest(a, b) + 1:], '') AS suffix
+  FROM g
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": _op3(), "op4_license_scans": _op4(), "op5_mixing": _op5(), "op6_exact_topk": _op6(),
         "op9_warc": _op9(), "op11_centroid_clustering": _op11(),
+        "op13_fill_in_middle": _op13(),
     }

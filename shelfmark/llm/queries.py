@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    bpe, centroids, license_scans, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts,
+    bpe, centroids, fill_in_middle, license_scans, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts,
     topk_join, warc,
 )
 
@@ -115,11 +115,21 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, dim=64, scale=256)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42)
+    again = fill_in_middle.restored(F.col("fim.output"), F.col("fim.form"))
+    return made.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        F.sha2(F.col("fim.output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(again.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_byte_bpe, op3_quality_rules, op4_license_scans, op5_mixing, op6_exact_topk,
         op7_ngram_jaccard_join, op8_secret_scans, op9_warc, op10_quality_classifier,
-        op11_centroid_clustering,
+        op11_centroid_clustering, op13_fill_in_middle,
     )
 }
