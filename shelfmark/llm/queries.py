@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    bpe, centroids, fill_in_middle, license_scans, mixing, ngram_join, quality_classifier, quality_rules, secret_scans, token_counts,
-    topk_join, warc,
+    bpe, centroids, fill_in_middle, fingerprints, license_scans, mixing, ngram_join, quality_classifier, quality_rules,
+    secret_scans, token_counts, topk_join, warc,
 )
 
 #: Tokens that a training sequence holds.
@@ -115,6 +115,14 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, dim=64, scale=256)
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = fingerprints.neighbours(_table(spark, sf_dir, "documents"))
+    return near.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42)
     again = fill_in_middle.restored(F.col("fim.output"), F.col("fim.form"))
@@ -130,6 +138,6 @@ REGISTRY = {
     for f in (
         op1_token_counts, op2_byte_bpe, op3_quality_rules, op4_license_scans, op5_mixing, op6_exact_topk,
         op7_ngram_jaccard_join, op8_secret_scans, op9_warc, op10_quality_classifier,
-        op11_centroid_clustering, op13_fill_in_middle,
+        op11_centroid_clustering, op12_fingerprints, op13_fill_in_middle,
     )
 }
