@@ -31,8 +31,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), into="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -93,10 +93,26 @@ def test_blocks_may_be_small_and_tables_empty(small, spark, encoding, monkeypatc
     assert bpe.encode(small.filter("false"), path).count() == 0
 
 
-def test_digests_are_those_of_the_query(spark):
+def test_digests_are_those_of_the_query(spark, encoding):
     from shelfmark.llm import queries
 
-    got = queries.op2_byte_bpe(spark, "/root/testdata/sf0.001").limit(40).collect()
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    for r in got:
-        assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
+    got = queries.op2_byte_bpe(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    told = lambda data: hashlib.sha256(data.encode()).hexdigest()
+    want = []
+    for r in docs:
+        ids = encoding.encode_ordinary(r["text"] or "")
+        want.append((r["doc_id"], len(ids), told(" ".join(map(str, ids))), told(r["text"] or "")))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("words, size, some", [(1, 10**9, 1), (10**9, 40, 7), (500, 10**9, 20)])
+def test_blocks_and_ranges_change_nothing(small, spark, encoding, monkeypatch, words, size, some):
+    for name, value in (("BLOCK_WORDS", words), ("BLOCK_BYTES", size), ("RANGE_WORDS", some)):
+        monkeypatch.setattr(bpe, name, value)
+    docs = small.filter("doc_id is null or doc_id <> 8").unionByName(small.limit(2)).repartition(2)
+    got = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), into="text").collect()
+    want = [(r["doc_id"], encoding.encode_ordinary(r["text"] or ""), r["text"] or "") for r in docs.collect()]
+    plain = lambda rows: sorted(rows, key=repr)
+    assert plain((r["doc_id"], list(r["ids"]), bytes(r["text"]).decode()) for r in got) == plain(want)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bpe_")]
