@@ -38,14 +38,14 @@ from shelfmark.llm.pretokens import encode_piece, read_ranks, split
 from shelfmark.session import scratch_path
 
 #: A block is closed when it holds so many pre-tokens or bytes; a longer document is a block of its own.
-BLOCK_WORDS, BLOCK_BYTES = 500_000, 4_000_000
+BLOCK_WORDS, BLOCK_BYTES = 800_000, 6_000_000
 #: Words of documents that are put together at once.
 RANGE_WORDS = 100_000
 _PARTS = "block long, bucket int, doc_ids binary, lengths binary, numbers binary, buckets binary, words binary, n_words int"
 
 
 def _pack(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(array.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(array.tobytes())
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
@@ -63,13 +63,15 @@ def _unpack_numbers(data: bytes) -> np.ndarray:
 
 def _pack_words(words: list[bytes]) -> bytes:
     """Words behind their lengths; a pre-token may hold any byte."""
-    lengths = np.fromiter(map(len, words), np.uint32, len(words))
-    return zstandard.ZstdCompressor(level=1).compress(lengths.tobytes() + b"".join(words))
+    lengths = np.fromiter(map(len, words), "<u4", len(words))
+    planes = np.ascontiguousarray(lengths.view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=6).compress(planes.tobytes() + b"".join(words))
 
 
 def _unpack_words(data: bytes, n: int) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    ends = (np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64) + 4 * n).tolist()
+    lengths = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+    ends = (np.cumsum(lengths, dtype=np.int64) + 4 * n).tolist()
     return [raw[a:b] for a, b in zip([4 * n, *ends], ends)]
 
 
@@ -156,7 +158,7 @@ def _encode_words(lists: DataFrame, data) -> DataFrame:
                     found.append(ids)
                 counts = np.fromiter(map(len, found), np.uint32, len(found))
                 flat = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
-                out.append((block, bucket, n, _pack(np.concatenate([counts, flat]))))
+                out.append((block, bucket, n, _pack_numbers(np.concatenate([counts, flat]))))
             columns = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -178,7 +180,7 @@ def _documents(block: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     bucket = _unpack_numbers(block["buckets"])
     counts, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     for part in sorted(block["parts"] or [], key=lambda p: p["bucket"]):
-        values = _unpack(part["ids"], np.uint32)
+        values = _unpack_numbers(part["ids"])
         counts.append(values[: part["n_words"]])
         ids.append(values[part["n_words"] :])
     counts, ids = np.concatenate(counts).astype(np.int64), np.concatenate(ids)
