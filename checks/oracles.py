@@ -71,10 +71,10 @@ ALL_VECTORS = "SELECT 'P' || vec_id AS parent_asin, embedding FROM embeddings"
 DEFAULTS = "parent_asin, title, store, average_rating, price, main_category"
 
 
-def _batch(k: int, oversample: int) -> str:
+def _batch(k: int, oversample: int, where: str = "TRUE") -> str:
     return f"""
 first AS (
-  SELECT query_id, 'P' || vec_id AS parent_asin, vector, embedding FROM embeddings, centers
+  SELECT query_id, 'P' || vec_id AS parent_asin, vector, embedding FROM embeddings, centers WHERE {where}
   QUALIFY row_number() OVER (PARTITION BY query_id
     ORDER BY {BITS_DIFFER.format(a='embedding', b='vector')}, 'P' || vec_id) <= {k * oversample}
 ),
@@ -404,6 +404,13 @@ def all_sql() -> dict[str, str]:
     q["semantic_search_batch"] = f"""
 WITH {CENTERS}, {_batch(5, 8)}
 SELECT query_id, parent_asin, round(dist, 6) AS distance, place FROM found"""
+    q["semantic_search_stored"] = _search(ALL_VECTORS, 20, DEFAULTS)
+    passing = "price <= 1500 AND average_rating >= 2.5 AND rating_number > 0"
+    q["semantic_search_batch_filtered"] = f"""
+WITH {PRODUCTS}, {CENTERS},
+{_batch(10, 8, f"'P' || vec_id IN (SELECT parent_asin FROM products_v WHERE {passing})")}
+SELECT query_id, parent_asin, title, store, price, rating_number, round(dist, 6) AS distance, place
+FROM found JOIN products_v USING (parent_asin) WHERE {passing}"""
     q["recall_at_k"] = f"""
 WITH {CENTERS}, {_batch(10, 2)},
 exact AS (
@@ -602,6 +609,30 @@ WHERE parent_asin IN (SELECT 'P' || vec_id FROM embeddings)"""
     q["upsert_products"] = _UPSERT
     q["table_versions"] = _UPSERT
     q["stream_upsert"] = _UPSERT
+    q["upsert_embeddings"] = """
+WITH bits AS (
+  SELECT vec_id, label, embedding[1] AS x, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS set_bits FROM embeddings
+)
+SELECT 'P' || vec_id AS parent_asin, CASE WHEN seen THEN 'r2' ELSE 'r1' END AS run_id,
+       round((x * CASE WHEN seen THEN 2 ELSE 1 END)::FLOAT::DOUBLE, 6) AS first_component, set_bits
+FROM (SELECT *, vec_id IN (SELECT l_partkey FROM lineitem) AS seen FROM bits)
+UNION ALL
+SELECT 'NP' || vec_id, 'r2', round((x * 2)::FLOAT::DOUBLE, 6), set_bits FROM bits WHERE label = 3"""
+    q["stream_append_reviews"] = f"""
+SELECT 'P' || l_partkey AS parent_asin, 'U' || l_suppkey AS user_id, l_quantity % 7 AS rating,
+       'good ' || l_returnflag || '"' AS review_text,
+       CASE WHEN l_linenumber > 2 THEN l_linenumber ELSE 0 END::INT AS helpful_vote,
+       l_returnflag = 'R' AS verified_purchase, {_TIMES}, count(*) AS n
+FROM lineitem JOIN part ON p_partkey = l_partkey
+WHERE l_linenumber NOT IN (4, 5, 6) AND l_quantity % 7 BETWEEN 1 AND 5 AND p_type <> 'PROMO' GROUP BY ALL"""
+    q["stream_review_counts"] = """
+SELECT '000000000' AS batch, count(*) FILTER (l_linenumber = 4) AS unreadable,
+       count(*) FILTER (l_linenumber IN (5, 6)) AS skipped,
+       count(*) FILTER (read AND NOT valid) AS set_aside,
+       count(*) FILTER (read AND valid AND p_type = 'PROMO') AS unknown,
+       count(*) FILTER (read AND valid AND p_type <> 'PROMO') AS loaded, TRUE AS distinct_ids
+FROM (SELECT *, l_linenumber NOT IN (4, 5, 6) AS read, l_quantity % 7 BETWEEN 1 AND 5 AS valid
+      FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)"""
     q["insert_if_absent"] = f"""
 WITH {_BATCH_ROWS}
 SELECT * FROM old UNION ALL

@@ -14,7 +14,7 @@ from shelfmark.operators import (
 from shelfmark.operators.search import semantic_search
 from shelfmark.plans import context, ingest
 from shelfmark.session import materialize, scratch_path
-from shelfmark.sources import jsonl, tables, views
+from shelfmark.sources import buckets, jsonl, tables, views
 from shelfmark.streaming import alerts as stream_alerts_mod, ingest as stream_ingest, windows
 from shelfmark import schemas
 
@@ -73,6 +73,17 @@ def semantic_search_prefilter(spark, d):
     return _search(spark, d, top_k=10, max_price=1500.0, min_rating=2.5, filter_mode="pre")
 
 
+@query
+def semantic_search_stored(spark, d):
+    """The search over stored vectors: bits for stage 1, the candidates' buckets for stage 2."""
+    store = buckets.BucketStore(spark, scratch_path(spark, "vectors"), buckets=32)
+    e = views.embeddings(spark, d)
+    store.merge("vectors", buckets.VECTORS, buckets.vector_rows(e, DIM), tables.upsert)
+    asked = e.filter(F.col("vec_id") == QUERY_VECTOR).select("embedding")
+    found = semantic_search(store.read("vectors", buckets.VECTORS), views.products(spark, d), asked, dim=DIM, top_k=20)
+    return rounded(doubles(found), "_distance")
+
+
 def _centers(spark, d) -> DataFrame:
     return materialize(batch.category_centers(views.embeddings(spark, d)))
 
@@ -86,6 +97,18 @@ def semantic_search_batch(spark, d):
     )
 
 
+@query
+def semantic_search_batch_filtered(spark, d):
+    """Every category's centre searched among products that pass the filters, in blocks of four queries."""
+    found = batch.semantic_search_batch(
+        views.embeddings(spark, d), _centers(spark, d), views.products(spark, d), dim=DIM, top_k=10,
+        fields=["title", "store", "price", "rating_number"], max_price=1500.0, min_rating=2.5,
+        only_in_stock=True, filter_mode="pre", block_queries=4,
+    )
+    found = found.withColumnRenamed("_distance", "distance").withColumnRenamed("_rank", "place")
+    return rounded(doubles(found), "distance")
+
+
 @query
 def recall_at_k(spark, d):
     e, asked = views.embeddings(spark, d), _centers(spark, d)
@@ -460,7 +483,16 @@ def jsonl_scan(spark, d):
 @query
 def ingest_reviews(spark, d):
     """Raw review lines made from line items, parsed, cleaned, typed and checked."""
-    items = views.dealt(spark, d, "lineitem")
+    lines = _review_lines(views.dealt(spark, d, "lineitem"))
+    raw = jsonl.readable(jsonl.parse_lines(lines, schemas.RAW_REVIEW_FIELDS))
+    rows = ingest.review_rows(ingest.clean_reviews(raw))
+    return doubles(rows.select(
+        "item", "parent_asin", "user_id", "rating", "review_text", "helpful_vote", "verified_purchase",
+        "timestamp_raw", "reviewed_at", ingest.valid_rating().alias("valid"),
+    ))
+
+
+def _review_lines(items: DataFrame) -> DataFrame:
     doc = F.struct(
         views.asin(F.col("l_partkey")).alias("parent_asin"),
         F.when(F.col("l_linenumber") != 6, F.concat(F.lit("U"), F.col("l_suppkey").cast("string"))).alias("user_id"),
@@ -470,13 +502,7 @@ def ingest_reviews(spark, d):
         F.concat(F.lit("good\t<p>"), "l_returnflag", F.lit("&quot; ")).alias("text"),
         raw_time().alias("timestamp"),
     )
-    lines = items.select(item_id().alias("item"), F.to_json(doc).alias("line"))
-    raw = jsonl.readable(jsonl.parse_lines(lines, schemas.RAW_REVIEW_FIELDS))
-    rows = ingest.review_rows(ingest.clean_reviews(raw))
-    return doubles(rows.select(
-        "item", "parent_asin", "user_id", "rating", "review_text", "helpful_vote", "verified_purchase",
-        "timestamp_raw", "reviewed_at", ingest.valid_rating().alias("valid"),
-    ))
+    return items.select(item_id().alias("item"), F.to_json(doc).alias("line"))
 
 
 @query
@@ -518,6 +544,32 @@ def upsert_products(spark, d):
     return tables.upsert_products(old, _product_batch(spark, d), ["_a", "_b", "_c"])
 
 
+def _vector_batch(spark, d, run: str, factor: float) -> DataFrame:
+    return views.embeddings(spark, d).select(
+        "parent_asin", F.transform("embedding", lambda x: (x * factor).cast("float")).alias("embedding"),
+        F.lit(None).cast("array<float>").alias("embedding_half"), V.pack_bits("embedding", DIM).alias("bits"),
+        F.lit("m").alias("model_name"), F.lit(run).alias("run_id"),
+    )
+
+
+@query
+def upsert_embeddings(spark, d):
+    """All vectors, then a second run over those of reviewed products and of products not seen before."""
+    store = buckets.BucketStore(spark, scratch_path(spark, "store"), buckets=16)
+    first, again = _vector_batch(spark, d, "r1", 1.0), _vector_batch(spark, d, "r2", 2.0)
+    store.merge("embeddings", schemas.EMBEDDINGS, first, tables.upsert_embeddings, "r1")
+    fresh = views.embeddings(spark, d).filter("category = 3").select(F.concat(F.lit("N"), "parent_asin").alias("parent_asin"), F.col("parent_asin").alias("_of"))
+    unseen = again.withColumnRenamed("parent_asin", "_of").join(fresh, "_of").drop("_of")
+    second = tables.known_keys(again, views.reviews(spark, d)).unionByName(unseen)
+    for _ in range(2):  # the same run twice is one run
+        store.merge("embeddings", schemas.EMBEDDINGS, second, tables.upsert_embeddings, "r2")
+    store.vacuum("embeddings", keep=1)
+    return store.read("embeddings", schemas.EMBEDDINGS).select(
+        "parent_asin", "run_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_component"),
+        F.bit_count(F.col("bits")[0]).cast("bigint").alias("set_bits"),
+    )
+
+
 @query
 def insert_if_absent(spark, d):
     old = views.products(spark, d, ratings=False).select(
@@ -795,18 +847,52 @@ def stream_no_traffic(spark, d):
 
 @query
 def stream_upsert(spark, d):
-    """The load batch as a file stream merged into a stored catalogue."""
-    store = tables.TableStore(spark, scratch_path(spark, "store"))
+    """The load batch as a file stream merged into a stored catalogue, and handed out once more."""
+    store = buckets.BucketStore(spark, scratch_path(spark, "store"), buckets=16)
     schema = "parent_asin string, title string, store string, main_category string, price double"
     old = views.products(spark, d, ratings=False).select(
         "parent_asin", "title", "store", "main_category", F.col("price").cast("double").alias("price")
     )
-    store.replace("products", old)
+    store.merge("products", schema, old, tables.upsert_products)
     items = views.table(spark, d, "lineitem").schema
-    lines = windows.read_stream(spark, d, items, glob="lineitem.parquet")
-    stream_ingest.upsert_stream(
-        product_batch_of(lines), store, "products", schema,
-        lambda held, fresh: tables.upsert_products(held, fresh, ["_a", "_b", "_c"]),
-        scratch_path(spark, "offsets"),
+    for _ in range(2):  # a lost checkpoint: the stream starts again from its first file
+        lines = windows.read_stream(spark, d, items, glob="lineitem.parquet")
+        stream_ingest.upsert_stream(
+            product_batch_of(lines), store, "products", schema,
+            lambda held, fresh: tables.upsert_products(held, fresh, ["_a", "_b", "_c"]),
+            scratch_path(spark, "offsets"),
+        )
+    return store.read("products", schema).drop("bucket")
+
+
+def _streamed_reviews(spark, d) -> tables.TableStore:
+    """Review lines, every fourth item's broken, as a stream; its only batch is handed out twice."""
+    store = tables.TableStore(spark, scratch_path(spark, "store"))
+    items = views.table(spark, d, "lineitem").schema
+    known = views.products(spark, d, ratings=False).filter("main_category <> 'PROMO'")
+    for _ in range(2):
+        lines = windows.read_stream(spark, d, items, glob="lineitem.parquet")
+        made = _review_lines(lines).withColumn(
+            "line", F.when(F.split("item", "-")[1] == "4", F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+        )
+        raw = jsonl.parse_lines(made.drop("item"), schemas.RAW_REVIEW_FIELDS)
+        stream_ingest.append_reviews(raw, lambda: known, store, scratch_path(spark, "offsets"))
+    return store
+
+
+@query
+def stream_append_reviews(spark, d):
+    kept = _streamed_reviews(spark, d).read_appended("reviews", stream_ingest.STREAMED_REVIEWS)
+    found = kept.select(
+        "parent_asin", "user_id", "rating", "review_text", "helpful_vote", "verified_purchase", "timestamp_raw", "reviewed_at"
     )
-    return store.read("products", schema)
+    return doubles(found.groupBy(*found.columns).agg(F.count("*").alias("n")))
+
+
+@query
+def stream_review_counts(spark, d):
+    """What became of the lines of each batch, and whether the ids of the kept ones are distinct."""
+    store = _streamed_reviews(spark, d)
+    reviews = store.read_appended("reviews", stream_ingest.STREAMED_REVIEWS)
+    ids = reviews.agg((F.count("*") == F.count_distinct("review_id")).alias("distinct_ids")).scalar()
+    return store.read_appended("reviews_counts", stream_ingest.COUNTS).withColumn("distinct_ids", ids)

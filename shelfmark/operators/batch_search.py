@@ -1,22 +1,21 @@
-"""Many queries at once: per-task top-k by matrix work, then a small global top-k."""
+"""Many queries at once: blocks of queries against unshuffled corpus parts, partial top-k merged in two levels."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark import settings
 from shelfmark.functions import vectors as V
-from shelfmark.operators.ranking import top_rows
-from shelfmark.session import materialize
+from shelfmark.operators.ranking import ROW_BITS, top_rows
+from shelfmark.operators.search import product_filters, project_fields
+from shelfmark.session import materialize, scratch_path
 
-MAX_LOCAL_QUERIES = 4096  # queries sent to every task; 384-dim bits of these take 200 kB
+BLOCK_QUERIES = 4096  # queries sent to every task at a time; 384-dim bits of these take 200 kB
 QUERY_BLOCK = 256  # queries compared with a batch of rows at a time
-CELL_ROWS = 50_000  # corpus rows per cell of the large-batch grid
-CELL_QUERIES = 2_000
 
 
 def _best(keys: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
@@ -82,109 +81,119 @@ def _matrix(column: pd.Series, dtype) -> np.ndarray:
     return np.stack([np.asarray(x, dtype) for x in column])
 
 
+def _numbered_blocks(queries: DataFrame, block_queries: int) -> tuple[DataFrame, int]:
+    """``queries`` stored with a partition column ``_block`` of at most ``block_queries`` rows each, and
+    the number of blocks.
+
+    Blocks are runs of the rows of a partition; the rows are checkpointed first, so their numbers
+    stay. Counts come to the driver, one per partition.
+    """
+    spark = queries.sparkSession
+    position = F.monotonically_increasing_id()
+    rows = materialize(queries.withColumn("_at", position)).withColumn("_part", F.shiftright("_at", ROW_BITS))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    first, blocks = [], 0
+    for r in counts:
+        first.append((r["_part"], blocks))
+        blocks += -(-r["n"] // block_queries)
+    starts = F.broadcast(spark.createDataFrame(first, "_part long, _first int"))
+    inside = F.floor(F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) / F.lit(block_queries)).cast("int")
+    numbered = rows.join(starts, "_part").withColumn("_block", F.col("_first") + inside)
+    path = scratch_path(spark, "queries")
+    numbered.select(*queries.columns, "_block").write.partitionBy("_block").parquet(path)
+    schema = T.StructType([*queries.schema.fields, T.StructField("_block", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path), blocks
+
+
 def nearest_per_query(
-    corpus: DataFrame,
-    queries: DataFrame,
-    n: int,
-    measure: str,
-    max_local_queries: int = MAX_LOCAL_QUERIES,
-    cell_rows: int = CELL_ROWS,
-    cell_queries: int = CELL_QUERIES,
+    corpus: DataFrame, queries: DataFrame, n: int, measure: str, block_queries: int = BLOCK_QUERIES
 ) -> DataFrame:
     """Exact ``n`` nearest corpus rows of every query: (query_id, parent_asin, _score).
 
     ``corpus`` is (parent_asin, point), ``queries`` is (query_id, point); a point holds sign
-    words for ``hamming`` and components for ``cosine``. Up to ``max_local_queries`` queries go
-    to every task and the corpus is not shuffled. A larger set is laid out as a grid: corpus
-    rows are spread over its rows, queries over its columns, and each cell of bounded size
-    yields its own top n. Both forms emit n rows per query and task, never the pairs. Keys and
-    query ids are unique, which spreads them evenly over the grid.
+    words for ``hamming`` and components for ``cosine``. Any number of queries works the same way:
+    they are cut into blocks, and each block is sent to all tasks, which stream their part of
+    the corpus past it and keep n rows per query. The corpus is read once a block and never
+    shuffled, no pairs leave a task, and driver and tasks hold one block at a time. What the tasks found
+    is merged in two levels, so the number of tasks doesn't land on one row group per query. Runs the jobs of all
+    blocks at once, each writing its result.
     """
     dtype, score = MEASURES[measure]
+    spark = queries.sparkSession
     id_type = queries.schema["query_id"].dataType
     schema = f"query_id {id_type.simpleString()}, parent_asin string, _score double"
     queries = queries.select("query_id", "point").filter(F.col("point").isNotNull())
     corpus = corpus.select("parent_asin", "point").filter(F.col("point").isNotNull())
-
-    head = queries.limit(max_local_queries + 1).toPandas()  # bounded by the limit
-    if len(head) <= max_local_queries:
-        if head.empty:
-            return queries.sparkSession.createDataFrame([], schema)
-        ids, rows = head["query_id"].to_numpy(), _matrix(head["point"], dtype)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, rows))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    numbered, blocks = _numbered_blocks(queries, block_queries)
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    path = scratch_path(spark, "nearest")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, 1)
+    order = [F.col("_score").asc(), F.col("parent_asin").asc()]
+    for block in range(blocks):
+        asked = numbered.filter(F.col("_block") == block).select("query_id", "point").toPandas()  # one block
+        ids = asked["query_id"].to_numpy()
+        shared = spark.sparkContext.broadcast((ids, _matrix(asked["point"], dtype)))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, kind=ids.dtype) -> Iterator[pd.DataFrame]:
             top = _TopK(*shared.value, n, score)
             for batch in batches:
                 if len(batch):
                     top.add(batch["parent_asin"].to_numpy(), _matrix(batch["point"], dtype))
-            yield top.frame(ids.dtype)
-
-        partial = corpus.mapInPandas(scan, schema)
-    else:
-        down = max(1, -(-corpus.count() // cell_rows))
-        across = max(1, -(-queries.count() // cell_queries))
-
-        def slot(column: str, count: int):
-            return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
-
-        left = corpus.select(
-            slot("parent_asin", down).alias("_down"),
-            F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("_across"),
-            "parent_asin",
-            "point",
-        )
-        right = queries.select(
-            F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_down"),
-            slot("query_id", across).alias("_across"),
-            "query_id",
-            "point",
-        )
+            yield top.frame(kind)
 
-        def cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            ids = asked["query_id"].to_numpy()
-            if not len(rows) or not len(asked):
-                return _TopK(ids[:0], np.empty((0, 1)), n, score).frame(ids.dtype)
-            top = _TopK(ids, _matrix(asked["point"], dtype), n, score)
-            keys, points = rows["parent_asin"].to_numpy(), _matrix(rows["point"], dtype)
-            for start in range(0, len(keys), 10_000):
-                top.add(keys[start : start + 10_000], points[start : start + 10_000])
-            return top.frame(ids.dtype)
-
-        partial = (
-            left.groupBy("_down", "_across")
-            .cogroup(right.groupBy("_down", "_across"))
-            .applyInPandas(cell, schema)
-        )
-    best = top_rows(partial, ["query_id"], [F.col("_score").asc(), F.col("parent_asin").asc()], n)
-    return best.drop("_pos")
+        # Few tasks, each with many splits, give few partial results.
+        found = corpus.coalesce(tasks).mapInPandas(scan, schema)
+        groups = max(int(tasks**0.5), 1)
+        some = found.withColumn("_group", F.spark_partition_id() % groups)
+        some = top_rows(some, ["query_id", "_group"], order, n).drop("_pos", "_group")
+        best = top_rows(some, ["query_id"], order, n).drop("_pos")
+        best.write.parquet(f"{path}/block={block}")
+        shared.destroy()
+    return spark.read.schema(f"{schema}, block int").parquet(path).drop("block")
 
 
 def semantic_search_batch(
     embeddings: DataFrame,
     queries: DataFrame,
+    products: DataFrame | None = None,
     *,
     dim: int = settings.EMBEDDING_DIM,
     top_k: int = settings.DEFAULT_TOP_K,
     oversample: int = settings.OVERSAMPLE,
-    **limits: int,
+    fields: Sequence[str] | None = None,
+    max_price: float | None = None,
+    min_rating: float | None = None,
+    only_in_stock: bool = False,
+    filter_mode: str = "post",
+    block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """Two-stage search for a table of queries (query_id, vector).
 
-    Returns (query_id, parent_asin, _distance, _rank). Stage 2 joins only the candidates, at
-    most ``top_k * oversample`` per query, to the vectors on their key.
+    Returns (query_id, parent_asin, _distance, _rank). With ``products`` it is the search of
+    ``semantic_search`` for each query: the projected product columns in place of the key alone, and the
+    filters after the ``top_k`` cut (``"post"``, ranks keep their gaps) or before the search
+    (``"pre"``). Stage 2 joins only the candidates, at most ``top_k * oversample`` per query, to the
+    vectors on their key.
     """
     settings.bounded("top_k", top_k, 1, settings.MAX_TOP_K)
     settings.bounded("oversample", oversample, 1, settings.MAX_OVERSAMPLE)
+    if filter_mode not in ("post", "pre"):
+        raise ValueError("filter_mode must be 'post' or 'pre'")
+    keep = product_filters(max_price, min_rating, only_in_stock)
+    columns = project_fields(fields)
+    corpus = embeddings
+    if products is not None and filter_mode == "pre":
+        corpus = corpus.join(products.filter(keep).select("parent_asin"), "parent_asin", "left_semi")
     # Read three times below; a query table is often the result of a job of its own.
     queries = materialize(queries.select("query_id", "vector"))
     bits = F.col("bits") if "bits" in embeddings.columns else V.pack_bits("embedding", dim)
     candidates = nearest_per_query(
-        embeddings.select("parent_asin", bits.alias("point")),
+        corpus.select("parent_asin", bits.alias("point")),
         queries.select("query_id", V.pack_bits("vector", dim).alias("point")),
         top_k * oversample,
         "hamming",
-        **limits,
+        block_queries,
     )
     scored = (
         candidates.select("query_id", "parent_asin")
@@ -197,11 +206,15 @@ def semantic_search_batch(
         )
     )
     best = top_rows(scored, ["query_id"], [F.col("_distance").asc(), F.col("parent_asin").asc()], top_k)
-    return best.withColumnRenamed("_pos", "_rank")
+    best = best.withColumnRenamed("_pos", "_rank")
+    if products is None:
+        return best
+    return best.join(products.filter(keep), "parent_asin").select("query_id", *columns, "_distance", "_rank")
 
 
 def exact_search_batch(
-    embeddings: DataFrame, queries: DataFrame, *, top_k: int = settings.DEFAULT_TOP_K, **limits: int
+    embeddings: DataFrame, queries: DataFrame, *, top_k: int = settings.DEFAULT_TOP_K,
+    block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """True nearest neighbours by cosine distance: (query_id, parent_asin)."""
     settings.bounded("top_k", top_k, 1, settings.MAX_TOP_K)
@@ -210,7 +223,7 @@ def exact_search_batch(
         queries.select("query_id", F.col("vector").alias("point")),
         top_k,
         "cosine",
-        **limits,
+        block_queries,
     ).select("query_id", "parent_asin")
 
 

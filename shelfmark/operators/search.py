@@ -17,7 +17,7 @@ def project_fields(requested: Sequence[str] | None) -> list[str]:
         return list(settings.DEFAULT_FIELDS)
     unknown = [f for f in requested if f not in settings.PRODUCT_FIELDS]
     if unknown:
-        raise ValueError(f"Invalid field(s): {unknown}. Allowed: {sorted(settings.PRODUCT_FIELDS)}")
+        raise ValueError(f"no such product columns: {unknown}; there are {sorted(settings.PRODUCT_FIELDS)}")
     fields = list(dict.fromkeys(requested))
     return fields if "parent_asin" in fields else ["parent_asin", *fields]
 
@@ -73,6 +73,8 @@ def nearest_by_bits(
     stored = "bits" in embeddings.columns
     bits = F.col("bits") if stored else V.pack_bits("embedding", dim)
     columns = [F.col("parent_asin")]
+    if "bucket" in embeddings.columns:
+        columns.append(F.col("bucket"))  # a partition column: known without reading
     if not stored:
         columns += [F.col("embedding"), q["vector"].alias("_query")]
     return (
@@ -89,15 +91,22 @@ def rerank(
 
     ``lookup="join"`` keeps one lazy plan and reads key and vector of the whole table;
     ``"keys"`` runs stage 1 first and pushes its few keys into the vector scan, where files
-    sorted by key skip nearly every row group.
+    sorted by key skip nearly every row group. From a table that is partitioned by ``bucket`` both read the
+    buckets of the candidates only: the join as its partitions are pruned at run time.
     """
     if "embedding" not in candidates.columns:
-        vectors = embeddings.select("parent_asin", "embedding")
+        bucketed = ["bucket"] if "bucket" in candidates.columns else []
+        vectors = embeddings.select("parent_asin", *bucketed, "embedding")
         # At most top_k * oversample rows, 5,000 within the argument bounds, in both forms.
         if lookup == "keys":
-            vectors = vectors.filter(F.col("parent_asin").isin([r[0] for r in candidates.collect()]))
+            chosen = candidates.select("parent_asin", *bucketed).collect()
+            vectors = vectors.filter(F.col("parent_asin").isin([r["parent_asin"] for r in chosen]))
+            if bucketed:
+                vectors = vectors.filter(F.col("bucket").isin(sorted({r["bucket"] for r in chosen})))
         else:
-            vectors = F.broadcast(candidates).join(vectors, "parent_asin")
+            # A condition that all candidates meet, without which Spark sees no reason to prune by them.
+            few = candidates.filter(F.coalesce("_hamming", F.lit(0)) >= 0)
+            vectors = F.broadcast(few).join(vectors, ["parent_asin", *bucketed])
         # A subquery may not stand inside a lambda, so the query becomes a column first.
         candidates = vectors.withColumn("_query", q["vector"])
     return (
@@ -143,7 +152,7 @@ def semantic_search(
     if filter_mode == "pre":
         corpus = corpus.join(products.filter(keep).select("parent_asin"), "parent_asin", "left_semi")
     candidates = nearest_by_bits(corpus, q, top_k * oversample, dim)
-    best = rerank(candidates, corpus, q, top_k, lookup)
+    best = rerank(candidates, embeddings, q, top_k, lookup)
     hits = products.join(F.broadcast(best), "parent_asin")  # best holds at most top_k rows
     # The limit drops nothing; it keeps the final order a top-k instead of a range shuffle.
     return (

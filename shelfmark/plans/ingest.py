@@ -157,7 +157,7 @@ def ingest(
     cleaned = clean_products(readable(counted(spread(raw, spread_to), has_product_key(), product_seen)))
     # Products and embeddings read the same cleaned rows; they are written once in between.
     store.append("clean_products", cleaned, batch)
-    cleaned = spark.read.parquet(f"{store.root}/clean_products/batch={batch}")
+    cleaned = store.read_batch("clean_products", None, batch)
     fresh = product_rows(cleaned)
     old = store.read("products", schemas.PRODUCTS)
     store.replace("products", tables.upsert_products(old, fresh, ["_source"]), ["parent_asin"])
@@ -177,7 +177,7 @@ def ingest(
     loaded = tables.known_keys(review_rows(reviews).drop("_source"), products)
     loaded = loaded.withColumn("ingested_at", F.current_timestamp()).withColumn("batch_ok", valid_rating())
     store.append("staged_reviews", loaded, batch)
-    staged = spark.read.parquet(f"{store.root}/staged_reviews/batch={batch}")
+    staged = store.read_batch("staged_reviews", None, batch)
     earlier = store.read_appended("reviews", schemas.REVIEWS, without=batch)
     ok = staged.filter("batch_ok").drop("batch_ok")
     if drop_repeats:

@@ -173,14 +173,30 @@ class TableStore:
         rows.write.mode("errorifexists").parquet(f"{self.root}/{name}/v={nxt}")
 
     def append(self, name: str, df: DataFrame, batch: str) -> None:
-        """Add rows under ``batch``; repeating a batch replaces it instead of doubling it."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+        """Add rows under ``batch``; repeating a batch replaces it instead of doubling it.
+
+        Each attempt is a version of its batch, and the last complete one counts; so a repeat that fails
+        leaves the rows of the attempt before, and readers of those are not disturbed.
+        """
+        nxt = max(self._versions(f"{name}/batch={batch}"), default=0) + 1
+        df.write.mode("errorifexists").parquet(f"{self.root}/{name}/batch={batch}/v={nxt}")
+
+    def batches(self, name: str) -> list[str]:
+        """Batches with a complete version."""
+        return [b for b in self._parts(name, "batch") if self.version(f"{name}/batch={b}") is not None]
+
+    def read_batch(self, name: str, schema: str | None, batch: str) -> DataFrame:
+        """The rows of one batch; without a schema, as the files have them."""
+        at = f"{name}/batch={batch}"
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(f"{self.root}/{at}/v={self.version(at)}")
 
     def read_appended(self, name: str, schema: str, without: str | None = None) -> DataFrame:
-        """All batches of a table, or all but one: a batch being rewritten must not be read."""
-        paths = [f"{self.root}/{name}/batch={b}" for b in self._parts(name, "batch") if b != without]
-        if not paths:
+        """All batches of a table, or all but one."""
+        kept = [b for b in self.batches(name) if b != without]
+        if not kept:
             return self.spark.createDataFrame([], schema)
+        paths = [f"{self.root}/{name}/batch={b}/v={self.version(f'{name}/batch={b}')}" for b in kept]
         return self.spark.read.schema(schema).parquet(*paths)
 
 

@@ -9,7 +9,7 @@ from shelfmark import schemas
 from shelfmark.operators import models, tracking
 from shelfmark.plans import ingest
 from shelfmark.session import spread
-from shelfmark.sources import jsonl, seed, tables
+from shelfmark.sources import buckets, jsonl, seed, tables
 from shelfmark.streaming import ingest as stream_ingest
 
 
@@ -158,15 +158,114 @@ def test_whole_ingest_twice(spark, inputs, tmp_path):
     assert all(len(v.embedding) == 64 and len(v.bits) == 1 and v.run_id == "r" for v in vectors)
 
 
-def test_stream_ingest_of_new_files(spark, tmp_path):
-    folder, store = tmp_path / "arrivals", tables.TableStore(spark, str(tmp_path / "store"))
+def test_a_failed_repeat_of_a_batch_keeps_the_rows_of_the_first(spark, tmp_path):
+    store, schema = tables.TableStore(spark, str(tmp_path)), "parent_asin string, v int"
+    store.append("t", spark.createDataFrame([("A", 1)], schema), "w1")
+    store.append("t", spark.createDataFrame([("B", 2)], schema), "w2")
+    (tmp_path / "t" / "batch=w1" / "v=2").mkdir()  # a repeat that did not finish
+    (tmp_path / "t" / "batch=w3" / "v=1").mkdir(parents=True)  # a batch that did not finish
+    assert rows(store.read_appended("t", schema)) == [("A", 1), ("B", 2)] and store.batches("t") == ["w1", "w2"]
+    store.append("t", spark.createDataFrame([("A", 9)], schema), "w1")
+    assert rows(store.read_appended("t", schema)) == [("A", 9), ("B", 2)]
+    assert rows(store.read_appended("t", schema, without="w1")) == [("B", 2)]
+
+
+@pytest.fixture
+def keyed(spark, tmp_path):
+    return buckets.BucketStore(spark, str(tmp_path / "keyed"), buckets=8)
+
+
+SHAPE = "parent_asin string, v int"
+
+
+def files(tmp_path, name):
+    return {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in (tmp_path / "keyed" / name / "data").rglob("*.parquet")}
+
+
+def test_a_merge_rewrites_the_buckets_of_its_batch_only(spark, keyed, tmp_path):
+    old = spark.createDataFrame([(f"K{i}", i) for i in range(200)], SHAPE)
+    assert keyed.merge("t", SHAPE, old, tables.upsert) == 1
+    before = files(tmp_path, "t")
+    new = spark.createDataFrame([("K7", -7), ("K7x", 1)], SHAPE)
+    touched = {r[0] for r in new.select(buckets.bucket_of("parent_asin", 8)).collect()}
+    assert keyed.merge("t", SHAPE, new, tables.upsert) == 2
+    after = files(tmp_path, "t")
+    assert before.items() <= after.items() and len(after) - len(before) == len(touched) <= 2
+    got = dict(rows(keyed.read("t", SHAPE), "parent_asin", "v"))
+    assert got == {f"K{i}": i for i in range(200)} | {"K7": -7, "K7x": 1}
+    assert dict(rows(keyed.read("t", SHAPE, version=1), "parent_asin", "v"))["K7"] == 7  # the version before
+    one = keyed.read("t", SHAPE, buckets=[min(touched)])
+    assert {r.bucket for r in one.select("bucket").distinct().collect()} == {min(touched)}
+
+
+def test_unfinished_merges_and_repeated_batches(spark, keyed, tmp_path):
+    keyed.merge("t", SHAPE, spark.createDataFrame([("A", 1)], SHAPE), tables.upsert, "b1")
+    (tmp_path / "keyed" / "t" / "data" / "store_version=2" / "bucket=0").mkdir(parents=True)  # its manifest is missing
+    (tmp_path / "keyed" / "t" / "manifest" / "store_version=2").mkdir()
+    assert keyed.versions("t") == [1] and rows(keyed.read("t", SHAPE), "parent_asin", "v") == [("A", 1)]
+    add = lambda old, new: old.unionByName(new)  # noqa: E731  not repeatable by itself
+    assert keyed.merge("t", SHAPE, spark.createDataFrame([("A", 2)], SHAPE), add, "b2") == 3
+    assert keyed.merge("t", SHAPE, spark.createDataFrame([("A", 2)], SHAPE), add, "b2") == 3
+    assert rows(keyed.read("t", SHAPE), "parent_asin", "v") == [("A", 1), ("A", 2)]
+    assert keyed.merge("t", SHAPE, spark.createDataFrame([], SHAPE), add, "b3") == 3
+    with pytest.raises(ValueError, match="8 buckets"):
+        buckets.BucketStore(spark, keyed.root, buckets=4).read("t", SHAPE)
+    assert keyed.read("none", SHAPE).columns == ["parent_asin", "v", "bucket"]
+
+
+def test_emptied_buckets_and_retention(spark, keyed, tmp_path):
+    keyed.merge("t", SHAPE, spark.createDataFrame([(f"K{i}", i) for i in range(50)], SHAPE), tables.upsert)
+    for i in range(3):
+        keyed.merge("t", SHAPE, spark.createDataFrame([("K1", 100 + i)], SHAPE), tables.upsert)
+    gone = spark.createDataFrame([(f"K{i}", 0) for i in range(50)], SHAPE)
+    kept = dict(rows(keyed.read("t", SHAPE), "parent_asin", "v"))
+    assert keyed.vacuum("t", keep=2) == 2 and keyed.versions("t") == [3, 4]  # two former states of one bucket
+    assert dict(rows(keyed.read("t", SHAPE), "parent_asin", "v")) == kept and kept["K1"] == 102
+    assert dict(rows(keyed.read("t", SHAPE, version=3), "parent_asin", "v"))["K1"] == 101
+    keyed.merge("t", SHAPE, gone, lambda old, new: tables.delete_cascade(new, old)[0])
+    assert keyed.read("t", SHAPE).count() == 0
+    keyed.vacuum("t", keep=1)
+    assert not files(tmp_path, "t")
+
+
+def test_stream_ingest_of_new_files(spark, tmp_path, keyed):
+    folder = tmp_path / "arrivals"
     folder.mkdir()
     (folder / "1.jsonl").write_text('{"parent_asin": "A", "title": "a1"}\n{"parent_asin": "A", "title": "a2"}\n')
-    stream_ingest.ingest_product_files(spark, str(folder), store, str(tmp_path / "offsets"))
-    (folder / "2.jsonl").write_text('{"parent_asin": "A", "title": "a3"}\n{"parent_asin": "B", "title": "b"}\n')
-    stream_ingest.ingest_product_files(spark, str(folder), store, str(tmp_path / "offsets"))
-    got = {r.parent_asin: r.title for r in store.read("products", schemas.PRODUCTS).collect()}
-    assert got == {"A": "a3", "B": "b"} and store.version("products") == 2
+    stream_ingest.ingest_product_files(spark, str(folder), keyed, str(tmp_path / "offsets"))
+    (folder / "2.jsonl").write_text('{"parent_asin": "A", "title": "a3"}\n{"parent_asin": "B", "title": "b"}\n{bad\n')
+    stream_ingest.ingest_product_files(spark, str(folder), keyed, str(tmp_path / "offsets"))
+    got = {r.parent_asin: r.title for r in keyed.read("products", schemas.PRODUCTS).collect()}
+    assert got == {"A": "a3", "B": "b"} and keyed.versions("products") == [1, 2]
+
+    encoder = ingest.default_encoder(64)
+    stream_ingest.ingest_embeddings(spark, str(folder), keyed, encoder, str(tmp_path / "e"), "r1")
+    (folder / "3.jsonl").write_text('{"parent_asin": "A", "title": "a3"}\n{"parent_asin": "new", "title": "not loaded"}\n')
+    stream_ingest.ingest_embeddings(spark, str(folder), keyed, encoder, str(tmp_path / "e"), "r2")
+    vectors = {r.parent_asin: r for r in keyed.read("embeddings", schemas.EMBEDDINGS).collect()}
+    assert {k: v.run_id for k, v in vectors.items()} == {"A": "r2", "B": "r1"} and len(vectors["A"].bits) == 1
+
+
+def test_stream_ingest_of_reviews_is_repeatable(spark, tmp_path, keyed):
+    folder, store = tmp_path / "arrivals", tables.TableStore(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    products = spark.createDataFrame([("P1", "one"), ("P2", "two")], "parent_asin string, title string")
+    keyed.merge("products", schemas.PRODUCTS, products, tables.upsert_products)
+    (folder / "1.jsonl").write_text("\n".join(REVIEW_LINES))
+
+    def run(offsets):
+        stream_ingest.ingest_review_files(spark, str(folder), store, keyed, str(tmp_path / offsets))
+        counts = sorted(map(tuple, store.read_appended("reviews_counts", stream_ingest.COUNTS).collect()))
+        kept = store.read_appended("reviews", stream_ingest.STREAMED_REVIEWS).collect()
+        return counts, sorted((r.review_id, r.user_id) for r in kept)
+
+    first = run("offsets")
+    assert first[0] == [("000000000", 1, 2, 2, 1, 2)]
+    assert [u for _, u in first[1]] == ["u1", "u3"]
+    assert run("others") == first  # the same batch again, as after a lost checkpoint
+    (folder / "2.jsonl").write_text(REVIEW_LINES[0].replace("u1", "u9"))
+    counts, kept = run("offsets")
+    assert counts == [*first[0], ("000000001", 0, 0, 0, 0, 1)] and len(kept) == 3 and len(dict(kept)) == 3
 
 
 def test_encoder_and_user_models(spark):

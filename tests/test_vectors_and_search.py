@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import vectors as V
 from shelfmark.operators import batch_search as B, drift, ivf
 from shelfmark.operators.search import project_fields, semantic_search
+from shelfmark.sources import buckets, tables
 
 DIM, N = 70, 300
 
@@ -102,18 +103,76 @@ def test_projection():
         semantic_search(None, None, [1.0], top_k=51)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_local_queries": 2, "cell_rows": 40, "cell_queries": 3}])
-def test_batch_search_both_ways(spark, embeddings, points, limits):
+@pytest.mark.parametrize("block_queries", [4096, 3, 1])
+def test_batch_search_in_blocks(spark, embeddings, points, block_queries):
     asked = embeddings.filter("parent_asin < 'K008'").select(
         F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector")
     )
-    found = B.semantic_search_batch(embeddings, asked, dim=DIM, top_k=4, oversample=5, **limits).collect()
+    found = B.semantic_search_batch(
+        embeddings.repartition(5), asked, dim=DIM, top_k=4, oversample=5, block_queries=block_queries
+    ).collect()
     for q in range(8):
         want, _ = brute(points, points[q], 4, 5)
         got = [r.parent_asin for r in sorted(found, key=lambda r: r._rank) if r.query_id == f"K{q:03d}"]
         assert got == [f"K{i:03d}" for i in want]
 
 
+def test_blocks_are_bounded_and_hold_every_query_once(spark):
+    asked = spark.range(23).select(F.col("id").alias("query_id")).repartition(3)
+    numbered, blocks = B._numbered_blocks(asked, 4)
+    sizes = {r["_block"]: r["count"] for r in numbered.groupBy("_block").count().collect()}
+    assert set(sizes) == set(range(blocks)) and max(sizes.values()) <= 4 and sum(sizes.values()) == 23
+    assert B._numbered_blocks(asked.limit(0), 4)[1] == 0
+
+
+@pytest.mark.parametrize("mode", ["post", "pre"])
+def test_batch_search_with_products_is_the_single_search_for_each(spark, embeddings, products, mode):
+    asked = embeddings.filter("parent_asin < 'K004'").select(
+        F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector")
+    )
+    limits = dict(dim=DIM, top_k=8, oversample=3, max_price=150.0, min_rating=1.5, fields=["title", "price"], filter_mode=mode)
+    found = B.semantic_search_batch(embeddings, asked, products, block_queries=3, **limits)
+    assert found.columns == ["query_id", "parent_asin", "title", "price", "_distance", "_rank"]
+    rows = found.collect()
+    for q in [f"K{i:03d}" for i in range(4)]:
+        one = embeddings.filter(F.col("parent_asin") == q).select("embedding")
+        want = [tuple(r) for r in semantic_search(embeddings, products, one, **limits).collect()]
+        got = sorted((r for r in rows if r.query_id == q), key=lambda r: r._rank)
+        assert [(r.parent_asin, r.title, r.price) for r in got] == [w[:3] for w in want] and want
+        assert [r._distance for r in got] == pytest.approx([w[3] for w in want])
+    with pytest.raises(ValueError):
+        B.semantic_search_batch(embeddings, asked, products, filter_mode="both")
+
+
+@pytest.fixture()
+def stored(spark, embeddings, tmp_path):
+    store = buckets.BucketStore(spark, str(tmp_path), buckets=16)
+    store.merge("vectors", buckets.VECTORS, buckets.vector_rows(embeddings, DIM), tables.upsert)
+    return store.read("vectors", buckets.VECTORS)
+
+
+@pytest.mark.parametrize("lookup", ["join", "keys"])
+@pytest.mark.parametrize("mode", ["post", "pre"])
+def test_stored_vectors_give_the_same_hits(spark, embeddings, products, points, stored, lookup, mode):
+    query = [float(x) for x in points[12] + 0.01]
+    limits = dict(dim=DIM, top_k=6, oversample=3, max_price=180.0, lookup=lookup, filter_mode=mode)
+    want = semantic_search(embeddings, products, query, **limits).collect()
+    assert semantic_search(stored, products, query, **limits).collect() == want and want
+
+
+def test_stage_two_reads_the_buckets_of_its_candidates_only(spark, products, points, stored, capsys):
+    found = semantic_search(stored, products, [float(x) for x in points[3]], dim=DIM, top_k=1, oversample=2)
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    scans = [s for s in plan.split("\n\n") if "Scan parquet" in s and "ReadSchema" in s]
+    first = [s for s in scans if "bits:array<bigint>" in s]
+    second = [s for s in scans if "embedding:array<float>" in s]
+    assert first and second
+    assert all("embedding" not in s.split("ReadSchema")[1] for s in first)  # stage 1 reads no vectors
+    for s in second:
+        assert "PartitionFilters" in s and "dynamicpruning" in s and "bits" not in s.split("ReadSchema")[1]
+
+
 def test_recall_is_one_when_the_window_covers_the_corpus(spark, embeddings):
     asked = B.category_centers(embeddings)
     exact = B.exact_search_batch(embeddings, asked, top_k=5)
