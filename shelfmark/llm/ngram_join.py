@@ -22,7 +22,8 @@ The distance 1 - similarity is a metric, and the join is by pivots and windows,
 Equal sets are one node, so copies never meet each other in a region. Shingles and sets are known by 64-bit
 hashes. Components come from links by repeated contraction in tables; nothing per document is ever collected.
 
-A null text or one without words has an empty set, no links and itself as component. Rows that repeat with
+A null text or one without words has an empty set, no links and itself as component. A row without a doc_id links as
+others do and has the component of its links; if none of them has an id, null. Rows that repeat with
 their doc_id are copies of each other if their texts are equal; if not, they are separate documents that share
 an id. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
@@ -49,6 +50,8 @@ LARGE_REGION = 32
 #: Bits of the tables of common shingles and of documents to read again: 2 MB each, whatever the input.
 TABLE_BITS = 24
 CLASSES = 64
+#: Bounds of a cell of a large region, and links that a task contracts by itself.
+CELL, TASK_LINKS = 4096, 20_000
 _CHUNK = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15
@@ -426,8 +429,9 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFra
                 names=["node", "shingles"],
             )
 
+    # documents without an id share a slot, which is looked at where a wanted node has no other document
     with_slot = docs.select("doc_id", "text", _slots_of(F.xxhash64("doc_id")).alias("slot"))
-    return with_slot.filter("doc_id is not null").mapInArrow(read, "node long, shingles binary")
+    return with_slot.mapInArrow(read, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _unpacked(data: pa.Scalar) -> np.ndarray:
@@ -455,24 +459,51 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars: each node with the smallest one that it is linked to within the task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    stars = [(x, r) for x in list(parent) if (r := root(x)) != x]
+    for i in range(0, len(stars), 100_000):
+        u, v = zip(*stars[i : i + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every linked node: the smallest node of its component.
 
     Links are turned round by turn to the smallest node known near either end, until all end at roots. Each
-    round halves the longest way, and works on plain grouped minima.
+    round first contracts the links of every task, then halves the longest way by plain grouped minima. The
+    number of tasks follows from the number of links.
     """
+    spark = links.sparkSession
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tasks = min(-(-edges.count() // TASK_LINKS) or 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     before = None
     while True:
+        edges = materialize(edges.coalesce(tasks).mapInArrow(_forest, "u long, v long"))
         # every larger neighbour of a node goes to the smallest of its neighbours and itself
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")).coalesce(tasks)
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.union(low.filter("low < u").select("u", F.col("low").alias("v"))).distinct()
+        large = large.union(low.filter("low < u").select("u", F.col("low").alias("v")))
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
         # every smaller neighbour of a node, and the node, go to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        least = large.groupBy("u").agg(F.min("v").alias("low")).coalesce(tasks)
         small = large.join(least, "u").filter("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = materialize(small.union(least.select("u", F.col("low").alias("v"))).distinct())
+        small = small.union(least.select("u", F.col("low").alias("v"))).coalesce(tasks)
+        edges = materialize(small.distinct().coalesce(tasks))
         told = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).collect()[0]
         if told == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
@@ -493,54 +524,107 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return told.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
+class _Parities:
+    """Parities of many sets, by their size, to be compared with those of one."""
+
+    def __init__(self, parities: list[bytes]):
+        sizes = np.fromiter(map(len, parities), np.int64, len(parities))
+        self.sizes, self.place, self.rows = sizes, np.zeros(len(parities), np.int64), {}
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            self.place[at] = np.arange(len(at))
+            self.rows[size, size] = np.frombuffer(b"".join(parities[i] for i in at), np.uint8).reshape(-1, size)
+
+    def _folded(self, size: int, to: int) -> np.ndarray:
+        if (size, to) not in self.rows:
+            rows = self.rows[size, size]
+            self.rows[size, to] = np.bitwise_xor.reduce(rows.reshape(len(rows), -1, to), axis=1)
+        return self.rows[size, to]
+
+    def apart(self, one: bytes, some: np.ndarray) -> np.ndarray:
+        """Shingles that the set differs in, at least, from each of ``some``."""
+        out = np.zeros(len(some), np.int64)
+        own = np.frombuffer(one, np.uint8)
+        for size in np.unique(self.sizes[some]).tolist():
+            to = min(size, len(own))
+            at = np.flatnonzero(self.sizes[some] == size)
+            rows = self._folded(size, to)[self.place[some[at]]]
+            out[at] = np.bitwise_count(rows ^ _folded(own, to)).sum(axis=1)
+        return out
+
+
+def _cell_pairs(asked: pa.Table, others: pa.Table, closest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of one of ``asked`` with one of ``others`` that are of different components and within all windows."""
+    node, n, root = (others.column(c).to_numpy() for c in ("node", "n", "root"))
+    classes = _class_matrix(others.column("classes"))
+    parities = _Parities(others.column("parities").to_pylist())
+    own = _class_matrix(asked.column("classes"))
+    for i, (x, m, r, bits) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("node", "n", "root", "parities")))):
+        some = np.flatnonzero((root != r) & _close_sizes(n, np.int64(m)))
+        some = some[~_far(classes[some], own[i : i + 1], n[some], np.int64(m))]
+        if closest and len(some):
+            some = some[[np.abs(classes[some].astype(np.int16) - own[i]).sum(axis=1).argmin()]]
+        some = some[parities.apart(bits, some) * (100 + PERCENT) <= (n[some] + m) * (100 - PERCENT)]
+        if len(some):
+            low, high = np.minimum(node[some], x), np.maximum(node[some], x)
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+
 def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, closest: bool) -> DataFrame:
     """Pairs left in large regions: sets outside the largest component of their region with the closest by
-    counts, or with all, of those of other components that are within the windows and alike in parities."""
+    counts, or with all, of those of other components that are within the windows and alike in parities.
+
+    Regions of one component have none. The others are cut into cells of at most about ``CELL`` sets outside the
+    largest component and as many of all, so no task holds a region.
+    """
+    told = materialize(members.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("root")))
+    kinds = told.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
+    regions = kinds.groupBy("s").agg(
+        F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main")
+    ).filter("size > most")
+    cut = lambda column: F.ceil(column / F.lit(CELL)).cast("int")
+    placed = told.join(
+        regions.select("s", "main", cut(F.col("size")).alias("down"), cut(F.col("size") - F.col("most")).alias("across")), "s"
+    )
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    slot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    known = sets.select("node", "classes", "parities")
+    known = known.join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    placed = materialize(placed.join(known, "node"))
+    of = ["s", "node", "n", "root", "classes", "parities"]
+    cells = placed.select(*of, F.lit(False).alias("asked"), slot(F.col("down")).alias("i"), upto(F.col("across")).alias("j")).union(
+        placed.filter("root <> main").select(*of, F.lit(True), upto(F.col("down")), slot(F.col("across")))
+    )
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last = None
 
-        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            node, n, root = (table.column(c).to_numpy() for c in ("node", "n", "root"))
-            kinds, which, counts = np.unique(root, return_inverse=True, return_counts=True)
-            if len(kinds) < 2:
-                return
-            classes = _class_matrix(table.column("classes"))
-            parities = table.column("parities").to_pylist()
-            for i in np.flatnonzero(which != counts.argmax()):
-                others = np.flatnonzero((which != which[i]) & _close_sizes(n, n[i]))
-                others = others[~_far(classes[others], classes[i : i + 1], n[others], n[i])]
-                if closest and len(others):
-                    apart = np.abs(classes[others].astype(np.int16) - classes[i]).sum(axis=1)
-                    others = others[[apart.argmin()]]
-                most = (n[others] + n[i]) * (100 - PERCENT)
-                alike = [_apart(parities[i], parities[j]) * (100 + PERCENT) <= k for j, k in zip(others, most)]
-                near = node[others[np.array(alike, np.bool_)]]
-                if len(near):
-                    low, high = np.minimum(near, node[i]), np.maximum(near, node[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+        def pairs() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            asked = np.asarray(table.column("asked").to_pylist(), np.bool_)
+            if asked.any() and not asked.all():
+                yield from _cell_pairs(table.filter(pa.array(asked)), table.filter(pa.array(~asked)), closest)
 
-        last = None
         for batch in batches:
-            s = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(c).to_numpy() for c in ("s", "i", "j")])
+            fresh = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+            edges = [0, *fresh.tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:]):
-                if b == a:
-                    continue
-                if last is not None and s[a] != last:
-                    yield from pairs(pa.Table.from_batches(held))
-                    held = []
+                key = tuple(cell[:, a].tolist())
+                if held and key != last:
+                    yield from pairs()
+                    held.clear()
                 held.append(batch.slice(a, b - a))
-                last = s[a]
+                last = key
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from pairs()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = sets.select("node", "classes", "parities")
-    known = known.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    told = members.join(known, "node").join(roots, "node", "left")
-    rows = told.select("s", "node", "n", F.coalesce("root", "node").alias("root"), "classes", "parities")
-    return rows.repartition(parts, "s").sortWithinPartitions("s").mapInArrow(rest, "a long, b long").distinct()
+    dealt = cells.repartition(parts, "s", "i", "j").sortWithinPartitions("s", "i", "j")
+    return dealt.mapInArrow(rest, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

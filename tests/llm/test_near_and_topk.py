@@ -72,6 +72,47 @@ def test_groups_of_near_copies_of_all_sizes(spark, monkeypatch, large):
     check(spark, [(7 * i + 1, t) for i, t in enumerate(rows)])
 
 
+@pytest.mark.parametrize("cell, links", [(4096, 20_000), (32, 50)])
+def test_a_region_of_many_different_near_copies(spark, monkeypatch, cell, links):
+    """Pairwise different, some linked in chains, some beyond the radius of all others, one very long pair."""
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    monkeypatch.setattr(ngram_join, "TASK_LINKS", links)
+    rng = random.Random(cell)
+    base = _text(rng, 90)
+    rows = [_edited(rng, base, rng.choice([0.005, 0.02, 0.05, 0.08])) for _ in range(700)]
+    rows += [_text(rng, 5000)]
+    rows += [_edited(rng, rows[-1], 0.02), _edited(rng, rows[-1], 0.3)]
+    check(spark, [(3 * i + 5, t) for i, t in enumerate(rows)])
+
+
+def test_links_by_way_of_rows_without_an_id(spark):
+    rng = random.Random(9)
+    words = _text(rng, 200).split(" ")
+
+    def moved(*places):
+        return " ".join(f"x{i}" if i in places else w for i, w in enumerate(words))
+
+    near = [(1, moved()), (None, moved(50, 60, 70, 80)), (3, moved(50, 60, 70, 80, 90, 100, 110, 120))]
+    check(spark, near)
+    check(spark, near + [(None, "another text of some words that stands alone here")] * 2)
+    check(spark, [(None, t) for _, t in near])
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TASK_LINKS", 7)
+    rng = random.Random(4)
+    names = [rng.randint(-(2**62), 2**62) for _ in range(130)]
+    pairs = [(names[i], names[i + 1]) for i in range(100) if i % 40 != 39] + [(names[110], x) for x in names[111:130]]
+    rng.shuffle(pairs)
+    got = dict(map(tuple, ngram_join.components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()))
+    want = {}
+    for group in (names[:40], names[40:80], names[80:101], names[110:]):
+        want |= {x: min(group) for x in group}
+    assert got == want
+    none = ngram_join.components(spark.createDataFrame([(1, 1)], "a long, b long"))
+    assert none.collect() == []
+
+
 def test_odd_rows(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in small.collect()]
     check(spark, rows)
