@@ -487,6 +487,21 @@ SELECT {DEFAULTS} FROM products_v
 WHERE regexp_matches(lower(title), '(^|[^a-z0-9])plates?($|[^a-z0-9])')
   AND price <= 1800 AND average_rating >= 2.0
 ORDER BY average_rating DESC NULLS LAST, parent_asin LIMIT 50"""
+    plain = "list_transform(string_split_regex(lower(p_name) || 's', '[^a-z0-9]+'), lambda x: regexp_replace(x, 's$', ''))"
+    titled = f"""
+titled AS (
+  SELECT v.* REPLACE (title || 's' AS title), {plain} AS words
+  FROM products_v v JOIN part ON 'P' || p_partkey = parent_asin
+)"""
+    q["keyword_search_stored"] = f"""
+WITH {PRODUCTS}, {titled}
+SELECT {DEFAULTS}, 'two' AS asked FROM (
+  SELECT * FROM titled WHERE list_has_all(words, ['cold', 'plate'])
+  ORDER BY average_rating DESC NULLS LAST, parent_asin LIMIT 100)
+UNION ALL
+SELECT {DEFAULTS}, 'one' FROM (
+  SELECT * FROM titled WHERE list_has_all(words, ['anvil']) AND price <= 1500
+  ORDER BY average_rating DESC NULLS LAST, parent_asin LIMIT 100)"""
     q["list_products"] = f"""
 WITH {PRODUCTS}
 SELECT parent_asin, title, store, main_category, average_rating, price, rating_number FROM products_v
@@ -633,6 +648,27 @@ SELECT '000000000' AS batch, count(*) FILTER (l_linenumber = 4) AS unreadable,
        count(*) FILTER (read AND valid AND p_type <> 'PROMO') AS loaded, TRUE AS distinct_ids
 FROM (SELECT *, l_linenumber NOT IN (4, 5, 6) AS read, l_quantity % 7 BETWEEN 1 AND 5 AS valid
       FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)"""
+    q["ingest_pipeline"] = """
+WITH p AS (SELECT *, 'P' || p_partkey AS parent_asin FROM part WHERE p_type <> 'PROMO'),
+r AS (
+  SELECT 'P' || l_partkey AS parent_asin, l_quantity % 7 BETWEEN 1 AND 5 AS valid, l_quantity % 7 AS rating,
+         CASE WHEN l_linenumber > 2 THEN l_linenumber ELSE 0 END AS votes
+  FROM lineitem WHERE l_linenumber NOT IN (5, 6) AND l_partkey IN (SELECT p_partkey FROM p)
+),
+words AS (
+  SELECT *, list_sort(list_distinct(list_transform(list_filter(string_split_regex(lower(p_name) || ' more', '[^a-z0-9]+'),
+    lambda x: x <> ''), lambda x: CASE x WHEN 'large' THEN 'larg' ELSE x END))) AS terms FROM p
+)
+SELECT 'product' AS kind, parent_asin AS key, concat_ws('|', p_name || ' & more', p_brand, '$' || p_size || '.50',
+       p_size || '.50', array_to_string(terms, ' ')) AS value FROM words
+UNION ALL SELECT 'embedding', parent_asin, '64|1|run-1' FROM p
+UNION ALL SELECT 'reviews', parent_asin, concat_ws('|', count(*), count(*), sum(votes)::BIGINT, count(*),
+       sum(round(rating / 7, 4)::DECIMAL(6,4))) FROM r WHERE valid GROUP BY parent_asin
+UNION ALL SELECT 'run', 'run-1', (SELECT count(*) FROM p) || '|64'
+UNION ALL SELECT 'counts', 'w1', concat_ws('|', (SELECT count(*) FROM p), (SELECT count(*) FROM p),
+       (SELECT count(*) FROM r WHERE valid), (SELECT count(*) FROM r WHERE NOT valid), 0,
+       (SELECT count(*) FROM part WHERE p_type = 'PROMO'), 0,
+       (SELECT count(*) FROM lineitem WHERE l_linenumber IN (5, 6)))"""
     q["insert_if_absent"] = f"""
 WITH {_BATCH_ROWS}
 SELECT * FROM old UNION ALL

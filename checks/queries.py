@@ -206,6 +206,22 @@ def keyword_search_stemmed(spark, d):
     return doubles(found)
 
 
+@query
+def keyword_search_stored(spark, d):
+    """Stored search terms: two terms, one with a filter, and a query of stop words only."""
+    store = buckets.BucketStore(spark, scratch_path(spark, "titles"), buckets=8)
+    p = views.products(spark, d).select("parent_asin", F.concat("title", F.lit("s")).alias("title"), "store", "main_category", "price", "average_rating")
+    schema = "parent_asin string, title string, store string, main_category string, price decimal(10,2), average_rating decimal(3,1), title_terms array<string>"
+    store.merge("products", schema, p.withColumn("title_terms", T.title_terms("title")), tables.upsert)
+    stored = store.read("products", schema)
+    asked = {"two": ("The Cold plate", None), "one": ("anvil", 1500.0), "none": ("the and of", None)}
+    found = [
+        catalog.keyword_search(stored, text, max_price=price, limit=100).withColumn("asked", F.lit(name))
+        for name, (text, price) in asked.items()
+    ]
+    return doubles(found[0].union(found[1]).union(found[2]))
+
+
 @query
 def list_products(spark, d):
     return doubles(
@@ -620,6 +636,40 @@ def table_versions(spark, d):
     return store.read("products", schema)
 
 
+@query
+def ingest_pipeline(spark, d):
+    """The whole ingest from JSON files, run twice under one batch name: three tables, the run's row and the counts."""
+    files = scratch_path(spark, "incoming")
+    for name, lines in (("meta", product_lines(spark, d)), ("reviews", _review_lines(views.table(spark, d, "lineitem")))):
+        lines.select("line").write.text(f"{files}/{name}.jsonl")
+    store = tables.TableStore(spark, scratch_path(spark, "store"))
+    for _ in range(2):
+        counts = ingest.ingest(
+            spark, store, f"{files}/meta.jsonl", f"{files}/reviews.jsonl", "w1", ingest.default_encoder(64),
+            score=lambda r: r.withColumn("sentiment_label", F.upper(F.lit("Positive"))).withColumn(
+                "sentiment_score", F.col("rating") / 7
+            ),
+            run_id="run-1",
+        )
+    text = lambda *columns: F.concat_ws("|", *columns).alias("value")
+    products = store.read("products", schemas.PRODUCTS)
+    vectors = store.read("embeddings", schemas.EMBEDDINGS)
+    reviews = store.read_appended("reviews", schemas.REVIEWS)
+    told = reviews.groupBy("parent_asin").agg(
+        F.count("*").alias("n"), F.sum("helpful_vote").alias("votes"), F.sum("sentiment_score").alias("score"),
+        F.count_distinct("review_id").alias("ids"), F.count_if(F.col("sentiment_label") == "positive").alias("positive"),
+    )
+    run = store.read_appended("runs", schemas.RUNS)
+    parts = [
+        products.select(F.lit("product").alias("kind"), F.col("parent_asin").alias("key"), text("title", "store", "price_raw", "price", F.array_join(F.array_sort("title_terms"), " "))),
+        vectors.select(F.lit("embedding"), "parent_asin", text(F.size("embedding").cast("string"), F.size("bits").cast("string"), "run_id")),
+        told.select(F.lit("reviews"), "parent_asin", text(*[F.col(c).cast("string") for c in ("n", "ids", "votes", "positive", "score")])),
+        run.select(F.lit("run"), "run_id", text(F.col("metrics")["total_embed"].cast("long").cast("string"), F.col("metrics")["embedding_dim"].cast("long").cast("string"))),
+        counts.select(F.lit("counts"), F.lit("w1"), text(*[F.col(c).cast("string") for c in counts.columns])),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
 # --- models --------------------------------------------------------------------------------
 
 

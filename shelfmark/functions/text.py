@@ -121,6 +121,11 @@ def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             known.clear()
 
 
+def title_terms(title: Column | str) -> Column:
+    """The distinct stems of a title, to be stored beside it for keyword search."""
+    return F.array_distinct(stems(tokens(F.col(title) if isinstance(title, str) else title)))
+
+
 def query_terms(query: str, stemming: bool) -> list[str]:
     """Distinct terms of a keyword query, without stop words."""
     words = "".join(c if c.isalnum() else " " for c in query.lower()).split()

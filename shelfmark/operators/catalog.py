@@ -129,7 +129,11 @@ def keyword_search(
     min_rating: float | None = None,
     limit: int = 10,
 ) -> DataFrame:
-    """Products whose title holds every query term. A query of stop words matches nothing."""
+    """Products whose title holds every query term. A query of stop words matches nothing.
+
+    With stored ``title_terms``, as ingested tables have them, stems are looked up in that column, in the JVM; titles
+    without it are stemmed in the search, which takes a Python worker.
+    """
     settings.bounded("limit", limit, 1, 100)
     columns = project_fields(fields)
     terms = T.query_terms(query, stemming)
@@ -138,7 +142,8 @@ def keyword_search(
         kept = kept.filter(F.lit(False))
     else:
         words = T.tokens(F.col("title"))
-        words = T.stems(words) if stemming else words
+        if stemming:
+            words = F.col("title_terms") if "title_terms" in products.columns else T.title_terms("title")
         kept = kept.filter(all_of([F.array_contains(words, t) for t in terms]))
     # average_rating may not be among the projected columns, so order first.
     return page(kept, by_rating(), limit).select(*columns)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Observation, SparkSes
 
 from shelfmark import schemas, settings
 from shelfmark.functions import parse
-from shelfmark.functions.text import clean_list, clean_text, product_text
+from shelfmark.functions.text import clean_list, clean_text, product_text, title_terms
 from shelfmark.operators import models, tracking
 from shelfmark.session import spread
 from shelfmark.sources import tables
@@ -58,7 +58,7 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
 
 
 def product_rows(cleaned: DataFrame) -> DataFrame:
-    """Cleaned metadata in the column types of the product table."""
+    """Cleaned metadata in the column types of the product table, with the title's search terms."""
     rest = [c for c in cleaned.columns if c not in schemas.RAW_PRODUCT_FIELDS]
     return cleaned.select(
         "parent_asin", "title", "subtitle", "author", "main_category", "store",
@@ -67,6 +67,7 @@ def product_rows(cleaned: DataFrame) -> DataFrame:
         F.col("price").alias("price_raw"),
         parse.parse_price(F.col("price")).alias("price"),
         "features", "description", "categories", "details", "images", "videos", "bought_together",
+        title_terms("title").alias("title_terms"),
         *rest,
     )
 
@@ -145,13 +146,15 @@ def ingest(
 
     ``score`` adds sentiment columns to cleaned reviews. A batch may be repeated: products and
     embeddings merge by key and the reviews of a batch replace themselves. With ``drop_repeats``,
-    reviews that an earlier batch holds are left out too; the counts are those before that. The counts of skipped
-    rows are observed while the rows are written, not in a pass of their own. ``spread_to`` deals raw rows out to
-    so many tasks, for gzip files, which one task has to read each.
+    reviews that an earlier batch holds are left out too; the counts are those before that. ``spread_to`` deals raw rows out to
+    so many tasks, for gzip files, which one task has to read each. All counts are observed while rows are written; no
+    table is read to count it.
     """
     encoder = encoder or default_encoder()
     found = {r["path"]: r["found"] for r in check_inputs(spark, [product_path, review_path]).collect()}
     product_seen, review_seen = Observation(), Observation()
+    product_made, vector_made, vector_new, staged_made = (Observation() for _ in range(4))
+    rows = F.count(F.lit(1)).alias("n")
 
     raw = read_jsonl(spark, found[product_path], schemas.RAW_PRODUCT_FIELDS)
     cleaned = clean_products(readable(counted(spread(raw, spread_to), has_product_key(), product_seen)))
@@ -160,14 +163,15 @@ def ingest(
     cleaned = store.read_batch("clean_products", None, batch)
     fresh = product_rows(cleaned)
     old = store.read("products", schemas.PRODUCTS)
-    store.replace("products", tables.upsert_products(old, fresh, ["_source"]), ["parent_asin"])
+    merged = tables.upsert_products(old, fresh, ["_source"]).observe(product_made, rows)
+    store.replace("products", merged, ["parent_asin"])
     products = store.read("products", schemas.PRODUCTS)
 
     started, clock = datetime.now(timezone.utc), time.perf_counter()
     one_per_key = tables.last_by(cleaned, ["parent_asin"], ["_source"])
-    vectors = tables.known_keys(embed_products(one_per_key, encoder, run_id), products)
+    vectors = tables.known_keys(embed_products(one_per_key, encoder, run_id), products).observe(vector_new, rows)
     old = store.read("embeddings", schemas.EMBEDDINGS)
-    store.replace("embeddings", tables.upsert_embeddings(old, vectors), ["parent_asin"])
+    store.replace("embeddings", tables.upsert_embeddings(old, vectors).observe(vector_made, rows), ["parent_asin"])
     elapsed = time.perf_counter() - clock
 
     raw = read_jsonl(spark, found[review_path], schemas.RAW_REVIEW_FIELDS)
@@ -176,6 +180,7 @@ def ingest(
         reviews = score(reviews)
     loaded = tables.known_keys(review_rows(reviews).drop("_source"), products)
     loaded = loaded.withColumn("ingested_at", F.current_timestamp()).withColumn("batch_ok", valid_rating())
+    loaded = loaded.observe(staged_made, F.count_if("batch_ok").alias("ok"), F.count_if(~F.col("batch_ok")).alias("aside"))
     store.append("staged_reviews", loaded, batch)
     staged = store.read_batch("staged_reviews", None, batch)
     earlier = store.read_appended("reviews", schemas.REVIEWS, without=batch)
@@ -186,17 +191,17 @@ def ingest(
         ok = tables.drop_repeats(ok).alias("n").join(earlier.alias("o"), same, "left_anti")
     store.append("reviews", tables.with_new_ids(ok, earlier, "review_id"), batch)
 
-    embedded = cleaned.select("parent_asin").distinct().count()
+    embedded = vector_new.get["n"]
     timing = spark.createDataFrame(
         [(run_id or batch, started, embedded, elapsed, encoder.dim, encoder.name)],
         "run_id string, started_at timestamp, items long, elapsed_s double, dim int, model string",
     )
     store.append("runs", tracking.embedding_runs(timing), batch)
     return spark.range(1).select(
-        products.agg(F.count("*")).scalar().alias("products"),
-        store.read("embeddings", schemas.EMBEDDINGS).agg(F.count("*")).scalar().alias("embeddings"),
-        staged.agg(F.count_if("batch_ok")).scalar().alias("reviews_loaded"),
-        staged.agg(F.count_if(~F.col("batch_ok"))).scalar().alias("reviews_set_aside"),
+        F.lit(product_made.get["n"]).alias("products"),
+        F.lit(vector_made.get["n"]).alias("embeddings"),
+        F.lit(staged_made.get["ok"]).alias("reviews_loaded"),
+        F.lit(staged_made.get["aside"]).alias("reviews_set_aside"),
         *[F.lit(product_seen.get[c]).alias(f"product_{c}") for c in ("unreadable", "skipped")],
         *[F.lit(review_seen.get[c]).alias(f"review_{c}") for c in ("unreadable", "skipped")],
     )

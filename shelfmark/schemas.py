@@ -21,7 +21,7 @@ PRODUCTS = """
     store string, average_rating decimal(3,1), rating_number int, price_raw string,
     price decimal(10,2), features array<string>, description array<string>,
     categories array<string>, details string, images string, videos string,
-    bought_together string, ingested_at timestamp
+    bought_together string, title_terms array<string>, ingested_at timestamp
 """
 REVIEWS = """
     review_id bigint, parent_asin string, asin string, user_id string, rating decimal(2,1),

@@ -12,17 +12,21 @@ BAD = "_corrupt_record"
 
 
 def input_sizes(spark: SparkSession, expected: Sequence[str]) -> DataFrame:
-    """Per expected file the one to read and its size in bytes: the plain file, else its ``.gz``
-    form, else null. Other files beside it, such as backups, don't count.
+    """Per expected name the input to read and its size in bytes: the plain file or a folder of files, else its
+    ``.gz`` form, else null. Other files beside it, such as backups, don't count, nor do empty folders.
 
-    Only the names asked for are looked up; no folder is listed and no content is read.
+    Only the names asked for are looked up, and no content is read.
     """
     context = spark.sparkContext
 
     def size(path: str) -> int | None:
         at = context._jvm.org.apache.hadoop.fs.Path(path)
         fs = at.getFileSystem(context._jsc.hadoopConfiguration())
-        return fs.getFileStatus(at).getLen() if fs.exists(at) and not fs.getFileStatus(at).isDirectory() else None
+        if not fs.exists(at):
+            return None
+        if fs.getFileStatus(at).isDirectory():
+            return fs.getContentSummary(at).getLength() or None
+        return fs.getFileStatus(at).getLen()
 
     rows = []
     for path in expected:

@@ -4,6 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions import text
 from shelfmark.operators import catalog, metrics, ranking, rolling
 from shelfmark.plans import context
 
@@ -152,6 +153,18 @@ def test_keywords(products):
     assert keys(catalog.keyword_search(products, "plate", max_price=100.0)) == ["C"]
 
 
+def test_stored_terms_give_the_same_hits_without_python(products, capsys):
+    made = products.withColumn("title_terms", text.title_terms("title"))
+    stored = products.sparkSession.createDataFrame(made.collect(), made.schema)
+    for asked in ("the plate", "red plates", "and the of", "plating reds", "nothing"):
+        want = keys(catalog.keyword_search(products, asked))
+        assert keys(catalog.keyword_search(stored, asked)) == want
+    assert keys(catalog.keyword_search(stored, "plate", stemming=False)) == ["C"]
+    catalog.keyword_search(stored, "red plates").explain()
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Arrow" not in plan and "title_terms" in plan
+
+
 def test_reviews_put_unknown_votes_and_dates_first(reviews):
     got = [r.review_id for r in catalog.list_reviews(reviews, "A").collect()]
     assert got == [3, 2, 1]
