@@ -429,6 +429,20 @@ probed AS (SELECT query_id FROM centers, asked ORDER BY {COSINE.format(a='vector
 SELECT parent_asin, round({COSINE.format(a='embedding', b='q')}, 6) AS distance, list_id
 FROM assigned, asked WHERE list_id IN (SELECT query_id FROM probed)
 ORDER BY {COSINE.format(a='embedding', b='q')}, parent_asin LIMIT 10"""
+    q["ivf_search_batch"] = f"""
+WITH {CENTERS}, {NEAREST_LIST},
+asked AS (SELECT 'P' || vec_id AS asker, embedding AS q FROM embeddings WHERE label = 5),
+probed AS (
+  SELECT asker, q, query_id AS list_id FROM centers, asked
+  QUALIFY row_number() OVER (PARTITION BY asker ORDER BY {COSINE.format(a='vector', b='q')}, query_id) <= 3
+)
+SELECT asker AS query_id, parent_asin, round({COSINE.format(a='embedding', b='q')}, 6) AS distance, list_id,
+       row_number() OVER (PARTITION BY asker ORDER BY {COSINE.format(a='embedding', b='q')}, parent_asin)::INT AS place
+FROM assigned JOIN probed USING (list_id) QUALIFY place <= 10"""
+    q["ivf_kmeans_search"] = f"""
+SELECT 'P' || vec_id AS parent_asin, round({COSINE.format(a='embedding', b='q')}, 6) AS distance
+FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)
+ORDER BY {COSINE.format(a='embedding', b='q')}, 'P' || vec_id LIMIT 10"""
     q["embedding_drift"] = """
 WITH long AS (
   SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings

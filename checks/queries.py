@@ -131,7 +131,7 @@ def ivf_assign(spark, d):
 def _ivf(spark, d, lists: DataFrame, probes: int) -> DataFrame:
     e = views.embeddings(spark, d)
     path = scratch_path(spark, "ivf")
-    ivf.write_lists(ivf.assign_lists(e.select("parent_asin", "embedding"), lists), path, 2)
+    ivf.write_lists(ivf.assign_lists(e.select("parent_asin", "embedding"), lists), path)
     asked = e.filter(F.col("vec_id") == QUERY_VECTOR).select("embedding").first()[0]
     return rounded(
         ivf.ivf_search(spark, path, lists, asked, probes=probes, top_k=10), "_distance"
@@ -143,9 +143,22 @@ def ivf_search(spark, d):
     return _ivf(spark, d, _label_lists(spark, d), probes=3)
 
 
+@query
+def ivf_search_batch(spark, d):
+    """Every vector of category 5 asked of its three nearest lists, in blocks of 40 probes."""
+    e, lists = views.embeddings(spark, d), _label_lists(spark, d)
+    path = scratch_path(spark, "ivf")
+    ivf.write_lists(ivf.assign_lists(e.select("parent_asin", "embedding"), lists), path, 100)
+    asked = e.filter("category = 5").select(F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector"))
+    found = ivf.ivf_search_batch(spark, path, lists, asked, probes=3, top_k=10, block_probes=40)
+    return rounded(found, "_distance").withColumnRenamed("_distance", "distance").withColumnRenamed("_rank", "place")
+
+
 @query
 def ivf_kmeans_search(spark, d):
-    return _ivf(spark, d, ivf.fit_centroids(views.embeddings(spark, d), lists=8, max_iter=5), probes=2)
+    """Fitted lists, all of them probed: the exact answer whatever the fit."""
+    lists = ivf.fit_centroids(views.embeddings(spark, d), lists=8, max_iter=5)
+    return _ivf(spark, d, lists, probes=8).drop("list_id")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfmark import settings
 from shelfmark.functions import vectors as V
+from shelfmark.operators.batch_search import _cosine_block, _TopK
+from shelfmark.operators.ranking import top_rows
+from shelfmark.session import materialize, scratch_path
 
 MAX_LISTS = 4096  # centroids held by every task: 12 MB at 384 dimensions
-FILES_PER_LIST = 16
+ROWS_PER_PART = 250_000  # rows of a list that one file holds
+BLOCK_PROBES = 4096  # pairs of a query and a list that are sent to all tasks at a time
 
 
 def fit_centroids(
@@ -59,17 +63,22 @@ def assign_lists(embeddings: DataFrame, centroids: DataFrame) -> DataFrame:
     return embeddings.withColumn("list_id", nearest("embedding"))
 
 
-def write_lists(assigned: DataFrame, path: str, files_per_list: int = FILES_PER_LIST) -> None:
-    """Store the vectors by list. Each list is written by several tasks, so a list that holds
-    much of the data is no straggler; rows are sorted by key for row-group skipping. Rows without
-    a list are left out."""
-    salt = F.pmod(F.xxhash64("parent_asin"), F.lit(files_per_list))
+def write_lists(assigned: DataFrame, path: str, rows_per_part: int = ROWS_PER_PART) -> None:
+    """Store the vectors by list and part. A list has as many parts as its size asks for, so a list that
+    holds much of the data is written and read by many tasks; rows are sorted by key for row-group
+    skipping. Rows without a list are left out."""
+    kept = assigned.filter("list_id IS NOT NULL")
+    # At most MAX_LISTS rows, a number each.
+    sizes = kept.groupBy("list_id").agg(F.ceil(F.count("*") / F.lit(rows_per_part)).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64("parent_asin"), F.col("_parts")).cast("int")
     (
-        assigned.filter("list_id IS NOT NULL")
-        .repartition("list_id", salt)
-        .sortWithinPartitions("list_id", "parent_asin")
+        kept.join(F.broadcast(sizes), "list_id")
+        .withColumn("part", part)
+        .drop("_parts")
+        .repartition("list_id", "part")
+        .sortWithinPartitions("list_id", "part", "parent_asin")
         .write.mode("errorifexists")
-        .partitionBy("list_id")
+        .partitionBy("list_id", "part")
         .parquet(path)
     )
 
@@ -95,3 +104,93 @@ def ivf_search(
         .orderBy("_distance", "parent_asin")
         .limit(top_k)
     )
+
+
+def probed_lists(queries: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
+    """(query_id, vector, list_id): each query with its ``probes`` nearest lists, lower ids first on ties."""
+    ids, matrix = _centroid_matrix(centroids)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest(vectors: pd.Series) -> pd.Series:
+        points = np.stack([np.asarray(v, np.float64) for v in vectors])
+        order = np.argsort(-(points @ matrix.T), axis=1, kind="stable")[:, :probes]
+        return pd.Series(list(ids[order].astype(np.int32)))
+
+    asked = queries.filter(F.col("vector").isNotNull())
+    return asked.select("query_id", "vector", F.explode(nearest("vector")).alias("list_id"))
+
+
+def _probe_blocks(counts: list[tuple[int, int]], block_probes: int) -> list[list[tuple[int, int, int]]]:
+    """Blocks of (list, chunk, chunks of the list): lists with few probes together, one with many in chunks."""
+    blocks, held = [], 0
+    for list_id, n in counts:
+        chunks = -(-n // block_probes)
+        for chunk in range(chunks):
+            size = -(-n // chunks)
+            if not blocks or held + size > block_probes:
+                blocks.append([])
+                held = 0
+            blocks[-1].append((list_id, chunk, chunks))
+            held += size
+    return blocks
+
+
+def ivf_search_batch(
+    spark: SparkSession,
+    path: str,
+    centroids: DataFrame,
+    queries: DataFrame,
+    *,
+    probes: int = settings.IVF_PROBES,
+    top_k: int = settings.DEFAULT_TOP_K,
+    block_probes: int = BLOCK_PROBES,
+) -> DataFrame:
+    """``ivf_search`` for a table of queries (query_id, vector): (query_id, parent_asin, _distance, list_id, _rank).
+
+    Probes are put together by list. A block of them goes to all tasks, which read the block's lists and no others and
+    keep ``top_k`` rows per probe; a list is read once for every ``block_probes`` queries that probe it, and
+    vectors are never shuffled. Runs the jobs of all blocks at once.
+    """
+    settings.bounded("top_k", top_k, 1, settings.MAX_TOP_K)
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {id_type}, parent_asin string, _score double, list_id int"
+    asked = materialize(probed_lists(queries, centroids, probes))
+    # At most MAX_LISTS rows, a number each.
+    counts = [tuple(r) for r in asked.groupBy("list_id").agg(F.count("*").alias("n")).orderBy("list_id").collect()]
+    if not counts:
+        return spark.createDataFrame([], f"query_id {id_type}, parent_asin string, _distance double, list_id int, _rank int")
+    stored = spark.read.parquet(path).select("parent_asin", "embedding", "list_id")
+    found = scratch_path(spark, "probed")
+    chunk_of = F.xxhash64("query_id")
+    tasks = max(2 * spark.sparkContext.defaultParallelism, 1)
+    order = [F.col("_score").asc(), F.col("parent_asin").asc()]
+    for number, block in enumerate(_probe_blocks(counts, block_probes)):
+        wanted = F.lit(False)
+        for list_id, chunk, chunks in block:
+            wanted |= (F.col("list_id") == list_id) & (F.pmod(chunk_of, F.lit(chunks)) == chunk)
+        frame = asked.filter(wanted).toPandas()  # one block
+        groups = {
+            int(i): (g["query_id"].to_numpy(), np.stack([np.asarray(v, np.float64) for v in g["vector"]]))
+            for i, g in frame.groupby("list_id")
+        }
+        shared = spark.sparkContext.broadcast(groups)
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, kind=frame["query_id"].dtype) -> Iterator[pd.DataFrame]:
+            tops: dict[int, _TopK] = {}
+            for batch in batches:
+                for i, rows in batch.groupby("list_id"):
+                    if i not in tops:
+                        tops[i] = _TopK(*shared.value[i], top_k, _cosine_block)
+                    points = np.stack([np.asarray(v, np.float64) for v in rows["embedding"]])
+                    tops[i].add(rows["parent_asin"].to_numpy(), points)
+            for i, top in tops.items():
+                yield top.frame(kind).assign(list_id=i)
+
+        read = stored.filter(F.col("list_id").isin(list(groups)))
+        best = read.coalesce(tasks).mapInPandas(scan, schema)
+        top_rows(best, ["query_id", "list_id"], order, top_k).drop("_pos").write.parquet(f"{found}/block={number}")
+        shared.destroy()
+    rows = spark.read.schema(f"{schema}, block int").parquet(found).drop("block")
+    best = top_rows(rows, ["query_id"], order, top_k)
+    distance = F.when(F.col("_score") != float("inf"), F.col("_score")).otherwise(F.lit(float("nan")))
+    return best.select("query_id", "parent_asin", distance.alias("_distance"), "list_id", F.col("_pos").alias("_rank"))

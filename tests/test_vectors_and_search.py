@@ -189,7 +189,7 @@ def test_ivf(spark, embeddings, points, tmp_path):
     lists = ivf.fit_centroids(embeddings, lists=4, max_iter=5)
     assigned = ivf.assign_lists(embeddings, lists)
     path = str(tmp_path / "lists")
-    ivf.write_lists(assigned, path, files_per_list=2)
+    ivf.write_lists(assigned, path, rows_per_part=40)
     query = [float(x) for x in points[3]]
     all_lists = ivf.ivf_search(spark, path, lists, query, probes=4, top_k=5).collect()
     want, _ = brute(points, query, 5, N)
@@ -198,6 +198,51 @@ def test_ivf(spark, embeddings, points, tmp_path):
     assert len({r.list_id for r in one.collect()}) == 1
 
 
+@pytest.mark.parametrize("probes, block_probes", [(4, 4096), (2, 4096), (2, 3), (1, 1)])
+def test_ivf_for_many_queries(spark, embeddings, points, tmp_path, probes, block_probes):
+    lists = ivf.fit_centroids(embeddings, lists=4, max_iter=5)
+    assigned = ivf.assign_lists(embeddings, lists)
+    path = str(tmp_path / "lists")
+    ivf.write_lists(assigned, path, rows_per_part=30)
+    parts = spark.read.parquet(path).groupBy("list_id").agg(F.max("part").alias("p"), F.count("*").alias("n")).collect()
+    assert all(r.p == -(-r.n // 30) - 1 for r in parts)
+    asked = embeddings.filter("parent_asin < 'K010'").select(
+        F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector")
+    )
+    found = ivf.ivf_search_batch(spark, path, lists, asked, probes=probes, top_k=5, block_probes=block_probes).collect()
+    for q in range(10):
+        one = ivf.ivf_search(spark, path, lists, [float(x) for x in points[q]], probes=probes, top_k=5).collect() if q < 3 else None
+        got = sorted((r for r in found if r.query_id == f"K{q:03d}"), key=lambda r: r._rank)
+        assert len({r.list_id for r in got}) <= probes and [r._rank for r in got] == list(range(1, len(got) + 1))
+        if one is not None:
+            assert [(r.parent_asin, r.list_id) for r in got] == [(r.parent_asin, r.list_id) for r in one]
+            assert [r._distance for r in got] == pytest.approx([r._distance for r in one])
+        if probes == 4:
+            want, _ = brute(points, points[q], 5, N)
+            assert [r.parent_asin for r in got] == [f"K{i:03d}" for i in want]
+    none = ivf.ivf_search_batch(spark, path, lists, asked.limit(0), probes=probes)
+    assert none.collect() == [] and none.columns == ["query_id", "parent_asin", "_distance", "list_id", "_rank"]
+
+
+def test_probe_blocks():
+    assert ivf._probe_blocks([(1, 3), (2, 5), (3, 1)], 4) == [[(1, 0, 1)], [(2, 0, 2)], [(2, 1, 2), (3, 0, 1)]]
+    assert ivf._probe_blocks([(7, 2), (9, 2)], 4) == [[(7, 0, 1), (9, 0, 1)]]
+
+
+def test_recall_of_probed_lists_on_clustered_vectors(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(12, 32))
+    rows = [(f"V{i:04d}", (middles[i % 12] + 0.35 * rng.normal(size=32)).tolist()) for i in range(1200)]
+    e = spark.createDataFrame(rows, "parent_asin string, embedding array<float>").repartition(4)
+    lists = ivf.fit_centroids(e, lists=12, max_iter=10)
+    path = str(tmp_path / "lists")
+    ivf.write_lists(ivf.assign_lists(e, lists), path)
+    asked = e.filter("parent_asin like '%7'").select(F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector"))
+    found = ivf.ivf_search_batch(spark, path, lists, asked, probes=3, top_k=10)
+    recall = B.recall_at_k(B.exact_search_batch(e, asked, top_k=10), found).agg(F.avg("recall")).first()[0]
+    assert recall >= 0.9  # at 3 of 12 lists
+
+
 def test_drift(spark, embeddings):
     scaled = embeddings.withColumn("embedding", V.l2_normalize(F.col("embedding")))
     same = {r.js_divergence for r in drift.embedding_drift(scaled, scaled).collect()}
@@ -221,7 +266,7 @@ def test_ivf_without_vectors(spark, embeddings, tmp_path):
     both = embeddings.unionByName(odd)
     lists = ivf.fit_centroids(both, lists=4, max_iter=5)
     path = str(tmp_path / "lists")
-    ivf.write_lists(ivf.assign_lists(both, lists), path, files_per_list=2)
+    ivf.write_lists(ivf.assign_lists(both, lists), path, rows_per_part=40)
     want = both.filter("embedding is not null").count()
     assert spark.read.parquet(path).count() == want
 
