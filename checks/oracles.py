@@ -742,8 +742,20 @@ GROUP BY window_start, event_type, le"""
     hour = dashboards._tokens("input", "tokens_in_last_hour", 3600, 3600.0, ())
     point = f"SELECT series, labels, {_STAMP.format(c='tick')} AS tick, round(value, 9) AS value"
     q["tokens_last_hour"] = f"WITH {_series_values([hour])} {point} FROM points"
+    # a gauge stands at every tick until its next setting, the last one until the newest observation
+    carried = """,
+steps AS (SELECT DISTINCT series, step FROM spec),
+standing AS (
+  SELECT g.*, step, coalesce(lead(tick) OVER (PARTITION BY g.series, labels ORDER BY tick) - step,
+    (SELECT floor(max(epoch(ts)))::BIGINT FROM obs) // step * step) AS until
+  FROM gauged g JOIN steps USING (series)
+),
+carried AS (
+  SELECT series, labels, value, unnest(range(tick, greatest(tick, until) + step, step)) AS tick FROM standing
+)"""
     q["dashboard_panels"] = f"""
-WITH {_series_values(dashboards.PANELS)} {point} FROM (SELECT * FROM points UNION ALL SELECT * FROM gauged)"""
+WITH {_series_values(dashboards.PANELS)} {carried} {point} FROM (
+  SELECT * FROM points UNION ALL SELECT series, labels, tick, value FROM carried)"""
     q["error_share"] = """
 SELECT date_trunc('hour', ts::TIMESTAMP)::TIMESTAMP AS hour,
        round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_share,
@@ -765,7 +777,8 @@ SELECT f.rule, f.labels, {_STAMP.format(c='started')} AS started_at, {_STAMP.for
 FROM fired f JOIN rules r ON r.rule = f.rule"""
     q["no_traffic"] = """
 WITH s AS (SELECT DISTINCT (floor(epoch(ts) / 15) * 15 + 15)::BIGINT AS slot FROM events),
-spine AS (SELECT unnest(range((SELECT min(slot) FROM s), (SELECT max(slot) FROM s) + 15, 15)) AS tick),
+until AS (SELECT floor((floor(max(epoch(ts))) + 7200) / 15)::BIGINT * 15 + 15 AS tick FROM events),
+spine AS (SELECT unnest(range((SELECT min(slot) FROM s), (SELECT tick FROM until) + 15, 15)) AS tick),
 loud AS (SELECT DISTINCT unnest(range(slot, slot + 300, 15)) AS tick FROM s),
 silent AS (SELECT tick FROM spine WHERE tick NOT IN (SELECT tick FROM loud)),
 g AS (SELECT tick, tick - 15 * row_number() OVER (ORDER BY tick) AS run FROM silent)

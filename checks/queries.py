@@ -791,7 +791,9 @@ def alerts_fired(spark, d):
 
 @query
 def no_traffic(spark, d):
-    runs = alerts.silent_runs(views.observations(spark, d), alerts.HTTP_SILENCE)
+    o = views.observations(spark, d)
+    asked = o.agg(F.max(F.unix_seconds("ts")) + 7200).scalar()  # two hours after the last request
+    runs = alerts.silent_runs(o, alerts.HTTP_SILENCE, asked)
     return runs.select("started", "ended")
 
 

@@ -2,7 +2,7 @@
 
 At tick t a lookback of d covers the observations with t - d <= ts < t, as in a Spark time
 window that ends at t. Ticks are multiples of the interval since the epoch. A series has a value
-only at ticks whose lookback holds an observation; gauges keep their last value.
+only at ticks whose lookback holds an observation; gauges keep their last value up to the newest observation.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, SparkSession, Window
 
 from shelfmark.operators.metrics import METRICS
+from shelfmark.operators.ranking import in_order, join_groups
 
 
 @dataclass(frozen=True)
@@ -217,6 +218,25 @@ def gauge_series(observations: DataFrame, series: Sequence[Series]) -> DataFrame
     )
 
 
+def carried(points: DataFrame, newest: Column) -> DataFrame:
+    """Gauge points at every tick: a value stands until the next setting, the last one until ``newest``
+    (in seconds).
+
+    The next setting is looked up within pieces of a sorted order, and a piece knows the first tick of the piece after
+    it; so the settings of one label set are not gathered in one task.
+    """
+    keys = ["series", "labels"]
+    rows = in_order(points, [*keys, "tick"])
+    firsts = rows.groupBy(*keys, "_pid").agg(F.min("tick").alias("_first"))
+    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_pid"))
+    placed = join_groups(rows, firsts.select(*keys, "_pid", after.alias("_after")), [*keys, "_pid"])
+    inside = F.lead("tick").over(Window.partitionBy(*keys, "_pid").orderBy("_row"))
+    interval = F.col("interval").cast("bigint")
+    end = placed.withColumn("_next", F.coalesce(inside, F.col("_after"), interval * (F.floor(newest / interval) + 1)))
+    ticks = F.sequence(F.col("tick"), F.greatest(F.col("tick"), F.col("_next") - interval), interval)
+    return end.withColumn("tick", F.explode(ticks)).select(*points.columns)
+
+
 def evaluate(observations: DataFrame, series: Sequence[Series]) -> DataFrame:
     """Series values at ticks, as (series, labels, tick timestamp, value)."""
     windowed = [s for s in series if s.kind not in ("gauge", "silence")]
@@ -225,6 +245,7 @@ def evaluate(observations: DataFrame, series: Sequence[Series]) -> DataFrame:
     if windowed:
         parts.append(windowed_series(observations, windowed))
     if gauges:
-        parts.append(gauge_series(observations, gauges))
+        newest = observations.agg(F.max(F.unix_seconds("ts"))).scalar()
+        parts.append(carried(gauge_series(observations, gauges), newest))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return both.select("series", "labels", F.timestamp_seconds("tick").alias("tick"), "value")

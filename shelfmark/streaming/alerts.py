@@ -138,9 +138,34 @@ class Silence(StatefulProcessor):
         pass
 
 
-def silence_stream(observations: DataFrame, rule: Rule, lateness: str = LATENESS) -> DataFrame:
-    """Firings of a silence rule. Traffic is reduced to its distinct slots before the state."""
+HEARTBEAT = "heartbeat"
+
+
+def heartbeats(spark: SparkSession) -> DataFrame:
+    """The clock as observations of their own metric, one row a second."""
+    return as_heartbeats(spark.readStream.format("rate").option("rowsPerSecond", 1).load())
+
+
+def as_heartbeats(beats: DataFrame) -> DataFrame:
+    """The ``timestamp`` of a stream as observations that no rule reads."""
+    return beats.select(
+        F.col("timestamp").alias("ts"), F.lit(HEARTBEAT).alias("metric"),
+        F.create_map().cast("map<string,string>").alias("labels"), F.lit(1.0).alias("value"),
+    )
+
+
+def silence_stream(
+    observations: DataFrame, rule: Rule, lateness: str = LATENESS, beats: DataFrame | None = None
+) -> DataFrame:
+    """Firings of a silence rule. Traffic is reduced to its distinct slots before the state.
+
+    Event time stands still while nothing arrives. ``beats``, a stream of ``heartbeats``, carries it on: the two
+    are one stream before the watermark, so silence fires although no request of any kind comes any more. With a clock
+    in the stream, requests that arrive later than ``lateness`` after it are dropped.
+    """
     interval = rule.series.interval
+    if beats is not None:
+        observations = observations.select("ts", "metric", "labels", "value").unionByName(beats)
     fed = feed(in_event_time(observations, lateness=lateness), [rule.series], "ts")
     slots = (
         fed.groupBy(F.window("ts", f"{interval} seconds").alias("w"), "labels")

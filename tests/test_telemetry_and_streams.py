@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import alerts, dashboards, metrics
+from shelfmark.operators import alerts, dashboards, metrics, series
 from shelfmark.operators.series import Series, evaluate
 from shelfmark.streaming import alerts as stream_alerts, windows
 
@@ -192,6 +192,64 @@ def test_streamed_silence_fires_by_timer(spark, tmp_path):
     assert got == sorted((seconds(r.started_at), seconds(r.fired_at)) for r in batch) == [(405, 705), (1905, 2205)]
 
 
+def test_silence_fires_although_the_input_simply_stops(spark, tmp_path):
+    stream_alerts.use_rocksdb(spark)
+    rule = next(r for r in alerts.RULES if r.name == "APINoTraffic")
+    requests = [(s, "http_requests_total", {}, 1) for s in (2, 100)]
+    source = write_files(spark, [requests], tmp_path / "in")
+    clock = tmp_path / "clock"
+
+    def beat(at):
+        """The clock goes on; requests don't."""
+        at = F.lit(START).cast("timestamp") + F.expr(f"INTERVAL {at} SECONDS")
+        spark.range(1).select(at.alias("timestamp")).coalesce(1).write.mode("append").parquet(str(clock / "ticks"))
+
+    beat(10)
+    schema = observed(spark, requests).schema
+
+    def fired_so_far():
+        ticks = windows.read_stream(spark, f"{clock}/*", spark.read.parquet(str(clock / "ticks")).schema)
+        stream = stream_alerts.silence_stream(
+            windows.read_stream(spark, source, schema), rule, beats=stream_alerts.as_heartbeats(ticks)
+        )
+        base = int(START.timestamp())
+        return [(r.started - base, r.fired - base) for r in run(spark, stream, tmp_path).collect()]
+
+    assert fired_so_far() == []
+    for at in (400, 900):  # within the lookback, the hold and the bound on lateness
+        beat(at)
+        assert fired_so_far() == []
+    beat(2000)
+    assert fired_so_far() == [(405, 705)]
+    beat(9000)
+    assert fired_so_far() == [(405, 705)]  # once
+
+
+def test_gauges_stand_until_their_next_setting(spark):
+    rows = [(3, "hnsw_recall_rate", {"k": "5"}, 0.9), (3600, "hnsw_recall_rate", {"k": "5"}, 0.8)]
+    rows += [(70, "hnsw_recall_rate", {"k": "10"}, 0.5), (4000, "http_requests_total", {}, 1)]
+    s = [Series("recall", "gauge", "hnsw_recall_rate", ("k",), interval=60)]
+    got = {(r.labels, seconds(r.tick)): r.value for r in evaluate(observed(spark, rows), s).collect()}
+    want = {("k=5", t): 0.9 for t in range(60, 3660, 60)} | {("k=5", t): 0.8 for t in range(3660, 4000, 60)}
+    assert got == want | {("k=10", t): 0.5 for t in range(120, 4000, 60)}
+
+
+def test_values_are_carried_over_the_borders_of_pieces(spark):
+    points = [("a" if i % 3 else "b", 10 * i) for i in range(400)]
+    table = spark.createDataFrame([("g", label, 10, t, float(t)) for label, t in points if t % 70 < 30], "series string, labels string, interval int, tick long, value double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.labels, r.tick): r.value for r in series.carried(table.repartition(3), F.lit(5004)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for label in "ab":
+        known = {t: float(t) for x, t in points if x == label and t % 70 < 30}
+        for t in range(min(known), 5001, 10):
+            want[label, t] = known.get(t, want.get((label, t - 10)))
+    assert got == want
+
+
 def test_streamed_histogram(spark, tmp_path):
     rows = [(s, "http_request_duration_seconds", {}, s % 3 / 10) for s in range(0, 5000, 7)]
     source = write_files(spark, [rows[::2], rows[1::2]], tmp_path / "in")
