@@ -11,6 +11,7 @@ def _op3() -> str:
     def codes(pattern: str) -> str:
         return pattern.replace("'", "''")
 
+    closers = rules.CLOSERS.replace("]", "\\]")
     phrases = " OR ".join(f"contains(lower(line), '{x}')" for x in rules.BOILERPLATE)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body FROM documents),
@@ -30,7 +31,7 @@ l AS (
 ),
 judged AS (
   SELECT row, line, n,
-    (n >= {rules.PARAGRAPH_WORDS} OR regexp_matches(right(line, {rules.TAIL}), '{codes(rules.CLOSED)}'))
+    (n >= {rules.PARAGRAPH_WORDS} OR regexp_matches(line, '[{codes(rules.STOPS)}][{codes(closers)}]*[\\x20\\x09-\\x0D]*$'))
     AND len(regexp_extract_all(line, '{rules.SEPARATOR}')) * 4 < n
     AND len(regexp_extract_all(line, '{rules.MARKS}')) * 5 < n
     AND (n > {rules.BOILERPLATE_WORDS} OR NOT ({phrases})) AS ok

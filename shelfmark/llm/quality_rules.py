@@ -27,9 +27,7 @@ _TRIMMED = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 
 #: A line closes like a sentence: a full stop or its like, then closing quotes or brackets.
-CLOSED = r"[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}][\"'\x{2019}\x{201d}\x{00bb})\]]*[\x20\x09-\x0D]*$"
-#: So many characters of a line's end are looked at for that.
-TAIL = 24
+STOPS, CLOSERS = ".!?:;\u2026\u3002\uff01\uff1f", "\"'\u2019\u201d\u00bb)]"
 #: Separators of menus and bread crumbs.
 SEPARATOR = r"[|>\x{00bb}\x{203a}\x{2022}\x{00b7}]"
 #: Runs of marks that prose does not have.
@@ -62,9 +60,12 @@ def words_of(text: Column) -> Column:
 def line_passes(line: Column, n: Column) -> Column:
     """Whether a line of ``n`` words is worth keeping. The cheapest tests stand first."""
     lower = F.lower(line)
+    # blanks first, then what may follow a stop: the same as a pattern at the line's end, however long that is
+    bare = F.rtrim(F.rtrim(line, F.lit(_TRIMMED)), F.lit(CLOSERS))
+    closed = F.contains(F.lit(STOPS), F.right(bare, F.lit(1))) & (bare != "")
     furniture = reduce(or_, (F.contains(lower, F.lit(x)) for x in BOILERPLATE))
     return (
-        ((n >= PARAGRAPH_WORDS) | F.right(line, F.lit(TAIL)).rlike(CLOSED))
+        ((n >= PARAGRAPH_WORDS) | closed)
         & (F.regexp_count(line, F.lit(SEPARATOR)) * 4 < n)
         & (F.regexp_count(line, F.lit(MARKS)) * 5 < n)
         & ((n > BOILERPLATE_WORDS) | ~furniture)

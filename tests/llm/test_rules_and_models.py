@@ -296,3 +296,13 @@ def test_texts_that_share_an_id_are_judged_each_by_itself(spark):
     assert got.columns == docs.columns
     kept = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in got.collect())
     assert kept == sorted([(0, base), (1, base), (5, clean), (7, other), (2, third + " z"), (9, "")])
+
+
+@pytest.mark.parametrize("blanks", ["", " " * 30, "\t" * 400, ")" * 40 + " " * 40])
+def test_lines_close_however_long_their_end_is(spark, blanks):
+    words = "nine words stand in this line and then it".split()
+    text = "\n".join(" ".join(f"{w}{i}" for w in words) + f" here.{blanks}" for i in range(12))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("here.", "here")), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["quality"] for r in quality_rules.measure(docs).collect()}
+    assert (got[1]["kept"], got[1]["kept_words"]) == (True, 120) and got[1]["n_lines_kept"] == 12
+    assert (got[2]["kept"], got[2]["kept_words"]) == (False, 0) and not got[3]["kept"]
