@@ -6,6 +6,7 @@ panel settings) are taken from the library; all logic is written again.
 
 from __future__ import annotations
 
+from shelfmark.functions.text import SUMMARY_PROMPT
 from shelfmark.operators import alerts, dashboards
 from shelfmark.operators.metrics import METRICS
 
@@ -110,15 +111,8 @@ chosen AS (
   ORDER BY helpful_vote DESC, review_id LIMIT 15
 )"""
 
-# The prompt template, with chr(10) as line end.
-_HEAD = (
-    "'You are a concise product review analyst.' || chr(10) || 'Given the following customer reviews"
-    " for a product, write a short pros/cons summary.' || chr(10) || ' ' || chr(10) || 'Reviews:' || chr(10)"
-)
-_TAIL = (
-    "chr(10) || ' ' || chr(10) || 'Respond in this format:' || chr(10) || 'Pros:' || chr(10) || '- <point>'"
-    " || chr(10) || 'Cons:' || chr(10) || '- <point>' || chr(10) || ' ' || chr(10) || 'Summary:'"
-)
+# The prompt template around the reviews, as SQL text.
+_HEAD, _TAIL = ("'" + part.replace("'", "''") + "'" for part in SUMMARY_PROMPT.split("{reviews}"))
 
 _SPACES = r"[\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 

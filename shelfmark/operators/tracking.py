@@ -31,6 +31,7 @@ def search_runs(requests: DataFrame) -> DataFrame:
     ``requests`` holds run_id, started_at, query, top_k, results and one ``*_ms`` column per
     stage; a stage that did not run counts as 0.
     """
+    # Names of a search run's parameters, and its quantisation.
     params = {
         "query_length_chars": F.length("query"),
         "top_k": F.col("top_k"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfmark import settings
 from shelfmark.functions.vectors import l2_normalize
 
+# Stars of the review templates.
 REVIEW_RATINGS = [5, 5, 4, 3, 5, 2, 5, 4, 1, 5]
 
 
