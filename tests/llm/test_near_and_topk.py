@@ -170,6 +170,41 @@ def test_repeated_query_ids_lose_no_neighbours(spark):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(i + 1, 6 + i, 10_000) for i in range(4)]
 
 
+def test_vectors_too_long_for_a_product_take_no_part(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [1e6, 0.0]), (5, [-1e6, 1.0]), (10, [0.5, 0.5]), (11, [-1e300, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_join.top_k(table, F.col("vec_id") % 5 == 0, 4).collect()
+    kept = [r for r in rows if r[0] in (2, 5, 10)]
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == best(kept, 4)
+
+
+def test_products_beyond_doubles_are_whole(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-(2**30), 2**30, 3)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_join.top_k(table, F.col("vec_id") % 5 == 0, 4, 1).collect()
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == best(rows, 4, 1)
+
+
+def test_groups_that_need_the_same_rows_are_solved_together(monkeypatch):
+    monkeypatch.setattr(topk_join, "CELL_QUERIES", 10)
+    sizes = np.array([4, 5, 3, 2])
+    shared = np.array([[90, 80, 0, 90], [80, 100, 0, 70], [0, 0, 50, 0], [90, 70, 0, 95.0]])
+    # 1 leads; 0 needs mostly the same, 3 would be one query too many; 2 needs other rows
+    assert topk_join._together(sizes, shared) == [[1, 0], [2], [3]]
+
+
+def test_clustered_vectors_are_pruned_and_right(spark, monkeypatch):
+    monkeypatch.setattr(topk_join, "CELL_QUERIES", 8)
+    monkeypatch.setattr(topk_join, "CELL_ROWS", 20)
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(6, 5)) * 20
+    rows = [(i, [float(x) for x in middles[i % 6] + rng.normal(size=5)]) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_join.top_k(table, F.col("vec_id") % 5 == 0, 3).collect()
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == best(rows, 3)
+
+
 def test_no_vectors_no_rows(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_join.top_k(table, F.lit(True)).count() == 0
