@@ -373,6 +373,10 @@ fired AS (
 # Times are compared as UTC instants without a zone.
 _STAMP = "make_timestamp({c} * 1000000)"
 _WATERMARK = "(SELECT max(ts)::TIMESTAMP - INTERVAL 10 MINUTE FROM events)"
+_MESSAGE = (
+    "format('{}{}: {:.4f} {} {:.4f}', r.rule, CASE labels WHEN '' THEN '' ELSE ' [' || labels || ']' END,"
+    " value, compare, threshold::DOUBLE)"
+)
 _LE_LIST = "[" + ", ".join(str(b) for b in METRICS["search_execution_seconds"].bounds) + "]"
 _RATE_WINDOWS = """
 SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, event_type AS search_type,
@@ -767,7 +771,7 @@ FROM s GROUP BY event_type, slot"""
     q["alerts_fired"] = f"""
 WITH {_fired(alerts.RULES)}
 SELECT f.rule, f.labels, {_STAMP.format(c='started')} AS started_at, {_STAMP.format(c='fired')} AS fired_at,
-       {_STAMP.format(c='ended')} AS ended_at, round(value, 9) AS value, severity, team, channel
+       {_STAMP.format(c='ended')} AS ended_at, round(value, 9) AS value, severity, team, channel, {_MESSAGE} AS message
 FROM fired f JOIN rules r ON r.rule = f.rule"""
     q["no_traffic"] = """
 WITH s AS (SELECT DISTINCT (floor(epoch(ts) / 15) * 15 + 15)::BIGINT AS slot FROM events),
@@ -814,6 +818,18 @@ FROM conversations GROUP BY role"""
 WITH {_fired(_STREAM_RULES)}
 SELECT rule, labels, started, fired, round(value, 9) AS value FROM fired
 WHERE {_STAMP.format(c='fired')} <= {_WATERMARK}"""
+    q["stream_alerts_all"] = f"""
+WITH {_fired(alerts.RULES)},
+changes AS (
+  SELECT rule, labels, 'firing' AS status, started, fired, NULL::BIGINT AS ended, value FROM fired
+  WHERE {_STAMP.format(c='fired')} <= {_WATERMARK}
+  UNION ALL
+  SELECT f.rule, labels, 'resolved', started, fired, ended, value FROM fired f JOIN rules r ON r.rule = f.rule
+  WHERE {_STAMP.format(c='(ended + step)')} <= {_WATERMARK}
+)
+SELECT c.rule, c.labels, status, {_STAMP.format(c='started')} AS started_at, {_STAMP.format(c='fired')} AS fired_at,
+       {_STAMP.format(c='ended')} AS ended_at, round(value, 9) AS value, severity, team, channel, {_MESSAGE} AS message
+FROM changes c JOIN rules r ON r.rule = c.rule"""
     silence = [r for r in alerts.RULES if r.series.kind == "silence"]
     q["stream_no_traffic"] = (
         f"WITH {_fired(silence)} SELECT rule, started, fired FROM fired"

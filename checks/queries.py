@@ -15,7 +15,7 @@ from shelfmark.operators.search import semantic_search
 from shelfmark.plans import context, ingest
 from shelfmark.session import materialize, scratch_path
 from shelfmark.sources import buckets, jsonl, tables, views
-from shelfmark.streaming import alerts as stream_alerts_mod, ingest as stream_ingest, windows
+from shelfmark.streaming import alerts as stream_alerts_mod, ingest as stream_ingest, walk, windows
 from shelfmark import schemas
 
 DIM = views.TEST_DIM
@@ -786,7 +786,7 @@ def counter_increase(spark, d):
 
 @query
 def alerts_fired(spark, d):
-    return rounded(alerts.alerts_fired(views.observations(spark, d)).drop("message"), "value", digits=9)
+    return rounded(alerts.alerts_fired(views.observations(spark, d)), "value", digits=9)
 
 
 @query
@@ -910,6 +910,14 @@ def stream_no_traffic(spark, d):
     return _streamed(spark, stream_alerts_mod.silence_stream(seen, rule)).drop("labels")
 
 
+@query
+def stream_alerts_all(spark, d):
+    """All 17 rules on one stream: a row when a rule fires, and one when its condition has ended."""
+    stream_alerts_mod.use_rocksdb(spark)
+    seen = views.observations_of(_event_stream(spark, d))
+    return rounded(_streamed(spark, walk.alert_changes(seen, alerts.RULES)), "value", digits=9)
+
+
 @query
 def stream_upsert(spark, d):
     """The load batch as a file stream merged into a stored catalogue, and handed out once more."""
