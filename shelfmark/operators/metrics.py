@@ -113,17 +113,18 @@ def windowed_rate(
 ) -> DataFrame:
     """Events per second in tumbling or sliding windows of ``lookback``; batch or streaming."""
     window = F.window("ts", lookback, step) if step else F.window("ts", lookback)
+    return with_rate(df.groupBy(window.alias("w"), *labels).agg(F.count("*").alias("events")), labels)
+
+
+def with_rate(counted: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Events per second of ``events`` counted per window ``w`` and label set."""
     seconds = F.unix_seconds(F.col("w.end")) - F.unix_seconds(F.col("w.start"))
-    return (
-        df.groupBy(window.alias("w"), *labels)
-        .agg(F.count("*").alias("events"))
-        .select(
-            F.col("w.start").alias("window_start"),
-            F.col("w.end").alias("window_end"),
-            *labels,
-            "events",
-            (F.col("events") / seconds).alias("per_second"),
-        )
+    return counted.select(
+        F.col("w.start").alias("window_start"),
+        F.col("w.end").alias("window_end"),
+        *labels,
+        "events",
+        (F.col("events") / seconds).alias("per_second"),
     )
 
 

@@ -34,12 +34,16 @@ def stream_values(observations: DataFrame, series: Sequence[Series], lateness: s
         raise ValueError("one stream serves one lookback and interval")
     lookback, interval = spans.pop()
     fed = feed(in_event_time(observations, lateness=lateness), series, "ts")
-    window = F.window("ts", f"{lookback} seconds", f"{interval} seconds")
     # A stream cannot rank buckets in a window, so it sums each bound in a column of its own.
     counts = cumulative_sums(series)
-    summed = fed.groupBy(window.alias("w"), "series", "labels", "interval", "lookback").agg(
-        *[c.alias(n) for n, c in {**counts, **sums()}.items()]
+    added = {**counts, **sums()}
+    keys = ["series", "labels", "interval", "lookback"]
+    # Slots of an interval first, then the lookback over slots: state doesn't grow with lookback / interval.
+    slots = fed.groupBy(F.window("ts", f"{interval} seconds").alias("slot"), *keys).agg(
+        *[c.alias(n) for n, c in added.items()]
     )
+    window = F.window("slot", f"{lookback} seconds", f"{interval} seconds")
+    summed = slots.groupBy(window.alias("w"), *keys).agg(*[F.sum(n).alias(n) for n in added])
     ticks = with_settings(summed, series).withColumn("value", plain_value())
     if counts:
         cumulative = [F.col(c) for c in counts]
@@ -59,11 +63,14 @@ class Hold(StatefulProcessor):
         self.run = handle.getValueState("run", "started bigint, last bigint, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ticks = pd.concat(list(rows)).sort_values("tick")
+        ticks = sorted(
+            (t for chunk in rows for t in chunk[["tick", "holds", "interval", "hold", "value"]].itertuples(index=False)),
+            key=lambda t: t.tick,
+        )
         held = self.run.get() if self.run.exists() else None
         started, last, done = held if held else (None, None, False)
         out = []
-        for t in ticks.itertuples(index=False):
+        for t in ticks:
             if not t.holds:
                 started, last, done = None, t.tick, False
                 continue
@@ -111,7 +118,7 @@ class Silence(StatefulProcessor):
         return self.name, labels, slot + self.lookback, slot + self.lookback + self.hold
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        slots = sorted(set(pd.concat(list(rows))["slot"]))
+        slots = sorted({slot for chunk in rows for slot in chunk["slot"]})
         last, done = self.seen.get() if self.seen.exists() else (None, False)
         out = []
         for slot in slots:

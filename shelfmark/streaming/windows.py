@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.functions.histogram import cumulative_counts
-from shelfmark.operators.metrics import windowed_rate
+from shelfmark.operators.metrics import windowed_rate, with_rate
 
 LATENESS = "10 minutes"
+_UNITS = {
+    "microsecond": 1, "millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6,
+    "day": 86400 * 10**6, "week": 7 * 86400 * 10**6,
+}
 
 
 def read_stream(
@@ -36,8 +41,38 @@ def rates(
     events: DataFrame, labels: Sequence[str], lookback: str, step: str | None = None,
     lateness: str = LATENESS,
 ) -> DataFrame:
-    """The batch ``windowed_rate`` on a stream; a window is emitted once it is closed."""
-    return windowed_rate(in_event_time(events, lateness=lateness), labels, lookback, step)
+    """The batch ``windowed_rate`` on a stream; a window is emitted once it is closed.
+
+    Sliding windows are summed from tumbling ones, so an event makes one row of state and not one per window that
+    it lies in.
+    """
+    timed = in_event_time(events, lateness=lateness)
+    if step is None:
+        return windowed_rate(timed, labels, lookback)
+    pieces = timed.groupBy(F.window("ts", common_width(lookback, step)).alias("piece"), *labels).agg(
+        F.count("*").alias("events")
+    )
+    summed = pieces.groupBy(F.window("piece", lookback, step).alias("w"), *labels).agg(
+        F.sum("events").alias("events")
+    )
+    return with_rate(summed, labels)
+
+
+def common_width(lookback: str, step: str) -> str:
+    """The widest tumbling window that windows of ``lookback`` every ``step`` are made of."""
+    wide, narrow = (microseconds_of(x) for x in (lookback, step))
+    return f"{math.gcd(wide, narrow)} microseconds"
+
+
+def microseconds_of(duration: str) -> int:
+    """Microseconds of a duration as Spark's windows take it: pairs of a number and a unit up to weeks."""
+    words = duration.lower().removeprefix("interval ").split()
+    if not words or len(words) % 2:
+        raise ValueError(f"no duration: {duration!r}")
+    total = 0
+    for number, unit in zip(words[::2], words[1::2]):
+        total += int(number) * _UNITS[unit.removesuffix("s")]
+    return total
 
 
 def histograms(

@@ -1,11 +1,12 @@
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import alerts, dashboards, metrics, series
 from shelfmark.operators.series import Series, evaluate
-from shelfmark.streaming import alerts as stream_alerts, windows
+from shelfmark.streaming import alerts as stream_alerts, walk, windows
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SHAPE = "ts timestamp, metric string, labels map<string,string>, value double"
@@ -261,3 +262,122 @@ def test_streamed_histogram(spark, tmp_path):
     for start in range(0, 4200, 600):
         inside = [r[3] for r in rows if start <= r[0] < start + 600]
         assert got[start] == (len(inside), [sum(v <= b for v in inside) for b in bounds])
+
+
+MIXED = ["SearchLatencyHighWarning", "HNSWRecallRateLow", "HNSWRecallRateCritical", "LLMErrorRateHigh", "APINoTraffic",
+         "LLMFaithfulnessLow", "EmbeddingDriftCritical", "PGBufferHitRatioLow"]
+
+
+def mixed_traffic():
+    """Files of one stream: slow searches, gauges that fall and recover, errors, and a silence."""
+    search = [(s, "search_execution_seconds", {"has_vector": "True"}, 1.5 if s < 900 else 0.1) for s in range(0, 1500, 45)]
+    recall = [(s, "hnsw_recall_rate", {"k": "5"}, v) for s, v in ((30, 0.8), (500, 0.7), (1400, 0.99), (3000, 0.5))]
+    recall += [(31, "hnsw_recall_rate", {"k": "10"}, 0.9), (1000, "pg_buffer_hit_ratio", {}, 0.5)]
+    errors = [(s, "llm_errors_total", {"model_name": "m", "error_type": "Timeout"}, 1) for s in range(200, 900, 100)]
+    errors += [(s, "llm_generation_seconds", {"model_name": "m"}, 1) for s in range(0, 2000, 25)]
+    scores = [(s, "llm_faithfulness_score", {"model_name": "m"}, 0.3) for s in range(0, 4000, 400)]
+    drift = [(700, "embedding_drift_score", {"category": "a"}, 0.3), (2600, "embedding_drift_score", {"category": "a"}, 0.0)]
+    http = [(s, "http_requests_total", {"status_code": "200"}, 1) for s in (2, 100, 1500, 1505, 2000)]
+    return [search + recall[:2], recall[2:] + errors, scores[::2] + http[:2], drift + scores[1::2] + http[2:]]
+
+
+def changes_of(batch, watermark):
+    """Rows that a stream owes by its watermark, from the firings of the whole table."""
+    step = {r.name: r.series.interval for r in alerts.RULES}
+    for r in batch:
+        started, fired_at, ended = (seconds(x) for x in (r.started_at, r.fired_at, r.ended_at))
+        if fired_at <= watermark:
+            yield r.rule, r.labels, "firing", started, fired_at, None, round(r.value, 9)
+        if ended + step[r.rule] <= watermark:
+            yield r.rule, r.labels, "resolved", started, fired_at, ended, round(r.value, 9)
+
+
+def test_streamed_rules_of_all_kinds_fire_and_end_as_in_batch(spark, tmp_path):
+    stream_alerts.use_rocksdb(spark)
+    by_time = sorted(sum(mixed_traffic(), []), key=lambda row: row[0])
+    late = [by_time[i::2] for i in range(2)]  # each half spans all times, within the bound on lateness
+    parts = [late[0], late[1], [(9000, "http_requests_total", {"status_code": "200"}, 1)]]
+    source = write_files(spark, parts, tmp_path / "in")
+    everything = observed(spark, sum(parts, []))
+    rules = [r for r in alerts.RULES if r.name in MIXED]
+    stream = walk.alert_changes(
+        windows.read_stream(spark, source, everything.schema, files_per_trigger=1), rules, lateness="2 hours"
+    )
+    got = [
+        (r.rule, r.labels, r.status, seconds(r.started_at), seconds(r.fired_at), r.ended_at and seconds(r.ended_at), round(r.value, 9))
+        for r in run(spark, stream, tmp_path).collect()
+    ]
+    want = list(changes_of(alerts.alerts_fired(everything, rules).collect(), 9000 - 7200))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r[0] for r in want} > {"SearchLatencyHighWarning", "HNSWRecallRateCritical", "APINoTraffic"}
+    assert {r[2] for r in want} == {"firing", "resolved"}
+
+
+def test_streamed_rules_go_on_by_the_clock_and_over_restarts(spark, tmp_path):
+    stream_alerts.use_rocksdb(spark)
+    everything = sorted(sum(mixed_traffic(), []), key=lambda row: row[0])
+    schema = observed(spark, everything).schema
+    rules = [r for r in alerts.RULES if r.name in MIXED]
+    source, clock = str(tmp_path / "in"), tmp_path / "clock"
+
+    def upto(first, last):
+        """Observations of a stretch of time arrive, the clock goes on, the stream is started again."""
+        rows = [r for r in everything if first <= r[0] < last]
+        observed(spark, rows).coalesce(1).write.mode("append").parquet(f"{source}/0")
+        at = F.lit(START).cast("timestamp") + F.expr(f"INTERVAL {last} SECONDS")
+        spark.range(1).select(at.alias("timestamp")).coalesce(1).write.mode("append").parquet(str(clock / "ticks"))
+        beats = windows.read_stream(spark, f"{clock}/*", spark.read.parquet(str(clock / "ticks")).schema)
+        stream = walk.alert_changes(
+            windows.read_stream(spark, f"{source}/*", schema), rules, beats=stream_alerts.as_heartbeats(beats)
+        )
+        return run(spark, stream, tmp_path).collect()
+
+    got = []
+    for first, last in ((0, 400), (400, 2500), (2500, 9000)):
+        got = upto(first, last)
+    seen = [
+        (r.rule, r.labels, r.status, seconds(r.started_at), seconds(r.fired_at), r.ended_at and seconds(r.ended_at), round(r.value, 9))
+        for r in got
+    ]
+    # the clock as an observation that no rule reads, so silence and gauges last until then
+    whole = observed(spark, [*everything, (9000, "heartbeat", {}, 1)])
+    want = list(changes_of(alerts.alerts_fired(whole, rules).collect(), 9000 - 600))
+    assert sorted(seen, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("kind", ["gauge", "silence", "rate"])
+@pytest.mark.parametrize("cuts", [[], [300], [60, 120, 180, 2400], list(range(60, 3600, 60))])
+def test_a_walk_in_pieces_is_the_whole_walk(kind, cuts):
+    rule = alerts.Rule("r", Series("s", kind, "http_requests_total", lookback=300, interval=60),
+                       "==" if kind == "silence" else ">", 0.0, 120, "warning", "t", "c")
+    points = {60: 1.0, 120: 2.0, 180: 0.0, 900: 3.0, 960: -1.0, 1020: 1.0, 2000 // 60 * 60: 0.5}
+    slots = {p: (p, v, np.array([1.0, max(v, 0.0), 0.0])) for p, v in points.items()}
+
+    def walked(stops):
+        run, seen, out = None, None, []
+        for stop in stops:
+            here = {p: v for p, v in slots.items() if p <= stop}
+            if seen is not None:
+                left = walk.still_needed(rule.series, {p: v for p, v in slots.items() if p <= seen}, seen)
+                here = {p: v for p, v in here.items() if p in left or p > seen}
+            run, changes = walk.hold(rule, run, list(walk.stretches(rule.series, here, seen, stop)), stop)
+            out, seen = out + changes, stop
+        return out
+
+    assert walked([*cuts, 3600]) == walked([3600])
+    assert walked([3600])
+
+
+def test_sliding_windows_are_summed_from_tumbling_ones(spark, tmp_path):
+    parts = [[(s, "m", {}, 1) for s in range(0, 2000, 7)], [(20000, "m", {}, 1)]]
+    source = write_files(spark, parts, tmp_path / "in")
+    everything = observed(spark, sum(parts, []))
+    stream = windows.rates(
+        windows.read_stream(spark, source, everything.schema, files_per_trigger=1), ["metric"], "5 minutes", "2 minutes"
+    )
+    got = {(seconds(r.window_start), r.events, r.per_second) for r in run(spark, stream, tmp_path).collect()}
+    batch = metrics.windowed_rate(everything, ["metric"], "5 minutes", "2 minutes").collect()
+    assert got == {(seconds(r.window_start), r.events, r.per_second) for r in batch if seconds(r.window_end) <= 19400}
+    assert windows.common_width("5 minutes", "2 minutes") == "60000000 microseconds"
+    with pytest.raises(ValueError):
+        windows.microseconds_of("minutes")
