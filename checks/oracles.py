@@ -373,9 +373,10 @@ fired AS (
 # Times are compared as UTC instants without a zone.
 _STAMP = "make_timestamp({c} * 1000000)"
 _WATERMARK = "(SELECT max(ts)::TIMESTAMP - INTERVAL 10 MINUTE FROM events)"
+# Ties of the fourth decimal go up in Spark's format, to the even binary number in DuckDB's.
 _MESSAGE = (
     "format('{}{}: {:.4f} {} {:.4f}', r.rule, CASE labels WHEN '' THEN '' ELSE ' [' || labels || ']' END,"
-    " value, compare, threshold::DOUBLE)"
+    " round(value::DECIMAL(38,12), 4)::DOUBLE, compare, threshold::DOUBLE)"
 )
 _LE_LIST = "[" + ", ".join(str(b) for b in METRICS["search_execution_seconds"].bounds) + "]"
 _RATE_WINDOWS = """
