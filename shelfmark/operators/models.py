@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark import settings
 from shelfmark.functions import vectors as V
+from shelfmark.functions.text import tokens
 from shelfmark.session import scratch_path
 
 
@@ -35,14 +36,16 @@ def hashing_encoder(
 ) -> DataFrame:
     """Default encoder: signed hashed bag of words of unit length, computed in the JVM.
 
-    Words hash into 2 * dim buckets; a component is bucket i less bucket dim + i, so it can have
-    either sign and the sign bits carry information.
+    Words fall into 2 * dim buckets by the first 32 bits of their md5, so vectors can be made again outside Spark; a
+    component is bucket i less bucket dim + i, so it can have either sign and the sign bits carry information.
     """
-    words = RegexTokenizer(
-        inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+", minTokenLength=1
+    buckets = 2 * dim
+    number = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % buckets
+    placed = df.withColumn("_words", F.transform(tokens(F.col(text)), lambda w: number(w).cast("string")))
+    counts = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(buckets)], inputCol="_words", outputCol="_counts"
     )
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=2 * dim)
-    counted = counts.transform(words.transform(df.withColumn("_text", F.coalesce(text, F.lit("")))))
+    counted = counts.transform(placed)
     halves = vector_to_array("_counts", "float32")
     signed = F.zip_with(
         F.slice("_halves", 1, dim), F.slice("_halves", dim + 1, dim), lambda a, b: a - b
@@ -51,7 +54,7 @@ def hashing_encoder(
         counted.withColumn("_halves", halves)
         .withColumn("_signed", signed)
         .withColumn(output, V.l2_normalize(F.col("_signed")))
-        .drop("_text", "_words", "_counts", "_halves", "_signed")
+        .drop("_words", "_counts", "_halves", "_signed")
     )
 
 
