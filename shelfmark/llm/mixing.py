@@ -6,8 +6,8 @@ entropy, but no smaller than the repetition limit allows: the source that would
 stay within it. Both are found by bisection on a grid of 2^-20.
 
 The weights are realised by whole documents. The documents of a source are dealt into blocks by a hash, and
-the blocks put in a random order, again and again for each epoch, until the source's budget is met; the last
-block is cut at the document that meets it. Running sums go over blocks first and then inside the one block
+each epoch of each source puts the blocks in a random order of its own (``block_order``), until the source's budget
+is met; the last block is cut at the document that meets it. Running sums go over blocks first and then inside the one block
 that is cut, so a source that holds a third of all rows is spread over as many tasks as it has blocks.
 
 Tokens are words parted by white space, and one for a text without words, so every row can be drawn; a null
@@ -107,13 +107,21 @@ def _block(key: Column, n_blocks: Column) -> Column:
     return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), n_blocks)
 
 
+def block_order(source: Column, epoch: Column, block: Column, seed: int) -> Column:
+    """What the blocks of a source are sorted by in an epoch: a permutation of its own for each."""
+    source = F.coalesce(source.cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), source, epoch.cast("string"), block.cast("string")).cast("binary"))
+
+
 def decisions(
     rows: DataFrame, target_entropy: float, repeat_limit: float, budget: int | None, seed: int
 ) -> DataFrame:
-    """``source, block, n_blocks, epochs, taken, cut``: what holds for the rows of each block.
+    """``source, block, n_blocks, epochs, taken, cut, epoch, start``: what holds for the rows of each block.
 
     ``rows`` has source, n_tokens and key. Every row is drawn ``epochs`` times, and once more if its
-    block is ``taken`` and its key not above ``cut`` (null: the whole block).
+    block is ``taken`` and its key not above ``cut`` (null: the whole block). ``epoch`` is the last that the block
+    is drawn in, from 0, and ``start`` the number of the source's tokens before it there, earlier epochs included;
+    both are null for a block that is not drawn.
     """
     sizes = materialize(source_sizes(rows))
     steps = exponent(sizes, target_entropy, repeat_limit)
@@ -132,20 +140,27 @@ def decisions(
         F.floor(F.col("power") * F.lit(scale) + 0.5).cast("long").alias("budget"),
     ).select(
         "source", "n_blocks", "budget",
-        F.expr("budget div of").alias("epochs"), F.expr("budget % of").alias("rest"),
+        "of", F.expr("budget div of").alias("epochs"), F.expr("budget % of").alias("rest"),
     )
     placed = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("block", _block(F.col("key"), F.col("n_blocks")))
-    blocks = placed.groupBy("source", "block", "n_blocks", "epochs", "rest").agg(
+    blocks = placed.groupBy("source", "block", "n_blocks", "of", "epochs", "rest").agg(
         F.sum("n_tokens").alias("in_block")
     )
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "block").cast("binary"))
-    before = Window.partitionBy("source").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("in_block").over(before), F.lit(0)))
+
+    def before(epoch: Column) -> Column:
+        order = block_order(F.col("source"), epoch, F.col("block"), seed)
+        earlier = Window.partitionBy("source").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("in_block").over(earlier), F.lit(0))
+
+    # the epoch that the budget cuts, and the whole one before it
+    blocks = blocks.withColumn("before", before(F.col("epochs"))).withColumn("whole", before(F.col("epochs") - 1))
     blocks = blocks.withColumn("taken", F.col("before") < F.col("rest")).withColumn(
         "is_cut", F.col("taken") & (F.col("before") + F.col("in_block") > F.col("rest"))
     )
-    blocks = materialize(blocks)
+    last = F.when(F.col("taken"), F.col("epochs")).when(F.col("epochs") > 0, F.col("epochs") - 1)
+    start = last * F.col("of") + F.when(F.col("taken"), F.col("before")).otherwise(F.col("whole"))
+    blocks = materialize(blocks.withColumn("epoch", last).withColumn("start", start))
     cut = blocks.filter("is_cut").select(
         F.col("source").alias("s"), F.col("block").alias("b"), (F.col("rest") - F.col("before")).alias("left")
     )
@@ -160,7 +175,7 @@ def decisions(
     )
     return blocks.join(
         cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left"
-    ).select("source", "block", "n_blocks", "epochs", "taken", "cut")
+    ).select("source", "block", "n_blocks", "epochs", "taken", "cut", "epoch", "start")
 
 
 def draws(
@@ -170,11 +185,14 @@ def draws(
     """``docs`` (with doc_id, text and source) and how often each row is drawn.
 
     Without a budget in tokens, the smallest one is used under which every document is drawn at least
-    once. With a smaller one, documents of sources over their budget are drawn less often or not at all.
+    once. With a smaller one, documents of sources over their budget are drawn less often or not at all. Next to
+    ``into`` come its tokens, block, and the block's ``epoch`` and ``start`` as in ``decisions``, under names that begin
+    with ``into``; columns of ``docs`` with these names are replaced.
     Runs small jobs at once: those that find the exponent and the blocks to cut.
     """
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c != into]
+    made = {f"__{c}": f"{into}_{c}" for c in ("tokens", "at", "epoch", "start")} | {"__at": f"{into}_block"}
+    columns = [c for c in docs.columns if c not in (into, *made.values())]
     keyed = _keys(docs, seed)
     path = scratch_path(spark, "mixing")
     keyed.select("source", F.col("__tokens").alias("n_tokens"), F.col("__key").alias("key")).write.parquet(path)
@@ -192,12 +210,18 @@ def draws(
     return joined.select(
         *columns,
         (F.col("__epochs") + F.when(more, 1).otherwise(0)).cast("long").alias(into),
-        F.col("__tokens"), F.col("__at"),
-    ).withColumnsRenamed({"__tokens": f"{into}_tokens", "__at": f"{into}_block"})
+        *made,
+    ).withColumnsRenamed(made)
+
 
+def mix(docs: DataFrame, epoch: str | None = None, order: str | None = None, **options) -> DataFrame:
+    """The mixture: each row as often as it is drawn, with the columns of ``docs``.
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: each row as often as it is drawn, with the columns of ``docs``."""
+    ``epoch`` and ``order`` name columns to add: the epoch of a copy, from 0, and what its block is sorted by there.
+    Sorted by source, epoch and order, the copies stand as the permutations have them.
+    """
     drawn = draws(docs, "__draws", **options).filter("__draws > 0")
-    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__draws"))))
-    return copies.select(*docs.columns)
+    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__draws") - 1)))
+    place = block_order(F.col("source"), F.col("__copy"), F.col("__draws_block"), options.get("seed", SEED))
+    added = {name: c.alias(name) for name, c in ((epoch, F.col("__copy")), (order, place)) if name}
+    return copies.select(*[c for c in docs.columns if c not in added], *added.values())

@@ -112,6 +112,11 @@ def _op5() -> str:
           h := ln(sum(p)) - sum(p * ln(p)) / sum(p), r := max(p / n_tokens) / min(p / n_tokens))
         FROM (SELECT n_tokens, pow(n_tokens / (SELECT t FROM told), {k} / {steps}.0) AS p FROM sizes))"""
 
+    def before(epoch: str) -> str:  # tokens of the source's blocks before this one in an epoch
+        return f"""coalesce(sum(n) OVER (PARTITION BY source
+      ORDER BY md5('{mixing.SEED}:' || coalesce(source, '') || ':' || ({epoch})::BIGINT || ':' || block), block
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"""
+
     return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, greatest(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')), 1) AS n_tokens,
@@ -140,21 +145,22 @@ plan AS (
 ),
 placed AS (
   SELECT doc_id, d.source, n_tokens, key, ('0x' || substr(key, 1, 8))::BIGINT % n_blocks AS block,
-    budget // of_tokens AS epochs, budget % of_tokens AS rest
+    of_tokens, budget // of_tokens AS epochs, budget % of_tokens AS rest
   FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
 ),
 blocks AS (
-  SELECT source, block, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5('{mixing.SEED}:' || block), block
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM (SELECT source, block, sum(n_tokens) AS n FROM placed GROUP BY source, block)
+  SELECT source, block, {before("epochs")} AS before, {before("epochs - 1")} AS whole
+  FROM (SELECT source, block, epochs, sum(n_tokens) AS n FROM placed GROUP BY source, block, epochs)
 ),
 run AS (
-  SELECT placed.*, before + coalesce(sum(n_tokens) OVER (PARTITION BY placed.source, placed.block ORDER BY key
+  SELECT placed.*, before, whole, before < rest AS taken, before + coalesce(sum(n_tokens) OVER (PARTITION BY placed.source, placed.block ORDER BY key
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
   FROM placed JOIN blocks ON placed.source IS NOT DISTINCT FROM blocks.source AND placed.block = blocks.block
 )
 SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, block,
-  (epochs + CASE WHEN reached < rest THEN 1 ELSE 0 END)::BIGINT AS draws
+  (epochs + CASE WHEN reached < rest THEN 1 ELSE 0 END)::BIGINT AS draws,
+  (CASE WHEN taken THEN epochs WHEN epochs > 0 THEN epochs - 1 END)::BIGINT AS epoch,
+  (CASE WHEN taken THEN epochs * of_tokens + before WHEN epochs > 0 THEN (epochs - 1) * of_tokens + whole END)::BIGINT AS start
 FROM run"""
 
 

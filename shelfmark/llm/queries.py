@@ -61,7 +61,8 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.draws(docs).select(
-        "doc_id", "source", F.col("draws_tokens").alias("n_tokens"), F.col("draws_block").alias("block"), "draws"
+        "doc_id", "source", F.col("draws_tokens").alias("n_tokens"), F.col("draws_block").alias("block"), "draws",
+        F.col("draws_epoch").alias("epoch"), F.col("draws_start").alias("start"),
     )
 
 

@@ -192,7 +192,8 @@ def test_secrets_in_odd_rows(spark, small):
 
 def test_mixing_agrees_with_sql_and_keeps_odd_rows(small):
     got = mixing.draws(small)
-    out = got.select("doc_id", "source", F.col("draws_tokens").alias("n_tokens"), F.col("draws_block").alias("block"), "draws")
+    renamed = {f"draws_{a}": b for a, b in (("tokens", "n_tokens"), ("block", "block"), ("epoch", "epoch"), ("start", "start"))}
+    out = got.withColumnsRenamed(renamed).select("doc_id", "source", "draws", *renamed.values())
     same_in_sql(small, oracles.all_sql()["op5_mixing"], out)
     assert out.filter("draws < 1").count() == 0
     assert set(mixing.mix(small).columns) == set(small.columns)
@@ -219,6 +220,54 @@ def test_weights_meet_limits_and_budgets(spark, monkeypatch):
     assert 2000 <= total <= 2000 + 6 * 7
 
 
+def test_every_epoch_has_an_order_of_blocks_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
+    rows = [(i, "w " * (1 + i % 5), "big" if i % 10 else None, "x", 7) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, draws_tokens string, draws_epoch int")
+    options = {"target_entropy": 1.0, "repeat_limit": 50.0}
+    drawn = mixing.draws(docs, **options)
+    assert len(set(drawn.columns)) == len(drawn.columns)
+    tokens = {r["doc_id"]: (r["draws_tokens"], r["draws_block"], r["draws"], r["draws_epoch"], r["draws_start"]) for r in drawn.collect()}
+    copies = mixing.mix(docs, "epoch", "order", **options).collect()
+    assert Counter(r["doc_id"] for r in copies) == {i: t[2] for i, t in tokens.items()}
+    orders = {}
+    for source in ("big", None):
+        own = sorted((r for r in copies if r["source"] == source), key=lambda r: (r["epoch"], r["order"]))
+        reached, starts = 0, {}
+        for r in own:  # walk through the copies as the permutations have them
+            starts.setdefault((tokens[r["doc_id"]][1], r["epoch"]), reached)
+            reached += tokens[r["doc_id"]][0]
+            order = orders.setdefault((source, r["epoch"]), [])
+            if tokens[r["doc_id"]][1] not in order:
+                order.append(tokens[r["doc_id"]][1])
+        for r in own:
+            _, block, _, epoch, start = tokens[r["doc_id"]]
+            assert starts[block, epoch] == start
+    first, second = orders[None, 0], orders[None, 1]
+    assert len(first) > 2 and sorted(first) == sorted(second) and first != second
+
+
+def test_fit_is_the_ridge_solution_of_all_rows(spark):
+    """The sums of the tasks against a least-squares fit of the stacked rows, and the steps against min-max means."""
+    rng = np.random.default_rng(4)
+    stats = rng.normal(size=(300, len(quality_classifier.NAMES)))
+    y = (stats[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(s.tolist(), float(v)) for s, v in zip(stats, y)], "stats array<double>, y double")
+    model = quality_classifier.fit(rows.repartition(7))
+    z = quality_classifier.fourier((stats - stats.mean(axis=0)) / stats.std(axis=0))
+    free = np.sqrt(quality_classifier.RIDGE * len(y) / quality_classifier.N_FOURIER) * np.eye(z.shape[1])
+    free[-1, -1] = 0.0
+    want = np.linalg.lstsq(np.vstack([z, free]), np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    bins = np.rint(np.clip(z @ want, 0, 1) / quality_classifier.BIN).astype(int)
+    at = np.unique(bins)
+    total = np.array([y[bins == b].sum() for b in at])
+    count = np.array([(bins == b).sum() for b in at])
+    mean = lambda i, j: total[i:j + 1].sum() / count[i:j + 1].sum()
+    closest = [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    assert np.allclose(np.interp(at * quality_classifier.BIN, model.steps_at, model.steps), closest, atol=1e-6)
+
+
 def test_rising_steps_are_the_closest():
     at, steps = quality_classifier.rising_steps(np.arange(5.0), np.array([0.0, 0.6, 0.2, 0.9, 0.8]), np.array([1, 1, 3, 2, 2.0]))
     assert list(np.interp(np.arange(5.0), at, steps)) == pytest.approx([0, 0.3, 0.3, 0.85, 0.85])
