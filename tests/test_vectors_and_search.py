@@ -125,6 +125,23 @@ def test_blocks_are_bounded_and_hold_every_query_once(spark):
     assert B._numbered_blocks(asked.limit(0), 4)[1] == 0
 
 
+def test_blocks_are_as_few_as_hold_the_queries(spark):
+    asked = spark.range(0, 10, 1, 5).select(F.col("id").alias("query_id"))
+    numbered, blocks = B._numbered_blocks(asked, 4)
+    assert blocks == 3 and numbered.groupBy("_block").count().orderBy("_block").collect() == [(0, 4), (1, 4), (2, 2)]
+    assert not any("/_block=" in f for f in numbered.inputFiles())
+
+
+def test_rows_without_a_vector_take_no_part_in_batch_search(spark, embeddings):
+    first = embeddings.orderBy("parent_asin").limit(30)
+    odd = first.withColumn("embedding", F.when(F.substring("parent_asin", 4, 1) != "7", F.col("embedding")))
+    asked = odd.filter("parent_asin < 'K009'").select(F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector"))
+    found = B.semantic_search_batch(odd, asked, dim=DIM, top_k=27, oversample=1).collect()
+    names = {r.parent_asin for r in odd.filter("embedding IS NOT NULL").collect()}
+    assert len(names) == 27 and {r.query_id for r in found} == {f"K00{i}" for i in range(9) if i != 7}
+    assert all({r.parent_asin for r in found if r.query_id == q} == names for q in {r.query_id for r in found})
+
+
 @pytest.mark.parametrize("mode", ["post", "pre"])
 def test_batch_search_with_products_is_the_single_search_for_each(spark, embeddings, products, mode):
     asked = embeddings.filter("parent_asin < 'K004'").select(
