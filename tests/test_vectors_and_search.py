@@ -297,6 +297,14 @@ def test_half_and_text(spark):
     assert spark.range(1).select(V.parse_vector(F.lit(text))).first()[0] == pytest.approx([0.1, -2.5, 70000.0])
 
 
+def test_vector_text_rounds_halves_to_even(spark):
+    values = [k / 128 for k in range(-9, 10)] + [-0.0703125, 3.2890625, -1e-8, 0.1, 1e-7, 5e-7, 12345.0078125]
+    values += np.random.default_rng(4).normal(size=200).astype(np.float32).tolist()
+    df = spark.createDataFrame([(values,)], "v array<float>")
+    want = "[" + ",".join(f"{float(np.float32(x)):.6f}" for x in values) + "]"
+    assert df.select(V.vector_text(F.col("v"))).first()[0] == want
+
+
 def test_best_rows_are_the_smallest_and_ties_go_by_key():
     keys = np.array(["b", "a", "d", "c"], object)
     assert B._best(keys, np.array([1.0, 1.0, 0.5, 2.0]), 2).tolist() == [2, 1]
