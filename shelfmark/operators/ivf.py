@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from shelfmark import settings
 from shelfmark.functions import vectors as V
-from shelfmark.operators.batch_search import _cosine_block, _TopK
+from shelfmark.operators.batch_search import QUERY_BLOCK, _best, _cosine_block
 from shelfmark.operators.ranking import top_rows
 from shelfmark.session import materialize, scratch_path
 
 MAX_LISTS = 4096  # centroids held by every task: 12 MB at 384 dimensions
 ROWS_PER_PART = 250_000  # rows of a list that one file holds
-BLOCK_PROBES = 4096  # pairs of a query and a list that are sent to all tasks at a time
+BLOCK_PROBES = 4096  # pairs of a query and a list that a task compares at a time, as far as QUERY_BLOCK allows
+CELL_PROBES = 8192  # pairs of a query and a list that one task gets
+CELL_ROWS = 16_384  # rows of a list that one task gets; with QUERY_BLOCK probes, scores of 33 MB
+MAX_CELL_TASKS = 4096
 
 
 def fit_centroids(
@@ -147,9 +150,9 @@ def ivf_search_batch(
 ) -> DataFrame:
     """``ivf_search`` for a table of queries (query_id, vector): (query_id, parent_asin, _distance, list_id, _rank).
 
-    Probes are put together by list. A block of them goes to all tasks, which read the block's lists and no others and
-    keep ``top_k`` rows per probe; a list is read once for every ``block_probes`` queries that probe it, and
-    vectors are never shuffled. Runs the jobs of all blocks at once.
+    Probes meet the rows of their list in cells of about ``CELL_ROWS`` rows and ``CELL_PROBES`` probes, one job for all of
+    them. Lists that nobody asks for are not read; a row is sent once for every ``CELL_PROBES`` probes of its list, and a
+    cell compares ``block_probes`` of them at a time and gives ``top_k`` rows per probe.
     """
     settings.bounded("top_k", top_k, 1, settings.MAX_TOP_K)
     id_type = queries.schema["query_id"].dataType.simpleString()
@@ -159,38 +162,46 @@ def ivf_search_batch(
     counts = [tuple(r) for r in asked.groupBy("list_id").agg(F.count("*").alias("n")).orderBy("list_id").collect()]
     if not counts:
         return spark.createDataFrame([], f"query_id {id_type}, parent_asin string, _distance double, list_id int, _rank int")
-    stored = spark.read.parquet(path).select("parent_asin", "embedding", "list_id")
+    chunks = {i: n for block in _probe_blocks(counts, CELL_PROBES) for i, _, n in block}
+    stored = spark.read.parquet(path).select("parent_asin", "embedding", "list_id").filter(F.col("list_id").isin(list(chunks)))
+    sizes = {r["list_id"]: r["count"] for r in stored.groupBy("list_id").count().collect()}
+    shape = [(i, -(-n // CELL_ROWS), chunks[i]) for i, n in sizes.items()]
+    cells = sum(groups * n for _, groups, n in shape)
+    shaped = F.broadcast(spark.createDataFrame(shape, "list_id int, _groups int, _chunks int"))
+    group, chunk = F.pmod(F.xxhash64("parent_asin"), "_groups"), F.pmod(F.xxhash64("query_id"), "_chunks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["list_id", "_group", "_chunk"]
+    # A number of tasks that follows the work, which the adaptive merge of small partitions doesn't see.
+    tasks = min(max(2 * spark.sparkContext.defaultParallelism, cells), MAX_CELL_TASKS)
+    rows = stored.join(shaped, "list_id").select("parent_asin", "embedding", "list_id", group.cast("int").alias("_group"), every("_chunks").alias("_chunk"))
+    sent = asked.join(shaped, "list_id").select("query_id", "vector", "list_id", chunk.cast("int").alias("_chunk"), every("_groups").alias("_group"))
+
+    def compare(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if held.empty or wanted.empty:
+            return pd.DataFrame({"query_id": [], "parent_asin": [], "_score": [], "list_id": []})
+        keys, points = held["parent_asin"].to_numpy(), _points(held["embedding"])
+        ids, found = wanted["query_id"].to_numpy(), []
+        step = min(block_probes, QUERY_BLOCK)
+        for start in range(0, len(ids), step):
+            for scores in _cosine_block(_points(wanted["vector"].iloc[start : start + step]), points):
+                best = _best(keys, scores, top_k)
+                found.append((keys[best], scores[best]))
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat(ids, [len(k) for k, _ in found]),
+                "parent_asin": np.concatenate([k for k, _ in found]),
+                "_score": np.concatenate([s for _, s in found]),
+            }
+        ).assign(list_id=held["list_id"].iloc[0])
+
+    met = rows.repartition(tasks, *key).groupBy(*key).cogroup(sent.repartition(tasks, *key).groupBy(*key))
     found = scratch_path(spark, "probed")
-    chunk_of = F.xxhash64("query_id")
-    tasks = max(2 * spark.sparkContext.defaultParallelism, 1)
     order = [F.col("_score").asc(), F.col("parent_asin").asc()]
-    for number, block in enumerate(_probe_blocks(counts, block_probes)):
-        wanted = F.lit(False)
-        for list_id, chunk, chunks in block:
-            wanted |= (F.col("list_id") == list_id) & (F.pmod(chunk_of, F.lit(chunks)) == chunk)
-        frame = asked.filter(wanted).toPandas()  # one block
-        groups = {
-            int(i): (g["query_id"].to_numpy(), np.stack([np.asarray(v, np.float64) for v in g["vector"]]))
-            for i, g in frame.groupby("list_id")
-        }
-        shared = spark.sparkContext.broadcast(groups)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared, kind=frame["query_id"].dtype) -> Iterator[pd.DataFrame]:
-            tops: dict[int, _TopK] = {}
-            for batch in batches:
-                for i, rows in batch.groupby("list_id"):
-                    if i not in tops:
-                        tops[i] = _TopK(*shared.value[i], top_k, _cosine_block)
-                    points = np.stack([np.asarray(v, np.float64) for v in rows["embedding"]])
-                    tops[i].add(rows["parent_asin"].to_numpy(), points)
-            for i, top in tops.items():
-                yield top.frame(kind).assign(list_id=i)
-
-        read = stored.filter(F.col("list_id").isin(list(groups)))
-        best = read.coalesce(tasks).mapInPandas(scan, schema)
-        top_rows(best, ["query_id", "list_id"], order, top_k).drop("_pos").write.parquet(f"{found}/block={number}")
-        shared.destroy()
-    rows = spark.read.schema(f"{schema}, block int").parquet(found).drop("block")
-    best = top_rows(rows, ["query_id"], order, top_k)
+    top_rows(met.applyInPandas(compare, schema), ["query_id"], order, top_k).write.parquet(found)
+    best = spark.read.schema(f"{schema}, _pos int").parquet(found)
     distance = F.when(F.col("_score") != float("inf"), F.col("_score")).otherwise(F.lit(float("nan")))
     return best.select("query_id", "parent_asin", distance.alias("_distance"), "list_id", F.col("_pos").alias("_rank"))
+
+
+def _points(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in column])

@@ -241,6 +241,29 @@ def test_ivf_for_many_queries(spark, embeddings, points, tmp_path, probes, block
     assert none.collect() == [] and none.columns == ["query_id", "parent_asin", "_distance", "list_id", "_rank"]
 
 
+def test_probed_lists_are_met_in_one_job_whatever_the_block(spark, embeddings, tmp_path, monkeypatch):
+    lists = ivf.fit_centroids(embeddings, lists=4, max_iter=5)
+    path = str(tmp_path / "lists")
+    ivf.write_lists(ivf.assign_lists(embeddings, lists), path, rows_per_part=30)
+    asked = embeddings.select(F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector"))
+
+    def jobs(count, tag):
+        spark.sparkContext.setJobGroup(tag, tag)
+        found = ivf.ivf_search_batch(spark, path, lists, asked.limit(count), probes=2, top_k=5, block_probes=4)
+        made = len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return made, found.orderBy("query_id", "_rank").collect()
+
+    few, _ = jobs(4, "few")
+    many, want = jobs(N, "many")
+    assert many <= few + 4 and len(want) == 5 * N  # 4 probes a block would make about 150 blocks
+    monkeypatch.setattr(ivf, "CELL_ROWS", 17)
+    monkeypatch.setattr(ivf, "CELL_PROBES", 23)
+    _, got = jobs(N, "cells")
+    plain = lambda rows: [(r.query_id, r.parent_asin, r.list_id, r._rank) for r in rows]
+    assert plain(got) == plain(want) and [r._distance for r in got] == pytest.approx([r._distance for r in want], abs=1e-12)
+
+
 def test_probe_blocks():
     assert ivf._probe_blocks([(1, 3), (2, 5), (3, 1)], 4) == [[(1, 0, 1)], [(2, 0, 2)], [(2, 1, 2), (3, 0, 1)]]
     assert ivf._probe_blocks([(7, 2), (9, 2)], 4) == [[(7, 0, 1), (9, 0, 1)]]
