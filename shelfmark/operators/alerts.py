@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from shelfmark.operators.series import Series, gauge_series, slot_counts, windowed_series
+from shelfmark.operators.series import Series, gauge_series, slot_counts, windowed_values
+from shelfmark.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -164,11 +165,15 @@ def silent_runs(observations: DataFrame, s: Series, until: Column | None = None)
     """
     if until is None:
         until = observations.agg(F.max(F.unix_seconds("ts"))).scalar()
+    return _silent(slot_counts(observations, [s]), s, until)
+
+
+def _silent(slots: DataFrame, s: Series, until: Column) -> DataFrame:
     after = F.lit(s.interval) * (F.floor(until / F.lit(s.interval)) + 2)
-    slots = slot_counts(observations, [s]).select("labels", "slot")  # one bucket, so slots are distinct
     nxt = F.lead("slot").over(Window.partitionBy("labels").orderBy("slot"))
     return (
-        slots.withColumn("_next", F.coalesce(nxt, after))
+        slots.select("labels", "slot").distinct()
+        .withColumn("_next", F.coalesce(nxt, after))
         .filter(F.col("_next") - F.col("slot") > s.lookback)
         .select(
             "labels",
@@ -178,11 +183,11 @@ def silent_runs(observations: DataFrame, s: Series, until: Column | None = None)
     )
 
 
-def _runs_of_silence(observations: DataFrame, rule: Rule) -> DataFrame:
+def _runs_of_silence(slots: DataFrame, rule: Rule, until: Column) -> DataFrame:
     interval = rule.series.interval
     fired = F.col("started") + -(-rule.hold // interval) * interval
     return (
-        silent_runs(observations, rule.series)
+        _silent(slots, rule.series, until)
         .withColumn("fired", fired)
         .filter(F.col("fired") <= F.col("ended"))
         .select(
@@ -219,22 +224,41 @@ def route(fired: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
     )
 
 
+def _stored_slots(observations: DataFrame, series: Sequence[Series]) -> tuple[DataFrame, Column]:
+    """The ``slot_counts`` of the series, stored, and the second of the newest observation of any metric, seen on the way."""
+    spark = observations.sparkSession
+    seen, path = Observation(), scratch_path(spark, "slots")
+    watched = observations.observe(seen, F.max(F.unix_seconds("ts")).alias("newest"))
+    slots = slot_counts(watched, series)
+    slots.write.parquet(path)
+    return spark.read.schema(slots.schema).parquet(path), F.lit(seen.get["newest"]).cast("bigint")
+
+
 def alerts_fired(observations: DataFrame, rules: Sequence[Rule] = tuple(RULES)) -> DataFrame:
-    """Every firing of every rule: when its condition began, when it fired, when it last held."""
+    """Every firing of every rule: when its condition began, when it fired, when it last held.
+
+    The observations are read once for all windowed and silence rules, and once more for the gauges. Runs the job of
+    the first reading, whose sums are stored: they follow the time span and not the traffic.
+    """
 
     def of(kinds) -> tuple[list[Rule], list[Series]]:
         chosen = [r for r in rules if kinds(r.series.kind)]
         return chosen, list({r.series.name: r.series for r in chosen}.values())
 
-    parts = []
     windowed, series = of(lambda k: k not in ("gauge", "silence"))
+    silent, quiet = of(lambda k: k == "silence")
+    gauges, settings = of(lambda k: k == "gauge")
+    if series or quiet:
+        slots, newest = _stored_slots(observations, [*series, *quiet])
+    else:
+        newest = observations.agg(F.max(F.unix_seconds("ts"))).scalar()
+    parts = []
     if windowed:
-        parts.append(_runs_of_ticks(windowed_series(observations, series), windowed))
-    gauges, series = of(lambda k: k == "gauge")
+        names = [s.name for s in series]
+        parts.append(_runs_of_ticks(windowed_values(slots.filter(F.col("series").isin(names)), series), windowed))
     if gauges:
-        newest = observations.agg(F.max(F.unix_seconds("ts"))).scalar()
-        parts.append(_runs_of_gauges(gauge_series(observations, series), gauges, newest))
-    parts += [_runs_of_silence(observations, r) for r in rules if r.series.kind == "silence"]
+        parts.append(_runs_of_gauges(gauge_series(observations, settings), gauges, newest))
+    parts += [_runs_of_silence(slots.filter(F.col("series") == r.series.name), r, newest) for r in silent]
     fired = parts[0]
     for p in parts[1:]:
         fired = fired.unionByName(p)

@@ -176,7 +176,12 @@ def slot_counts(observations: DataFrame, series: Sequence[Series]) -> DataFrame:
 
 
 def windowed_series(observations: DataFrame, series: Sequence[Series]) -> DataFrame:
-    """Values of the quantile, rate and ratio series: (series, labels, interval, tick, value).
+    """Values of the quantile, rate and ratio series: (series, labels, interval, tick, value)."""
+    return windowed_values(slot_counts(observations, series), series)
+
+
+def windowed_values(slots: DataFrame, series: Sequence[Series]) -> DataFrame:
+    """``windowed_series`` from the ``slot_counts`` of its series.
 
     A quantile is read off in the one bucket of a tick that the rank falls into; the other kinds
     have a single bucket.
@@ -184,8 +189,7 @@ def windowed_series(observations: DataFrame, series: Sequence[Series]) -> DataFr
     last = F.col("slot") + F.col("lookback") - F.col("interval")
     reached = F.sequence(F.col("slot"), last, F.col("interval").cast("bigint"))
     ticks = (
-        slot_counts(observations, series)
-        .withColumn("tick", F.explode(reached))
+        slots.withColumn("tick", F.explode(reached))
         .groupBy("series", "labels", "interval", "lookback", "tick", "bucket")
         .agg(*[F.sum(c).alias(c) for c in sums()])
     )

@@ -381,3 +381,19 @@ def test_sliding_windows_are_summed_from_tumbling_ones(spark, tmp_path):
     assert windows.common_width("5 minutes", "2 minutes") == "60000000 microseconds"
     with pytest.raises(ValueError):
         windows.microseconds_of("minutes")
+
+
+def test_alert_rules_read_the_observations_twice_at_most(spark):
+    rows = [(60.0 * i, "http_requests_total", {"method": "GET", "endpoint": "/a", "status_code": "500"}, 1.0) for i in range(40)]
+    rows += [(60.0 * i, "pg_buffer_hit_ratio", {}, 0.5) for i in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    whole = observed(spark, rows)
+    fired = alerts.alerts_fired(whole.mapInPandas(count, whole.schema)).collect()
+    assert {r.rule for r in fired} >= {"APIHighErrorRate", "PGBufferHitRatioLow"}
+    assert seen.value <= 2 * len(rows)
