@@ -178,7 +178,7 @@ def ivf_search_batch(
 
     def compare(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if held.empty or wanted.empty:
-            return pd.DataFrame({"query_id": [], "parent_asin": [], "_score": [], "list_id": []})
+            return pd.DataFrame()  # no columns: Arrow doesn't take an empty one of numbers for text
         keys, points = held["parent_asin"].to_numpy(), _points(held["embedding"])
         ids, found = wanted["query_id"].to_numpy(), []
         step = min(block_probes, QUERY_BLOCK)

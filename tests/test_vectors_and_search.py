@@ -142,6 +142,27 @@ def test_rows_without_a_vector_take_no_part_in_batch_search(spark, embeddings):
     assert all({r.parent_asin for r in found if r.query_id == q} == names for q in {r.query_id for r in found})
 
 
+def test_batch_search_of_a_corpus_with_empty_parts(spark, embeddings):
+    few = embeddings.filter("parent_asin < 'K003'").repartition(64, "parent_asin")
+    assert few.withColumn("p", F.spark_partition_id()).select("p").distinct().count() <= 3
+    asked = few.select(F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector"))
+    found = B.semantic_search_batch(few, asked, dim=DIM, top_k=3, oversample=1).collect()
+    assert {(r.query_id, r.parent_asin) for r in found} == {(f"K00{a}", f"K00{b}") for a in range(3) for b in range(3)}
+    assert B.exact_search_batch(few, asked, top_k=3).count() == 9
+
+
+def test_ivf_cells_that_probes_or_rows_are_missing_from(spark, embeddings, tmp_path, monkeypatch):
+    """Two rows and two probes dealt to many cells by hash: most hold one side only."""
+    monkeypatch.setattr(ivf, "CELL_ROWS", 1)
+    monkeypatch.setattr(ivf, "CELL_PROBES", 1)
+    few = embeddings.filter("parent_asin < 'K006'").select("parent_asin", "embedding")
+    lists = embeddings.filter("parent_asin = 'K000'").select(F.lit(0).alias("list_id"), F.col("embedding").alias("centroid"))
+    ivf.write_lists(ivf.assign_lists(few, lists), str(tmp_path / "lists"))
+    asked = few.select(F.col("parent_asin").alias("query_id"), F.col("embedding").alias("vector"))
+    found = ivf.ivf_search_batch(spark, str(tmp_path / "lists"), lists, asked, top_k=6).collect()
+    assert len({(r.query_id, r.parent_asin) for r in found}) == len(found) == 36
+
+
 @pytest.mark.parametrize("mode", ["post", "pre"])
 def test_batch_search_with_products_is_the_single_search_for_each(spark, embeddings, products, mode):
     asked = embeddings.filter("parent_asin < 'K004'").select(
