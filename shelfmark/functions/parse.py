@@ -15,17 +15,23 @@ def parse_price(raw: Column) -> Column:
     return F.nullif(number, F.lit("")).try_cast("decimal(10,2)")
 
 
+# A date needs at least year, month and day; no number begins like that.
+_DATE = r"^\d{4}-\d{2}-\d{2}"
+
+
 def epoch_ms(raw: Column) -> Column:
-    """The raw timestamp as a whole number of milliseconds, null for any other text."""
-    return raw.try_cast("decimal(24,6)").try_cast("bigint")
+    """The raw timestamp as a whole number of milliseconds, null for any other text.
+
+    Dates are not tried, as each failed cast to a decimal makes and catches an exception.
+    """
+    return F.when(~raw.rlike(_DATE), raw.try_cast("decimal(24,6)").try_cast("bigint"))
 
 
 def parse_time(raw: Column) -> Column:
     """Epoch milliseconds, else ISO-8601 (``Z`` accepted), else null."""
     ms = epoch_ms(raw)
     in_range = F.when(ms.between(FIRST_MS, LAST_MS), ms)
-    # A date needs at least year, month and day; bare numbers are handled above.
-    iso = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(raw))
+    iso = F.when(raw.rlike(_DATE), F.try_to_timestamp(raw))
     return F.coalesce(F.timestamp_millis(in_range), iso)
 
 
