@@ -9,7 +9,7 @@ fires and a row when it has ended. State per key: the slots of one lookback and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ from shelfmark.streaming.windows import LATENESS, in_event_time
 CHANGED = "rule string, labels string, status string, started bigint, fired bigint, ended bigint, value double"
 FIRING, RESOLVED = "firing", "resolved"
 
+PIECE_SLOTS = 10_000  # slots of a key that a micro-batch brings and that are walked through at a time
+
 # A stretch of ticks with one value: first tick, last tick, value.
 Stretch = tuple[int, int, float | None]
 
@@ -163,6 +165,33 @@ def wakes(s: Series, rules: Sequence[Rule], slots: dict[int, tuple], runs: dict[
     return times + [fires_at(r, runs[r.name][0]) for r in rules if r.name in runs and not runs[r.name][2]]
 
 
+def pieces(rows: Iterator[pd.DataFrame], step: int) -> Iterator[list[tuple]]:
+    """Slots of a key as (end, at, setting, sums), in order of their ends and some at a time; ends are multiples of ``step``.
+
+    What has arrived is held in arrays, a fifth of what it takes as objects. Slots of one end are in one piece.
+    """
+    chunks = [
+        (c["slot"].to_numpy(np.int64), c["at"].to_numpy(np.int64), c["setting"].to_numpy(float), np.stack(c["sums"].to_list()))
+        for c in rows if len(c)
+    ]
+    if not chunks:
+        return
+    ends = -(-np.concatenate([c[0] for c in chunks]) // step) * step
+    starts = np.cumsum([0, *(len(c[0]) for c in chunks)])
+    order = np.argsort(ends, kind="stable")
+    first = 0
+    while first < len(order):
+        last = min(first + PIECE_SLOTS, len(order)) - 1
+        after = int(np.searchsorted(ends, ends[order[last]], side="right", sorter=order))
+        at = order[first:after]
+        which = np.searchsorted(starts, at, side="right") - 1
+        yield [
+            (int(ends[i]), int(chunks[c][1][r]), float(chunks[c][2][r]), chunks[c][3][r].astype(float))
+            for i, c, r in zip(at.tolist(), which.tolist(), (at - starts[which]).tolist())
+        ]
+        first = after
+
+
 class Walk(StatefulProcessor):
     """Goes forward in time with the watermark for one series and label set."""
 
@@ -177,37 +206,45 @@ class Walk(StatefulProcessor):
         self.runs = handle.getListState("runs", "rule string, started bigint, last bigint, fired bigint, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        step = self.series[key[0]].interval
-        slots = self._slots()
-        for chunk in rows:
-            for slot, at, setting, amounts in zip(chunk["slot"], chunk["at"], chunk["setting"], chunk["sums"]):
-                end = int(-(-slot // step) * step)
-                new = (int(at), float(setting), np.asarray(amounts, dtype=float))
-                held = slots.get(end)
-                if held is not None:
-                    new = (*max(held[:2], new[:2]), held[2] + new[2])
-                slots[end] = new
-        yield from self._forward(key, slots, timerValues)
+        yield from self._forward(key, pieces(rows, self.series[key[0]].interval), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._forward(key, self._slots(), timerValues)
+        yield from self._forward(key, (), timerValues)
 
     def _slots(self) -> dict[int, tuple]:
         return {r[0]: (r[1], r[2], np.asarray(r[3], dtype=float)) for r in self.slots.get()}
 
-    def _forward(self, key, slots: dict[int, tuple], timerValues) -> Iterator[pd.DataFrame]:
+    def _forward(self, key, arrived: Iterable[list[tuple]], timerValues) -> Iterator[pd.DataFrame]:
         s, rules = self.series[key[0]], self.rules[key[0]]
         upto = int(timerValues.getCurrentWatermarkInMs() // 1000 // s.interval * s.interval)
         seen = self.seen.get()[0] if self.seen.exists() else None
-        found = list(stretches(s, slots, seen, upto))
+        slots = self._slots()
         runs = {r[0]: tuple(r[1:]) for r in self.runs.get()}
         out = []
-        for rule in rules:
-            run, changes = hold(rule, runs.pop(rule.name, None), found, upto)
-            if run is not None:
-                runs[rule.name] = run
-            out += [(rule.name, key[1], *c) for c in changes]
-        slots = {p: slots[p] for p in still_needed(s, slots, upto)}
+
+        def walk(to: int) -> None:
+            found = list(stretches(s, slots, seen, to))
+            for rule in rules:
+                run, changes = hold(rule, runs.pop(rule.name, None), found, to)
+                if run is not None:
+                    runs[rule.name] = run
+                out.extend((rule.name, key[1], *c) for c in changes)
+            needed = set(still_needed(s, slots, to))
+            for p in [p for p in slots if p not in needed]:
+                del slots[p]
+
+        for piece in arrived:
+            for end, *new in piece:
+                held = slots.get(end)
+                if held is not None:
+                    new = (*max(held[:2], tuple(new[:2])), held[2] + new[2])
+                slots[end] = tuple(new)
+            # Later pieces hold later slots only, which no tick up to the end of this one depends on.
+            to = min(upto, piece[-1][0])
+            if seen is None or to > seen:
+                walk(to)
+                seen = to
+        walk(upto)
         self.seen.update((upto,))
         self._store(self.slots, [(p, at, setting, amounts.tolist()) for p, (at, setting, amounts) in slots.items()])
         self._store(self.runs, [(name, *run) for name, run in runs.items()])

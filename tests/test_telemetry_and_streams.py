@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,6 +369,66 @@ def test_a_walk_in_pieces_is_the_whole_walk(kind, cuts):
     assert walked([3600])
 
 
+class _State:
+    """One value or list of a key, as a walk keeps it."""
+
+    def __init__(self):
+        self.held = []
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held
+
+    def put(self, rows):
+        self.held = list(rows)
+
+    def update(self, row):
+        self.held = row
+
+    def clear(self):
+        self.held = []
+
+
+class _Key:
+    def __init__(self, watermark):
+        self.getCurrentWatermarkInMs = lambda: watermark
+        self.getValueState = self.getListState = lambda *_: _State()
+        self.listTimers, self.deleteTimer = list, None
+        self.registerTimer = lambda at: None
+
+
+@pytest.mark.parametrize("kind", ["rate", "gauge", "silence"])
+def test_a_long_catch_up_holds_a_piece_of_its_slots_at_a_time(kind, monkeypatch):
+    rule = alerts.Rule("r", Series("s", kind, "http_requests_total", lookback=300, interval=60),
+                       "==" if kind == "silence" else ">", 0.0, 120, "warning", "t", "c")
+    ends = [30 * i for i in range(1, 4000) if i % 90 < 60 and i % 7]  # two slots to an interval, with gaps
+    rows = pd.DataFrame({"slot": ends, "at": ends, "setting": [float(e % 4200 < 2100) for e in ends],
+                         "sums": [[1.0, float(e % 4200 < 2100), 0.0] for e in ends]}).sample(frac=1, random_state=1)
+    most, plain = [], walk.stretches
+
+    def watched(s, slots, *rest):
+        most.append(len(slots))
+        return plain(s, slots, *rest)
+
+    def changes(size):
+        monkeypatch.setattr(walk, "PIECE_SLOTS", size, raising=False)
+        walker, made = walk.Walk([rule]), []
+        walker.init(_Key(0))
+        for watermark in (90_000_000, 130_000_000):
+            part = rows[(rows.slot * 1000 <= watermark) & (rows.slot * 1000 > watermark - 90_000_000)] if not made else rows[rows.slot > 90_000]
+            found = list(walker.handleInputRows(("s", "l"), iter([part[:500], part[500:]]), _Key(watermark)))
+            made += [tuple(r) for f in found for r in f.astype(object).where(f.notna(), None).itertuples(index=False)]
+        return sorted(made, key=repr)
+
+    monkeypatch.setattr(walk, "stretches", watched)
+    whole = changes(10**9)
+    most.clear()
+    assert changes(50) == whole and len(whole) > 10
+    assert max(most) < 50 + 2 + 300 // 60 + 1
+
+
 def test_sliding_windows_are_summed_from_tumbling_ones(spark, tmp_path):
     parts = [[(s, "m", {}, 1) for s in range(0, 2000, 7)], [(20000, "m", {}, 1)]]
     source = write_files(spark, parts, tmp_path / "in")
